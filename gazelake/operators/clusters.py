@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry as G
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from . import sequences
 
 # fixed values: bandwidth factors tried, neighbour share, stopping rule
@@ -43,7 +43,7 @@ def _packed(points: DataFrame, keys) -> DataFrame:
     packed = points.groupBy(*keys).agg(rows.alias("_p")).select(
         *keys, F.col("_p.cx").alias("cx"), F.col("_p.cy").alias("cy"), F.col("_p.weight").alias("weight"))
     chunks = F.sequence(F.lit(0), F.floor((F.size("cx") - 1) / F.lit(CHUNK)).cast("int"))
-    return packed.select("*", F.explode(chunks).alias("chunk")).repartition(*keys, "chunk")
+    return packed.select("*", F.explode(chunks).alias("chunk"))
 
 
 def kth_distances(cx, cy, weight, seeds, k):
@@ -92,7 +92,7 @@ def separate_centers(cx, cy, within, bandwidth):
 def bandwidths(points: DataFrame, keys) -> DataFrame:
     """Mean distance to the neighbour that is 30 % of the points away, per key."""
     keys = list(keys)
-    packed = _packed(points, keys)
+    packed = spread(_packed(points, keys), *keys, "chunk")
     schema = packed.select(*keys).schema.add("_sum", "double").add("_n", "double")
 
     def partial(batches):
@@ -118,7 +118,8 @@ def mean_shift(points: DataFrame, bandwidth: DataFrame, keys, factors=FACTORS) -
     """
     keys = list(keys)
     units = _packed(points, keys).join(bandwidth, keys).withColumn(
-        "factor", F.explode(F.array(*[F.lit(float(f)) for f in factors]))).repartition(*keys, "chunk", "factor")
+        "factor", F.explode(F.array(*[F.lit(float(f)) for f in factors])))
+    units = spread(units, *keys, "chunk", "factor")
     schema = units.select(*keys, "factor", "bandwidth").schema
     for name in ("cx", "cy", "within"):
         schema = schema.add(name, "double")
@@ -143,7 +144,7 @@ def mean_shift(points: DataFrame, bandwidth: DataFrame, keys, factors=FACTORS) -
         F.max("within").alias("within"))
 
     out = schema.fieldNames()
-    result = units.select(*keys, "factor").schema.add("cluster_id", "int")
+    result = units.select(*keys, "factor").schema.add("cluster_id", "integer")
     for name in ("cx", "cy", "within"):
         result = result.add(name, "double")
 
@@ -174,7 +175,7 @@ def fit_clusters(trials: DataFrame, keys=("image", "target_id"), factors=FACTORS
     rates = factor_rates(paths, candidates, keys)
     # first maximum: the smallest of the best factors, as factors ascend
     best = rates.groupBy(*keys).agg(F.max_by("factor", F.struct("rate", -F.col("factor"))).alias("factor"))
-    centers = candidates.join(best, [*keys, "factor"]).select(*keys, "cluster_id", "cx", "cy")
+    centers = cut_lineage(candidates.join(best, [*keys, "factor"]).select(*keys, "cluster_id", "cx", "cy"))
     symbolized = sequences.symbolize(paths, centers, keys, "_X", "_Y")
     return centers, sequences.subject_strings(symbolized, order, keys, subject)
 

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry as G
+from ..session import spread
 
 WIDTH, HEIGHT = G.CANVAS_WIDTH, G.CANVAS_HEIGHT
 SIGMA = 22.4
@@ -213,7 +214,7 @@ def saliency_scores(human: DataFrame, predicted: DataFrame, keys, subset=(), sig
     counts = counts_per_pixel(human, predicted, keys, human_xy, pred_xy)
     bits = shuffle_bits(counts.filter(F.col("human_n") > 0), subset)
     # one row of a key per canvas pixel at most, so the list is bounded by the canvas
-    packed = counts.groupBy(*keys).agg(
+    packed = spread(counts, *keys).groupBy(*keys).agg(
         F.collect_list(F.struct("pixel", "human_n", "pred_n")).alias("_c"))
     packed = packed.select(*keys, F.col("_c.pixel").alias("pixel"), F.col("_c.human_n").alias("human_n"),
                            F.col("_c.pred_n").alias("pred_n"))

@@ -43,3 +43,12 @@ def pinned(df: DataFrame) -> DataFrame:
     if checkpoint_dir(df.sparkSession) is None:
         raise ValueError("set spark.checkpoint.dir: this operator needs a written copy of its input")
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Hash-partition by ``keys`` into the session's number of shuffle partitions.
+
+    Giving the number keeps adaptive execution from packing rows that are small
+    but costly to work on into a few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
