@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry as G
@@ -72,16 +70,17 @@ def key_scores(trials: DataFrame, keys, by=None) -> DataFrame:
 
 
 def evaluate(trials: DataFrame, keys=("image", "target_id"), by=None, centers=None, strings=None,
-             history=None, segmentation=None, id_cols=("img_usr_tgt",)) -> DataFrame:
+             history=None, segmentation=None, id_cols=("img_usr_tgt",), order="trial") -> DataFrame:
     """All metrics of raw trials with predictions, one row per subset.
 
     Clusters come from ``centers`` and ``strings``, or are fitted on ``history``
-    (by default the human paths of the trials themselves).
+    (by default the human paths of the trials themselves); of a subject's trials
+    the last in ``order`` gives the string.
     """
     keys = list(keys)
     trials = cut_lineage(trials)
     if centers is None:
-        centers, strings = clusters.fit_clusters(trials if history is None else history, keys, order=id_cols[0])
+        centers, strings = clusters.fit_clusters(trials if history is None else history, keys, order=order)
     scored = scanpath.score_trials(on_canvas(trials, pad=True))
     scored = sequences.sequence_score(scored, centers, strings, keys)
     if segmentation is not None:
@@ -94,6 +93,3 @@ def long_report(wide: DataFrame) -> DataFrame:
     names = [c for c in wide.columns if c != "subset"]
     return wide.unpivot("subset", names, "metric", "value").withColumn("value", F.round("value", 4))
 
-
-def joined(parts: list[DataFrame], on) -> DataFrame:
-    return reduce(lambda a, b: a.join(b, on), parts)
