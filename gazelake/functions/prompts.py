@@ -123,13 +123,14 @@ def conversation_with_media(conversation, image_counts, video_counts) -> Column:
 
     c = col(conversation)
 
+    def seen_before(i, marker):
+        users = F.filter(F.slice(c, F.lit(1), i), lambda b: role_of(b["from"]) == "user")
+        return F.aggregate(users, F.lit(0), lambda acc, b: acc + markers(b["value"], marker))
+
     def expand(m, i):
-        before = F.slice(c, F.lit(1), i)
-        seen = {k: F.aggregate(F.filter(before, lambda b: role_of(b["from"]) == "user"), F.lit(0),
-                               lambda acc, b, k=k: acc + markers(b["value"], k)) for k in ("<image>", "<video>")}
         text = m["value"]
         for marker, pad, counts in (("<image>", "<|image_pad|>", image_counts), ("<video>", "<|video_pad|>", video_counts)):
-            rest = F.slice(col(counts), seen[marker] + 1, F.greatest(F.size(col(counts)), F.lit(0)))
+            rest = F.slice(col(counts), seen_before(i, marker) + 1, F.size(col(counts)))
             text = expanded_media(text, rest, marker, pad)
         user = role_of(m["from"]) == "user"
         return F.struct(m["from"].alias("from"), F.when(user, text).otherwise(m["value"]).alias("value"))

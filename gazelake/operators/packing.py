@@ -114,7 +114,7 @@ def merge_packs(packed: DataFrame, samples: DataFrame, order, sequences=("input_
         "batch", "pack").agg(rows.alias("_r"))
     parts = F.transform("_r", lambda s: F.size(s[sequences[0]]))
     cumulative = F.aggregate(parts, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    return grouped.select("batch", "pack", *[F.flatten(F.transform("_r", lambda s, c=c: s[c])).alias(c) for c in sequences],
+    return grouped.select("batch", "pack", *[F.flatten(F.col(f"_r.{c}")).alias(c) for c in sequences],
                           cumulative.alias("cumulative_lengths"))
 
 

@@ -35,15 +35,6 @@ def position_in_group(df: DataFrame, group, order, bucket: Column | None = None,
             .drop("_bucket", "_rank", "_offset"))
 
 
-def in_order(pos, *columns) -> list[Column]:
-    """Aggregates that collect columns as arrays ordered by ``pos``.
-
-    Pulls one sorted array of structs apart, so the arrays stay aligned.
-    """
-    rows = F.array_sort(F.collect_list(F.struct(pos, *columns)))
-    return [F.transform(rows, lambda s, c=c: s[c]).alias(c) for c in columns]
-
-
 def build_trials(fixations: DataFrame, key="img_usr_tgt", order_col="pos", attributes=None,
                  values=("x", "y", "t")) -> DataFrame:
     """One row per trial: attributes of its first fixation and ordered arrays."""

@@ -9,13 +9,14 @@ MARKERS = {"image": "<image>", "video": "<video>"}
 
 def marker_counts(samples: DataFrame) -> DataFrame:
     """Add expected and actual media counts and whether an answer has a marker."""
-    def count(text, marker):
-        return F.size(F.split(text, marker, -1)) - 1
+    def in_questions(marker):
+        human = F.filter("conversations", lambda m: m["from"] == "human")
+        return F.aggregate(human, F.lit(0), lambda acc, m: acc + F.size(
+            F.split(F.coalesce(m["value"], F.lit("")), marker, -1)) - 1)
 
     out = samples
     for kind, marker in MARKERS.items():
-        human = F.filter("conversations", lambda m: m["from"] == "human")
-        actual = F.aggregate(human, F.lit(0), lambda acc, m, k=marker: acc + count(F.coalesce(m["value"], F.lit("")), k))
+        actual = in_questions(marker)
         out = out.withColumns({f"expected_{kind}": F.size(F.coalesce(F.col(kind), F.array().cast("array<string>"))),
                                f"actual_{kind}": actual})
     marked = F.exists("conversations", lambda m: (m["from"] == "gpt") & (

@@ -429,11 +429,11 @@ def semantic_score(spark, sf):
 @query("merged_symbols", S.with_(S.FIXATIONS + """, mask AS (
   SELECT event_id, ((floor(x / 128) + 5 * floor(y / 96)))::int AS symbol FROM (SELECT user_id * 1000 + trial * 12 + pos AS event_id, x, y FROM fixations)
 ), c AS (SELECT symbol, count(*) AS n FROM mask GROUP BY 1
-), k AS (SELECT symbol, CASE WHEN n <= 120 THEN -1 ELSE symbol END AS kept FROM c)""", """
+), k AS (SELECT symbol, CASE WHEN n <= 330 THEN -1 ELSE symbol END AS kept FROM c)""", """
 SELECT kept AS symbol, (dense_rank() OVER (ORDER BY kept) - 1)::int AS symbol_no, count(*) AS cells FROM mask JOIN k USING (symbol) GROUP BY kept"""))
 def merged_symbols(spark, sf):
     mask = V.fixations(spark, sf).select((F.floor(F.col("x") / 128) + 5 * F.floor(F.col("y") / 96)).cast("int").alias("symbol"))
-    return scanpath.merge_rare_symbols(mask, 120, -1).groupBy("symbol", "symbol_no").agg(F.count("*").alias("cells"))
+    return scanpath.merge_rare_symbols(mask, 330, -1).groupBy("symbol", "symbol_no").agg(F.count("*").alias("cells"))
 
 
 # --- saliency ----------------------------------------------------------------

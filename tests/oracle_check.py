@@ -46,7 +46,16 @@ def rows_of(frame: pd.DataFrame):
     return columns, sorted(tuple(_cell(v) for v in line) for line in lines)
 
 
+def kinds(frame):
+    """Column kinds as far as the values decide them."""
+    return {c: frame[c].dtype.kind for c in frame.columns if not frame[c].isna().any()}
+
+
 def differences(spark_frame, sql_frame):
+    mine, theirs = kinds(spark_frame), kinds(sql_frame)
+    odd = {c: (mine[c], theirs[c]) for c in mine if c in theirs and mine[c] != theirs[c]}
+    if odd:
+        return f"kinds {odd}"
     sc, sr = rows_of(spark_frame)
     dc, dr = rows_of(sql_frame)
     if sc != dc:
