@@ -98,6 +98,15 @@ def vector_similarity(first, second, width=CANVAS_WIDTH, height=CANVAS_HEIGHT, g
     return compare(*(col(c) for c in (*first, *second)))
 
 
+def nearest_clusters(xs, ys, ids, cxs, cys) -> Column:
+    """Id of the closest centre of every fixation; the first listed one on ties."""
+    @pandas_udf("array<int>")
+    def nearest(x: pd.Series, y: pd.Series, ids: pd.Series, cx: pd.Series, cy: pd.Series) -> pd.Series:
+        return pd.Series([kernels.nearest_ids(*row) for row in zip(x, y, ids, cx, cy)])
+
+    return nearest(*(col(c) for c in (xs, ys, ids, cxs, cys)))
+
+
 def simplified(x, y, t, t_dir=0.0, t_dur=0.0, t_amp=0.0) -> Column:
     """Saccades left after merging; the last duration belongs to the end point."""
     @pandas_udf("saccades array<struct<x:double,y:double,dx:double,dy:double>>, durations array<double>")

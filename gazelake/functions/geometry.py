@@ -203,18 +203,3 @@ def symbol_repeats(symbols) -> Column:
     same = F.zip_with(F.slice(s, F.lit(1), m), F.slice(s, F.lit(2), m), lambda a, b: a == b)
     return F.size(F.filter(same, lambda v: v))
 
-
-def nearest_symbols(xs, ys, centers) -> Column:
-    """Cluster id of the closest centre for every fixation, lowest id on ties.
-
-    ``centers`` is ``array<struct<cluster_id, cx, cy>>``.
-    """
-    centers = col(centers)
-
-    def nearest(p):
-        ranked = F.transform(centers, lambda c: F.struct(
-            ((c["cx"] - p["x"]) * (c["cx"] - p["x"]) + (c["cy"] - p["y"]) * (c["cy"] - p["y"])).alias("d"),
-            c["cluster_id"].alias("id")))
-        return F.array_min(ranked)["id"]
-
-    return F.transform(F.arrays_zip(col(xs).alias("x"), col(ys).alias("y")), nearest)

@@ -7,6 +7,8 @@ not over rows.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 
 # cells of one block; bounds the memory of a batched kernel
@@ -142,6 +144,12 @@ def edit_distance(a, b, substitution=1):
     return int(row[-1])
 
 
+def nearest_ids(x, y, ids, cx, cy):
+    """Id of the centre closest to each point."""
+    dx, dy = np.subtract.outer(x, cx), np.subtract.outer(y, cy)
+    return np.asarray(ids)[(dx * dx + dy * dy).argmin(axis=1)] if len(x) else np.empty(0, dtype=np.int32)
+
+
 def shape_groups(na, nb):
     """Row indices of every (length a, length b) shape in the batch."""
     order = np.lexsort((nb, na))
@@ -373,3 +381,33 @@ def scaled_time_delay(human, simulated, scale, similarity=True):
             d = delay_distances(*stacks, set(range(1, min(n, m) + 1)), lambda v: v.mean(axis=1))
             out[rows] = (np.exp(-d) if similarity else d).mean(axis=1)
     return out
+
+
+# --- word bags ---------------------------------------------------------------
+
+def ngram_bags(texts, k):
+    """Count of every run of k words, one bag per text."""
+    split = [t.split() for t in texts]
+    return [Counter(zip(*(w[j:] for j in range(k)))) for w in split]
+
+
+def clipped_matches(hyp, refs, n):
+    """Per order: hypothesis n-grams that occur in a reference, at most as often."""
+    out = []
+    for k in range(1, n + 1):
+        said, *true = ngram_bags([hyp, *refs], k)
+        out.append(sum(min(c, max(t[g] for t in true)) for g, c in said.items()))
+    return out
+
+
+def count_differences(hyp, refs):
+    """Per reference, for each distinct hypothesis word: the difference in counts.
+
+    A word the reference lacks is compared with one occurrence.
+    """
+    said = Counter(hyp)
+    out = []
+    for ref in refs:
+        true = Counter(ref)
+        out.append([abs(true[w] - c) if w in true else c - 1 for w, c in said.items()])
+    return out

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import comparisons as C
 from ..functions import geometry as G
 from ..session import cut_lineage, spread
 from . import sequences
@@ -183,19 +184,13 @@ def fit_clusters(trials: DataFrame, keys=("image", "target_id"), factors=FACTORS
 def factor_rates(paths: DataFrame, candidates: DataFrame, keys) -> DataFrame:
     """Transition rate of every key and factor; paths are ``_X, _Y`` on the canvas."""
     keys = list(keys)
-    lists = candidates.groupBy(*keys, "factor").agg(
-        F.collect_list(F.struct("cluster_id", "cx", "cy")).alias("_centers"))
-    fits = lists.groupBy(*keys).agg(F.collect_list(F.struct("factor", "_centers")).alias("_fits"))
-    net = F.transform("_fits", lambda f: F.struct(
-        f["factor"].alias("factor"), F.size(f["_centers"]).alias("clusters"),
-        _net_changes(G.nearest_symbols("_X", "_Y", f["_centers"])).alias("net")))
-    per_trial = paths.select(*keys, "_X", "_Y").join(fits, keys).select(*keys, F.explode(net).alias("f"))
-    return per_trial.groupBy(*keys, F.col("f.factor").alias("factor"), F.col("f.clusters").alias("clusters")).agg(
-        F.sum("f.net").alias("net")).select(*keys, "factor", (F.col("net") / F.col("clusters")).alias("rate"))
-
-
-def _net_changes(symbols):
-    return G.symbol_changes(symbols) - G.symbol_repeats(symbols)
+    fits = sequences.packed_centers(candidates, [*keys, "factor"])
+    symbols = C.nearest_clusters("_X", "_Y", "_ids", "_cx", "_cy")
+    per_trial = paths.select(*keys, "_X", "_Y").join(fits, keys).select(
+        *keys, "factor", F.size("_ids").alias("clusters"), symbols.alias("s"))
+    net = G.symbol_changes("s") - G.symbol_repeats("s")
+    return per_trial.groupBy(*keys, "factor", "clusters").agg(F.sum(net).alias("net")).select(
+        *keys, "factor", (F.col("net") / F.col("clusters")).alias("rate"))
 
 
 def leading_trials(test: DataFrame, train: DataFrame, columns) -> DataFrame:

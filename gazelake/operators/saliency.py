@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry as G
-from ..session import spread
+from ..session import cut_lineage, spread
 
 WIDTH, HEIGHT = G.CANVAS_WIDTH, G.CANVAS_HEIGHT
 SIGMA = 22.4
@@ -23,6 +23,8 @@ THRESHOLD_STEP = 0.01
 SCORES = ("cc", "auc", "nss", "sauc", "kld", "sim")
 # bits of one built-in bitmap bucket
 BUCKET_BITS = 32_768
+# shuffle maps that are broadcast: 24 kB each
+BROADCAST_SUBSETS = 1_000
 
 
 def pixels(fixations: DataFrame, keys, x, y, human: bool) -> DataFrame:
@@ -133,8 +135,14 @@ def _roc_area(at_fixations, weights, negatives):
         return float("nan")
     thresholds = np.arange(0, top, THRESHOLD_STEP)
 
+    edges = np.append(thresholds, np.inf)
+
     def share(values, w):
-        slot = np.searchsorted(thresholds, values, side="right")
+        slot = np.minimum((values / THRESHOLD_STEP).astype(np.int64), len(thresholds) - 1)
+        # division may be off by one step next to a threshold
+        slot -= thresholds[slot] > values
+        slot += values >= edges[slot + 1]
+        slot += 1
         above = np.bincount(slot, weights=w, minlength=len(thresholds) + 1)[::-1].cumsum()
         return above[:-1] / (len(values) if w is None else w.sum())
 
@@ -187,7 +195,7 @@ def judd_roc_area(pred, pixel, jitter_seed=None):
 def _unpacked(bits):
     """Boolean map from the bucketed bitmap."""
     out = np.zeros(WIDTH * HEIGHT, dtype=bool)
-    for bucket, packed in dict(bits).items():
+    for bucket, packed in dict(bits if bits is not None else {}).items():
         start = (int(bucket) - 1) * BUCKET_BITS
         flags = np.unpackbits(np.frombuffer(packed, dtype=np.uint8), bitorder="little")
         stop = min(start + len(flags), len(out))
@@ -211,17 +219,18 @@ def saliency_scores(human: DataFrame, predicted: DataFrame, keys, subset=(), sig
     ``extra`` adds the second forms: auc_judd, kld2, nss2.
     """
     keys, subset = list(keys), list(subset)
-    counts = counts_per_pixel(human, predicted, keys, human_xy, pred_xy)
-    bits = shuffle_bits(counts.filter(F.col("human_n") > 0), subset)
-    # one row of a key per canvas pixel at most, so the list is bounded by the canvas
-    packed = spread(counts, *keys).groupBy(*keys).agg(
-        F.collect_list(F.struct("pixel", "human_n", "pred_n")).alias("_c"))
+    # at most one row per key and canvas pixel; written once, read twice
+    counts = cut_lineage(counts_per_pixel(human, predicted, keys, human_xy, pred_xy))
+    packed = spread(counts, *keys).groupBy(*keys).agg(F.collect_list(F.struct("pixel", "human_n", "pred_n")).alias("_c"))
     packed = packed.select(*keys, F.col("_c.pixel").alias("pixel"), F.col("_c.human_n").alias("human_n"),
                            F.col("_c.pred_n").alias("pred_n"))
-    if subset:
-        joined = packed.join(bits, subset)
-    else:
+    bits = shuffle_bits(counts.filter(F.col("human_n") > 0), subset)
+    if not subset:
         joined = packed.withColumn("shuffle_bits", bits.select("shuffle_bits").scalar())
+    elif bits.count() <= BROADCAST_SUBSETS:
+        joined = packed.join(F.broadcast(bits), subset, "left")
+    else:
+        joined = packed.join(bits, subset, "left")
     names = list(SCORES) + (["auc_judd", "kld2", "nss2"] if extra else [])
     schema = packed.select(*keys).schema
     for n in names:

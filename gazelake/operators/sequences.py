@@ -10,15 +10,25 @@ from ..functions import geometry as G
 MAX_LENGTH = 20
 
 
+def packed_centers(centers: DataFrame, groups) -> DataFrame:
+    """One row per group with aligned arrays, ordered by cluster id.
+
+    As long as the list of clusters of a key, which do not overlap on the canvas.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("cluster_id", "cx", "cy")))
+    return centers.groupBy(*groups).agg(rows.alias("_c")).select(
+        *groups, F.col("_c.cluster_id").alias("_ids"), F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy"))
+
+
 def symbolize(trials: DataFrame, centers: DataFrame, keys=("image", "target_id"), x="x", y="y",
               name="symbols") -> DataFrame:
-    """Add the nearest cluster of every fixation.
+    """Add the nearest cluster of every fixation, lowest id on ties.
 
-    ``centers`` is ``keys + (cluster_id, cx, cy)``. Each key's centres become one
-    array, which is as long as its cluster list; trials are joined to it by key.
+    ``centers`` is ``keys + (cluster_id, cx, cy)``; trials are joined to the
+    packed centres of their key.
     """
-    packed = centers.groupBy(*keys).agg(F.collect_list(F.struct("cluster_id", "cx", "cy")).alias("_centers"))
-    return trials.join(packed, list(keys)).withColumn(name, G.nearest_symbols(x, y, "_centers")).drop("_centers")
+    joined = trials.join(packed_centers(centers, keys), list(keys))
+    return joined.withColumn(name, C.nearest_clusters(x, y, "_ids", "_cx", "_cy")).drop("_ids", "_cx", "_cy")
 
 
 def subject_strings(symbolized: DataFrame, order, keys=("image", "target_id"), subject="username") -> DataFrame:
@@ -72,7 +82,8 @@ def categories(df: DataFrame, segmentation: DataFrame, id_cols, x="x", y="y", na
     placed = placed.withColumns({
         "_x": F.when(F.col("_x") < 0, F.col("_x") + to_width).otherwise(F.col("_x")),
         "y": F.when(F.col("y") < 0, F.col("y") + to_height).otherwise(F.col("y"))})
-    hit = placed.join(segmentation, ["image", "y"], "left").select(
+    # rasters are many times larger than paths, whatever the planner guesses
+    hit = placed.join(segmentation.hint("merge"), ["image", "y"], "left").select(
         *id_cols, "pos", F.get("categories", F.col("_x")).alias("category"))
     rows = F.array_sort(F.collect_list(F.struct("pos", "category")))
     return hit.groupBy(*id_cols).agg(F.transform(rows, lambda s: s["category"]).alias(name))

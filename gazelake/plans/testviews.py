@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import geometry as G
 from ..functions import words as W
 from ..operators import prepare
+from ..session import spread
 
 TARGETS = {f"T{i}": t for i, t in enumerate(
     ["Sign in", "Search", "Cart", "Settings", "Help", "Share", "Next"])}
@@ -16,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark, sf_dir) -> DataFrame:
+    """Texts spread over the tasks: the file is one row group, so its scan is one task."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 def fixations(spark, sf_dir) -> DataFrame:
     """One fixation per event; 12 events of a user make a trial."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
@@ -114,7 +120,7 @@ def captions(spark, sf_dir) -> DataFrame:
 
     The hypothesis leaves out every fifth word; some are empty.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", W.words(F.lower("text")).alias("w"))
+    docs = documents(spark, sf_dir).select("doc_id", W.words(F.lower("text")).alias("w"))
     w, n = F.col("w"), F.size("w")
     kept = F.array_join(F.filter("w", lambda _, i: (i + 1) % 5 != 0), " ")
     return docs.select(
@@ -163,6 +169,6 @@ def segmentation_rows(fx: DataFrame) -> DataFrame:
     """Category raster of every image, one row per raster line (320 x 512)."""
     images = fx.select("image").distinct().withColumn("image_no", F.substring("image", 3, 10).cast("int"))
     lines = images.select("image", "image_no", F.explode(F.sequence(F.lit(0), F.lit(319))).alias("y"))
-    category = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda x: (
-        (F.floor(x / 64) + F.floor(F.col("y") / 64) + F.col("image_no")) % 5).cast("int"))
-    return lines.select("image", "y", category.alias("categories"))
+    tiles = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda tile: F.array_repeat(
+        ((tile + F.floor(F.col("y") / 64) + F.col("image_no")) % 5).cast("int"), 64))
+    return lines.select("image", "y", F.flatten(tiles).alias("categories"))
