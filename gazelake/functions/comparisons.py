@@ -1,11 +1,12 @@
-"""Pandas UDFs over array columns, one Arrow batch at a time."""
+"""Arrow UDFs over array columns, one batch at a time."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession, functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from . import kernels
 from .geometry import CANVAS_HEIGHT, CANVAS_WIDTH, col
@@ -13,7 +14,71 @@ from .geometry import CANVAS_HEIGHT, CANVAS_WIDTH, col
 
 def _ratio(numerator, denominator):
     with np.errstate(invalid="ignore", divide="ignore"):
-        return np.asarray(numerator, dtype=np.float64) / denominator
+        return pa.array(np.asarray(numerator, dtype=np.float64) / denominator)
+
+
+def _sequences(a, b):
+    """Two Arrow list columns as lists of NumPy arrays, and the longer length of each row."""
+    a, b = a.to_pandas().tolist(), b.to_pandas().tolist()
+    return a, b, np.array([max(len(p), len(q)) for p, q in zip(a, b)], dtype=np.float64)
+
+
+# Scores are returned as Arrow arrays: from pandas a NaN would become a null.
+
+def _alignment_udf(matrix, gap=0.0, eps=0.0):
+    @arrow_udf("double")
+    def score(a: pa.Array, b: pa.Array) -> pa.Array:
+        a, b, longest = _sequences(a, b)
+        _, best = kernels.align_scores(a, b, lambda u, v: matrix[u, v], gap, edge=1)
+        return _ratio(best, matrix.max() * longest + eps)
+
+    return score
+
+
+def _match_udf(gap=0.0):
+    @arrow_udf("double")
+    def score(a: pa.Array, b: pa.Array) -> pa.Array:
+        a, b, longest = _sequences(a, b)
+        if gap == 0.0:
+            return _ratio([kernels.lcs_length(p.tolist(), q.tolist()) for p, q in zip(a, b)], longest)
+        last, _ = kernels.align_scores(a, b, lambda u, v: (u == v).astype(np.float64), gap)
+        return _ratio(last, longest)
+
+    return score
+
+
+def _common_udf():
+    @arrow_udf("int")
+    def lcs(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([kernels.lcs_length(p, q) for p, q in zip(a.to_pylist(), b.to_pylist())], pa.int32())
+
+    return lcs
+
+
+MULTIMATCH_FIELDS = ("vector", "direction", "length", "position", "duration")
+
+
+def _multimatch_udf(width, height, thresholds=None):
+    @arrow_udf(", ".join(f"{f} double" for f in MULTIMATCH_FIELDS))
+    def compare(x: pa.Array, y: pa.Array, t: pa.Array, px: pa.Array, py: pa.Array, pt: pa.Array) -> pa.Array:
+        first, second = (list(zip(*(c.to_pandas() for c in side))) for side in ((x, y, t), (px, py, pt)))
+        scores = kernels.multimatch_scores(first, second, width, height, thresholds)
+        return pa.StructArray.from_arrays([pa.array(scores[:, i]) for i in range(5)], names=list(MULTIMATCH_FIELDS))
+
+    return compare
+
+
+def _time_delay_udf(kernel):
+    @arrow_udf("double")
+    def score(x: pa.Array, y: pa.Array, px: pa.Array, py: pa.Array) -> pa.Array:
+        human, simulated = (list(zip(*(c.to_pandas() for c in side))) for side in ((x, y), (px, py)))
+        return pa.array(kernel(human, simulated))
+
+    return score
+
+
+def _grid_matrix(xbin, ybin, threshold, table):
+    return kernels.grid_similarity(xbin, ybin, threshold) if table is None else np.asarray(table, dtype=np.float64)
 
 
 def sequence_alignment(a, b, xbin=16, ybin=12, threshold=3.5, gap=0.0, eps=0.0, table=None) -> Column:
@@ -21,20 +86,12 @@ def sequence_alignment(a, b, xbin=16, ybin=12, threshold=3.5, gap=0.0, eps=0.0,
 
     ``table`` replaces the distance-based symbol similarities by a matrix.
     """
-    matrix = kernels.grid_similarity(xbin, ybin, threshold) if table is None else np.asarray(table, dtype=np.float64)
-
-    @pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        longest = np.maximum(a.map(len), b.map(len)).to_numpy(dtype=np.float64)
-        _, best = kernels.align_scores(a.tolist(), b.tolist(), lambda u, v: matrix[u, v], gap, edge=1)
-        return pd.Series(_ratio(best, matrix.max() * longest + eps))
-
-    return score(col(a), col(b))
+    return _alignment_udf(_grid_matrix(xbin, ybin, threshold, table), gap, eps)(col(a), col(b))
 
 
 def sequence_pairs(a, b, xbin=16, ybin=12, threshold=3.5, gap=0.0, table=None) -> Column:
     """The alignment itself: ``array<struct<a,b>>`` with -1 for a gap."""
-    matrix = kernels.grid_similarity(xbin, ybin, threshold) if table is None else np.asarray(table, dtype=np.float64)
+    matrix = _grid_matrix(xbin, ybin, threshold, table)
 
     @pandas_udf("array<struct<a:int,b:int>>")
     def align(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -46,11 +103,7 @@ def sequence_pairs(a, b, xbin=16, ybin=12, threshold=3.5, gap=0.0, table=None) -
 
 def common_length(a, b) -> Column:
     """Longest common subsequence length of two arrays of any symbol type."""
-    @pandas_udf("int")
-    def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([kernels.lcs_length(p.tolist(), q.tolist()) for p, q in zip(a, b)], dtype="int32")
-
-    return lcs(col(a), col(b))
+    return _common_udf()(col(a), col(b))
 
 
 def match_ratio(a, b, gap=0.0) -> Column:
@@ -58,16 +111,7 @@ def match_ratio(a, b, gap=0.0) -> Column:
 
     Without gap cost that score is the longest common subsequence.
     """
-    @pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        longest = np.maximum(a.map(len), b.map(len)).to_numpy(dtype=np.float64)
-        if gap == 0.0:
-            last = [kernels.lcs_length(p.tolist(), q.tolist()) for p, q in zip(a, b)]
-        else:
-            last, _ = kernels.align_scores(a.tolist(), b.tolist(), lambda u, v: (u == v).astype(np.float64), gap)
-        return pd.Series(_ratio(last, longest))
-
-    return score(col(a), col(b))
+    return _match_udf(gap)(col(a), col(b))
 
 
 def edit_distance(a, b, substitution=1) -> Column:
@@ -82,20 +126,11 @@ def edit_distance(a, b, substitution=1) -> Column:
     return distance(col(a), col(b))
 
 
-MULTIMATCH_FIELDS = ("vector", "direction", "length", "position", "duration")
-
-
 def vector_similarity(first, second, width=CANVAS_WIDTH, height=CANVAS_HEIGHT, grouping=False,
                       t_dir=0.0, t_dur=0.0, t_amp=0.0) -> Column:
     """Struct of the five vector similarities of two (x, y, t) column triples."""
     thresholds = (t_amp, t_dir, t_dur) if grouping else None
-
-    @pandas_udf(", ".join(f"{f} double" for f in MULTIMATCH_FIELDS))
-    def compare(x: pd.Series, y: pd.Series, t: pd.Series, px: pd.Series, py: pd.Series, pt: pd.Series) -> pd.DataFrame:
-        scores = kernels.multimatch_scores(list(zip(x, y, t)), list(zip(px, py, pt)), width, height, thresholds)
-        return pd.DataFrame(scores, columns=list(MULTIMATCH_FIELDS))
-
-    return compare(*(col(c) for c in (*first, *second)))
+    return _multimatch_udf(width, height, thresholds)(*(col(c) for c in (*first, *second)))
 
 
 def nearest_clusters(xs, ys, ids, cxs, cys) -> Column:
@@ -123,54 +158,26 @@ def simplified(x, y, t, t_dir=0.0, t_dur=0.0, t_amp=0.0) -> Column:
 
 def time_delay_distance(human, simulated, k, mode="mean") -> Column:
     """Time-delay embedding distance for windows of k; null when a path is shorter."""
-    @pandas_udf("double")
-    def distance(x: pd.Series, y: pd.Series, px: pd.Series, py: pd.Series) -> pd.Series:
-        return pd.Series(kernels.time_delay(list(zip(x, y)), list(zip(px, py)), k, mode))
+    d = _time_delay_udf(lambda h, s: kernels.time_delay(h, s, k, mode))(*(col(c) for c in (*human, *simulated)))
+    return F.when((F.size(col(human[0])) >= k) & (F.size(col(simulated[0])) >= k), d)
+
 
-    d = distance(*(col(c) for c in (*human, *simulated)))
-    long_enough = (F.size(col(human[0])) >= k) & (F.size(col(simulated[0])) >= k)
-    return F.when(long_enough, d)
+def _scaled_time_delay_udf(scale, similarity=True):
+    return _time_delay_udf(lambda h, s: kernels.scaled_time_delay(h, s, scale, similarity))
 
 
 def scaled_time_delay(human, simulated, width=CANVAS_WIDTH, height=CANVAS_HEIGHT, similarity=True) -> Column:
     """Mean time-delay similarity (or distance) over all window lengths."""
-    scale = float(max(width, height, 3))
-
-    @pandas_udf("double")
-    def score(x: pd.Series, y: pd.Series, px: pd.Series, py: pd.Series) -> pd.Series:
-        return pd.Series(kernels.scaled_time_delay(list(zip(x, y)), list(zip(px, py)), scale, similarity))
-
-    return score(*(col(c) for c in (*human, *simulated)))
+    return _scaled_time_delay_udf(float(max(width, height, 3)), similarity)(*(col(c) for c in (*human, *simulated)))
 
 
 def register(spark: SparkSession) -> None:
-    """SQL names for the comparisons: scanmatch, multimatch, stde, nw_score, lcs_len."""
-    table = kernels.grid_similarity(16, 12, 3.5)
-
-    @pandas_udf("double")
-    def scanmatch(a: pd.Series, b: pd.Series) -> pd.Series:
-        longest = np.maximum(a.map(len), b.map(len)).to_numpy(dtype=np.float64)
-        _, best = kernels.align_scores(a.tolist(), b.tolist(), lambda u, v: table[u, v], 0.0, edge=1)
-        return pd.Series(_ratio(best, table.max() * longest))
-
-    @pandas_udf(", ".join(f"{f} double" for f in MULTIMATCH_FIELDS))
-    def multimatch(x: pd.Series, y: pd.Series, t: pd.Series, px: pd.Series, py: pd.Series, pt: pd.Series) -> pd.DataFrame:
-        scores = kernels.multimatch_scores(list(zip(x, y, t)), list(zip(px, py, pt)), CANVAS_WIDTH, CANVAS_HEIGHT)
-        return pd.DataFrame(scores, columns=list(MULTIMATCH_FIELDS))
-
-    @pandas_udf("double")
-    def stde(x: pd.Series, y: pd.Series, px: pd.Series, py: pd.Series) -> pd.Series:
-        return pd.Series(kernels.scaled_time_delay(list(zip(x, y)), list(zip(px, py)), float(CANVAS_WIDTH)))
-
-    @pandas_udf("double")
-    def nw_score(a: pd.Series, b: pd.Series) -> pd.Series:
-        longest = np.maximum(a.map(len), b.map(len)).to_numpy(dtype=np.float64)
-        return pd.Series(_ratio([kernels.lcs_length(p.tolist(), q.tolist()) for p, q in zip(a, b)], longest))
-
-    @pandas_udf("int")
-    def lcs_len(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([kernels.lcs_length(p.tolist(), q.tolist()) for p, q in zip(a, b)], dtype="int32")
-
-    for name, udf in (("scanmatch", scanmatch), ("multimatch", multimatch), ("stde", stde),
-                      ("nw_score", nw_score), ("lcs_len", lcs_len)):
+    """SQL names for the comparisons with their default parameters."""
+    for name, udf in {
+        "scanmatch": _alignment_udf(kernels.grid_similarity(16, 12, 3.5)),
+        "multimatch": _multimatch_udf(CANVAS_WIDTH, CANVAS_HEIGHT),
+        "stde": _scaled_time_delay_udf(float(CANVAS_WIDTH)),
+        "nw_score": _match_udf(),
+        "lcs_len": _common_udf(),
+    }.items():
         spark.udf.register(name, udf)

@@ -8,7 +8,7 @@ fixations the key has. The shuffle map of a subset is a bitmap of 24 kB.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry as G
@@ -236,21 +236,26 @@ def saliency_scores(human: DataFrame, predicted: DataFrame, keys, subset=(), sig
     for n in names:
         schema = schema.add(n, "double")
 
+    def line_of(row, rows, columns):
+        pixel, h, p = (np.asarray(row[c], dtype=np.int64) for c in ("pixel", "human_n", "pred_n"))
+        at, weight = pixel[h > 0], h[h > 0]
+        gt = blurred(at, weight, rows, columns)
+        pred = blurred(pixel[p > 0], p[p > 0], rows, columns)
+        line = [correlation(pred, gt), roc_area(pred, at, weight), scanpath_saliency(pred, at, weight),
+                shuffled_roc_area(pred, at, weight, _unpacked(row["shuffle_bits"])), divergence(pred, gt), similarity(pred, gt)]
+        if extra:
+            line += [judd_roc_area(pred, at), divergence(pred, gt, True), scanpath_saliency(pred, at, weight, True)]
+        return line
+
     def score(batches):
         rows, columns = blur_kernel(HEIGHT, sigma), blur_kernel(WIDTH, sigma)
         for batch in batches:
-            out = []
-            for pixel, h, p, shuffle in zip(batch["pixel"], batch["human_n"], batch["pred_n"], batch["shuffle_bits"]):
-                pixel, h, p = (np.asarray(v, dtype=np.int64) for v in (pixel, h, p))
-                at, weight = pixel[h > 0], h[h > 0]
-                gt = blurred(at, weight, rows, columns)
-                pred = blurred(pixel[p > 0], p[p > 0], rows, columns)
-                line = [correlation(pred, gt), roc_area(pred, at, weight), scanpath_saliency(pred, at, weight),
-                        shuffled_roc_area(pred, at, weight, _unpacked(shuffle)), divergence(pred, gt), similarity(pred, gt)]
-                if extra:
-                    line += [judd_roc_area(pred, at), divergence(pred, gt, True), scanpath_saliency(pred, at, weight, True)]
-                out.append(line)
-            scores = pd.DataFrame(out, columns=names, index=batch.index, dtype="float64")
-            yield pd.concat([batch[keys], scores], axis=1)
-
-    return joined.mapInPandas(score, schema)
+            inputs = batch.select(["pixel", "human_n", "pred_n", "shuffle_bits"])
+            lines = [line_of({c: inputs.column(c)[i].as_py() for c in inputs.schema.names}, rows, columns)
+                     for i in range(batch.num_rows)]
+            scores = np.array(lines, dtype=np.float64).reshape(len(lines), len(names))
+            # Arrow out, as NaN from pandas would become null
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in keys] + [pa.array(scores[:, i]) for i in range(len(names))],
+                                             names=[*keys, *names])
+
+    return joined.mapInArrow(score, schema)
