@@ -62,13 +62,14 @@ def shift_means(cx, cy, weight, seeds, bandwidth):
     mx, my = cx[seeds].astype(float), cy[seeds].astype(float)
     within = np.zeros(len(mx))
     active = np.arange(len(mx))
+    sums = np.column_stack([weight, weight * cx, weight * cy])
     for iteration in range(MAX_ITERATIONS + 1):
         near = ((mx[active][:, None] - cx) ** 2 + (my[active][:, None] - cy) ** 2) <= bandwidth ** 2
-        mass = near @ weight
+        mass, sx, sy = (near.astype(float) @ sums).T
         within[active] = mass
         hit = mass > 0
-        active, mass, near = active[hit], mass[hit], near[hit]
-        nx, ny = (near @ (weight * cx)) / mass, (near @ (weight * cy)) / mass
+        active, mass = active[hit], mass[hit]
+        nx, ny = sx[hit] / mass, sy[hit] / mass
         moved = np.hypot(nx - mx[active], ny - my[active])
         mx[active], my[active] = nx, ny
         active = active[moved > STOP_SHARE * bandwidth]

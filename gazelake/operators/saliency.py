@@ -82,16 +82,30 @@ def blurred(pixel, count, rows, columns):
         return out / out.max()
 
 
-def _distribution(values, eps=EPS):
-    shifted = values + eps
-    return shifted / shifted.sum()
+def _distribution(values):
+    shifted = values + EPS
+    shifted /= shifted.sum()
+    return shifted.ravel()
+
+
+def _correlation(p, g):
+    p, g = p - p.mean(), g - g.mean()
+    sp, sg = np.sqrt(p @ p), np.sqrt(g @ g)
+    flat = 1e-8 * np.sqrt(len(p))
+    return 1.0 if sp <= flat or sg <= flat else float(p @ g / (sp * sg))
+
+
+def _divergence(p, g, eps=EPS):
+    ratio = p + eps
+    np.divide(g, ratio, out=ratio)
+    ratio += eps
+    np.log(ratio, out=ratio)
+    return float(g @ ratio)
 
 
 def correlation(pred, gt):
-    p, g = _distribution(pred), _distribution(gt)
-    if p.std() <= 1e-8 or g.std() <= 1e-8:
-        return 1.0
-    return float(np.corrcoef(p.ravel(), g.ravel())[0, 1])
+    """Pearson correlation; 1 when a map is flat."""
+    return _correlation(_distribution(pred), _distribution(gt))
 
 
 def similarity(pred, gt):
@@ -101,10 +115,9 @@ def similarity(pred, gt):
 def divergence(pred, gt, second_form=False):
     """KL divergence of the human map from the predicted one."""
     if second_form:
-        p, g = (m / m.sum() if m.any() else m for m in (pred.astype(float), gt.astype(float)))
-        return float((g * np.log(EPS_SECOND_FORM + g / (p + EPS_SECOND_FORM))).sum())
-    p, g = _distribution(pred), _distribution(gt)
-    return float((g * np.log(EPS + g / (p + EPS))).sum())
+        p, g = ((m / m.sum() if m.any() else m).ravel().astype(float) for m in (pred, gt))
+        return _divergence(p, g, EPS_SECOND_FORM)
+    return _divergence(_distribution(pred), _distribution(gt))
 
 
 def scanpath_saliency(pred, pixel, count, second_form=False):
@@ -241,8 +254,10 @@ def saliency_scores(human: DataFrame, predicted: DataFrame, keys, subset=(), sig
         at, weight = pixel[h > 0], h[h > 0]
         gt = blurred(at, weight, rows, columns)
         pred = blurred(pixel[p > 0], p[p > 0], rows, columns)
-        line = [correlation(pred, gt), roc_area(pred, at, weight), scanpath_saliency(pred, at, weight),
-                shuffled_roc_area(pred, at, weight, _unpacked(row["shuffle_bits"])), divergence(pred, gt), similarity(pred, gt)]
+        ps, gs = _distribution(pred), _distribution(gt)
+        line = [_correlation(ps, gs), roc_area(pred, at, weight), scanpath_saliency(pred, at, weight),
+                shuffled_roc_area(pred, at, weight, _unpacked(row["shuffle_bits"])), _divergence(ps, gs),
+                float(np.minimum(ps, gs).sum())]
         if extra:
             line += [judd_roc_area(pred, at), divergence(pred, gt, True), scanpath_saliency(pred, at, weight, True)]
         return line

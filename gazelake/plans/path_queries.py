@@ -9,6 +9,7 @@ from ..functions import comparisons as C
 from ..functions import geometry as G
 from ..functions import prompts as P
 from ..operators import clusters, prepare, saliency, scanpath, sequences
+from ..session import cut_lineage
 from ..sources import writers
 from . import evaluation, sqlviews as S, testviews as V
 from .registry import fixed, ints, query, r6, sql_fixed, sql_r6
@@ -395,13 +396,13 @@ def sequence_score(spark, sf):
 
 @query("cluster_centers")
 def cluster_centers(spark, sf):
-    centers, _ = clusters.fit_clusters(V.trials(spark, sf), KEYS)
+    centers, _ = clusters.fit_clusters(cut_lineage(V.trials(spark, sf)), KEYS)
     return centers.select(*KEYS, "cluster_id", r6("cx").alias("cx"), r6("cy").alias("cy"))
 
 
 @query("cluster_sequence_score")
 def cluster_sequence_score(spark, sf):
-    centers, strings = clusters.fit_clusters(V.trials(spark, sf), KEYS)
+    centers, strings = clusters.fit_clusters(cut_lineage(V.trials(spark, sf)), KEYS)
     scored = sequences.sequence_score(V.canvas_pairs(spark, sf), centers, strings, KEYS)
     return scored.select(*ID, r6("ss").alias("ss"), r6("ss_time").alias("ss_time"))
 
@@ -484,6 +485,6 @@ def saliency_query(spark, sf):
 def report(spark, sf):
     """All metrics overall and per UI type; every answer counts as a prediction."""
     df = V.pairs(spark, sf)
-    wide = evaluation.evaluate(df, KEYS, by="ui_type", history=V.trials(spark, sf),
+    wide = evaluation.evaluate(df, KEYS, by="ui_type", history=cut_lineage(V.trials(spark, sf)),
                                segmentation=V.segmentation_rows(V.fixations(spark, sf)), id_cols=ID)
     return evaluation.long_report(wide)
