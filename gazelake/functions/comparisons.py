@@ -9,7 +9,7 @@ from pyspark.sql import Column, SparkSession, functions as F
 from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from . import kernels
-from .geometry import CANVAS_HEIGHT, CANVAS_WIDTH, col
+from .geometry import CANVAS_HEIGHT, CANVAS_WIDTH, col, size_of
 
 
 def _ratio(numerator, denominator):
@@ -58,11 +58,12 @@ def _common_udf():
 MULTIMATCH_FIELDS = ("vector", "direction", "length", "position", "duration")
 
 
-def _multimatch_udf(width, height, thresholds=None):
+def _multimatch_udf(thresholds=None):
     @arrow_udf(", ".join(f"{f} double" for f in MULTIMATCH_FIELDS))
-    def compare(x: pa.Array, y: pa.Array, t: pa.Array, px: pa.Array, py: pa.Array, pt: pa.Array) -> pa.Array:
+    def compare(x: pa.Array, y: pa.Array, t: pa.Array, px: pa.Array, py: pa.Array, pt: pa.Array,
+                width: pa.Array, height: pa.Array) -> pa.Array:
         first, second = (list(zip(*(c.to_pandas() for c in side))) for side in ((x, y, t), (px, py, pt)))
-        scores = kernels.multimatch_scores(first, second, width, height, thresholds)
+        scores = kernels.multimatch_scores(first, second, width.to_numpy(False), height.to_numpy(False), thresholds)
         return pa.StructArray.from_arrays([pa.array(scores[:, i]) for i in range(5)], names=list(MULTIMATCH_FIELDS))
 
     return compare
@@ -128,9 +129,13 @@ def edit_distance(a, b, substitution=1) -> Column:
 
 def vector_similarity(first, second, width=CANVAS_WIDTH, height=CANVAS_HEIGHT, grouping=False,
                       t_dir=0.0, t_dur=0.0, t_amp=0.0) -> Column:
-    """Struct of the five vector similarities of two (x, y, t) column triples."""
+    """Struct of the five vector similarities of two (x, y, t) column triples.
+
+    The size may be given per row as columns.
+    """
     thresholds = (t_amp, t_dir, t_dur) if grouping else None
-    return _multimatch_udf(width, height, thresholds)(*(col(c) for c in (*first, *second)))
+    sizes = (size_of(v).cast("double") for v in (width, height))
+    return _multimatch_udf(thresholds)(*(col(c) for c in (*first, *second)), *sizes)
 
 
 def nearest_clusters(xs, ys, ids, cxs, cys) -> Column:
@@ -162,21 +167,30 @@ def time_delay_distance(human, simulated, k, mode="mean") -> Column:
     return F.when((F.size(col(human[0])) >= k) & (F.size(col(simulated[0])) >= k), d)
 
 
-def _scaled_time_delay_udf(scale, similarity=True):
-    return _time_delay_udf(lambda h, s: kernels.scaled_time_delay(h, s, scale, similarity))
+def _scaled_time_delay_udf(similarity=True):
+    @arrow_udf("double")
+    def score(x: pa.Array, y: pa.Array, px: pa.Array, py: pa.Array, scale: pa.Array) -> pa.Array:
+        human, simulated = (list(zip(*(c.to_pandas() for c in side))) for side in ((x, y), (px, py)))
+        return pa.array(kernels.scaled_time_delay(human, simulated, scale.to_numpy(False), similarity))
+
+    return score
 
 
 def scaled_time_delay(human, simulated, width=CANVAS_WIDTH, height=CANVAS_HEIGHT, similarity=True) -> Column:
     """Mean time-delay similarity (or distance) over all window lengths."""
-    return _scaled_time_delay_udf(float(max(width, height, 3)), similarity)(*(col(c) for c in (*human, *simulated)))
+    scale = F.greatest(size_of(width), size_of(height), F.lit(3)).cast("double")
+    return _scaled_time_delay_udf(similarity)(*(col(c) for c in (*human, *simulated)), scale)
 
 
 def register(spark: SparkSession) -> None:
-    """SQL names for the comparisons with their default parameters."""
+    """SQL names for the comparisons with default parameters.
+
+    ``multimatch`` and ``stde`` take the size last: width and height, or the larger one.
+    """
     for name, udf in {
         "scanmatch": _alignment_udf(kernels.grid_similarity(16, 12, 3.5)),
-        "multimatch": _multimatch_udf(CANVAS_WIDTH, CANVAS_HEIGHT),
-        "stde": _scaled_time_delay_udf(float(CANVAS_WIDTH)),
+        "multimatch": _multimatch_udf(),
+        "stde": _scaled_time_delay_udf(),
         "nw_score": _match_udf(),
         "lcs_len": _common_udf(),
     }.items():

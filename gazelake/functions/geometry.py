@@ -16,6 +16,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def size_of(v) -> Column:
+    """A size given as a number or as a column (name)."""
+    return F.lit(v) if isinstance(v, (int, float)) else col(v)
+
+
 def image_stem(path) -> Column:
     """``a/b/f4b47d.png`` -> ``f4b47d``."""
     return F.split(F.element_at(F.split(col(path), "/"), -1), r"\.")[0]
@@ -75,7 +80,7 @@ def stop_length(stops) -> Column:
 
 def clamped_cell(v, size) -> Column:
     """Screen coordinate as an integer inside [0, size - 1]."""
-    size = F.lit(size) if isinstance(size, int) else col(size)
+    size = size_of(size)
     v = F.greatest(v, F.lit(0.0))
     return F.when(v >= size, size - 1).otherwise(v).cast("int")
 
@@ -91,10 +96,13 @@ def pixel_index(v, size, human) -> Column:
 
 
 def grid_symbols(xs, ys, xres=CANVAS_WIDTH, yres=CANVAS_HEIGHT, xbin=16, ybin=12, offset=(0, 0)) -> Column:
-    """Cell number ``row * xbin + column`` of every fixation on an xbin x ybin grid."""
+    """Cell number ``row * xbin + column`` of every fixation on an xbin x ybin grid.
+
+    The size may be a column, so that every row has its own.
+    """
     def cell(p):
-        cx = F.floor(clamped_cell(p["x"] - F.lit(float(offset[0])), xres) * F.lit(xbin) / F.lit(xres))
-        cy = F.floor(clamped_cell(p["y"] - F.lit(float(offset[1])), yres) * F.lit(ybin) / F.lit(yres))
+        cx = F.floor(clamped_cell(p["x"] - F.lit(float(offset[0])), xres) * F.lit(xbin) / size_of(xres))
+        cy = F.floor(clamped_cell(p["y"] - F.lit(float(offset[1])), yres) * F.lit(ybin) / size_of(yres))
         return (cy * F.lit(xbin) + cx).cast("int")
 
     return F.transform(F.arrays_zip(col(xs).alias("x"), col(ys).alias("y")), cell)
@@ -106,11 +114,11 @@ def grid_letters(xs, ys, width=CANVAS_WIDTH, height=CANVAS_HEIGHT, n=5) -> Colum
     The cell size is the integer part of size / n, and nothing is clamped: a
     point beyond the last full column takes the first letter of the next row.
     """
-    step_x, step_y = width // n, height // n
+    step_x, step_y = (F.floor(size_of(v) / F.lit(n)) for v in (width, height))
 
     def letter(p):
-        cell = (F.floor(p["x"].cast("int") / F.lit(step_x))
-                + F.floor(p["y"].cast("int") / F.lit(step_y)) * F.lit(n))
+        cell = (F.floor(p["x"].cast("int") / step_x)
+                + F.floor(p["y"].cast("int") / step_y) * F.lit(n))
         return F.chr(F.lit(97) + cell)
 
     return F.array_join(F.transform(F.arrays_zip(col(xs).alias("x"), col(ys).alias("y")), letter), "")

@@ -250,7 +250,7 @@ def compare_vectors(s1, s2, width, height):
     with np.errstate(invalid="ignore", divide="ignore"):
         lag = np.abs(t1 - t2) / np.abs(np.maximum(t1, t2))
     position = np.sqrt((x1 - x2).astype(np.float64) ** 2 + (y1 - y2).astype(np.float64) ** 2)
-    diagonal = np.hypot(width, height)
+    diagonal = np.hypot(width, height)  # one number, or one per row
     return np.stack([
         1 - _path_median(shape[each, at1[1], at2[1]], used) / (2 * diagonal),
         1 - _path_median(turn, used) / np.pi,
@@ -316,6 +316,7 @@ def simplify(path, t_amp, t_dir, t_dur):
 def multimatch_scores(first, second, width, height, thresholds=None):
     """Five similarities for lists of (x, y, t) paths; NaN below three fixations."""
     out = np.full((len(first), 5), np.nan)
+    width, height = (np.broadcast_to(np.asarray(v, dtype=np.float64), len(first)) for v in (width, height))
     sides = []
     for paths in (first, second):
         side = []
@@ -339,7 +340,7 @@ def multimatch_scores(first, second, width, height, thresholds=None):
         def stacked(side, size):
             return {k: np.stack([side[r][k][:size] for r in rows]) for k in ("x", "y", "dx", "dy", "rho", "theta", "t")}
 
-        out[rows] = compare_vectors(stacked(sides[0], n), stacked(sides[1], m), width, height)
+        out[rows] = compare_vectors(stacked(sides[0], n), stacked(sides[1], m), width[rows], height[rows])
     return out
 
 
@@ -375,9 +376,10 @@ def time_delay(human, simulated, k, mode="mean"):
 def scaled_time_delay(human, simulated, scale, similarity=True):
     """Mean over all window lengths, coordinates divided by ``scale``."""
     out = np.full(len(human), np.nan)
+    scale = np.broadcast_to(np.asarray(scale, dtype=np.float64), len(human))
     for n, m, rows in shape_groups(_lengths([p[0] for p in human]), _lengths([p[0] for p in simulated])):
         if min(n, m):
-            stacks = [_stack([p[c] for p in side], rows) / scale for side in (human, simulated) for c in (0, 1)]
+            stacks = [_stack([p[c] for p in side], rows) / scale[rows, None] for side in (human, simulated) for c in (0, 1)]
             d = delay_distances(*stacks, set(range(1, min(n, m) + 1)), lambda v: v.mean(axis=1))
             out[rows] = (np.exp(-d) if similarity else d).mean(axis=1)
     return out

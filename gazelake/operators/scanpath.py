@@ -2,7 +2,8 @@
 
 Input has the human arrays ``x, y, t`` and the predicted ``px, py, pt`` on the
 scoring canvas, padded. Output is the input row plus score columns. All scores
-are narrow: no operator here shuffles.
+are narrow: no operator here shuffles (a custom region mask is a join). The canvas
+size is a number, or a column name when it differs by row.
 """
 
 from __future__ import annotations

@@ -68,6 +68,27 @@ def test_path_scores_of_identical_paths(spark):
     assert row["sed"] == 0 and all(row[c] == pytest.approx(1) for c in row.asDict() if c != "sed")
 
 
+def test_size_per_row_equals_the_constant_size(spark):
+    df = V.canvas_pairs(spark, SF).select("img_usr_tgt", "gen_no", "x", "y", "t", "px", "py", "pt")
+    by_row = df.withColumns({"w": F.when(F.col("gen_no") % 2 == 0, 512).otherwise(640), "h": F.when(F.col("gen_no") % 2 == 0, 384).otherwise(480)})
+    names = ["sm_wo_d", "sm_w_d", "sed", "stde", *[f"mm_{f}" for f in C.MULTIMATCH_FIELDS]]
+    rows = scanpath.score_trials(by_row, "w", "h").select("img_usr_tgt", "gen_no", *names).toPandas()
+    for parity, size in ((0, (512, 384)), (1, (640, 480))):
+        fixed = scanpath.score_trials(df, *size).filter(F.col("gen_no") % 2 == parity).select("img_usr_tgt", "gen_no", *names).toPandas()
+        mine = rows[rows["gen_no"] % 2 == parity]
+        both = fixed.merge(mine, on=["img_usr_tgt", "gen_no"])
+        assert len(both) == len(fixed)
+        for n in names:
+            assert np.allclose(both[n + "_x"], both[n + "_y"], equal_nan=True)
+
+
+def test_key_without_predicted_points_is_nan(spark):
+    h = spark.sql("SELECT 'a' AS k, 5D AS x, 5D AS y")
+    p = spark.sql("SELECT 'a' AS k, 5D AS px, 5D AS py").limit(0)
+    row = L.saliency_scores(h, p, ["k"]).collect()[0]
+    assert math.isnan(row["cc"]) and math.isnan(row["auc"]) and math.isnan(row["kld"])
+
+
 def test_empty_timed_sequences(spark):
     df = spark.sql("SELECT cast(array() as array<int>) AS a, cast(array() as array<int>) AS b, array(1) AS c")
     row = df.select(C.sequence_alignment("a", "b"), C.sequence_alignment("a", "c"), C.match_ratio("a", "b"), C.match_ratio("a", "c")).collect()[0]
@@ -80,8 +101,8 @@ def test_custom_table_and_sql_names(spark):
     assert df.select(C.sequence_alignment("a", "b", table=table)).collect()[0][0] == pytest.approx(1.0)
     C.register(spark)
     row = spark.sql("SELECT scanmatch(array(1, 2), array(1, 2)), nw_score(array(1, 2), array(2)), lcs_len(array('a', 'b'), array('b')), "
-                    "stde(array(1D), array(1D), array(1D), array(1D)), multimatch(array(1D,2D,9D), array(1D,5D,2D), array(1D,1D,1D), "
-                    "array(1D,2D,9D), array(1D,5D,2D), array(1D,1D,1D)).vector").collect()[0]
+                    "stde(array(1D), array(1D), array(1D), array(1D), 512D), multimatch(array(1D,2D,9D), array(1D,5D,2D), array(1D,1D,1D), "
+                    "array(1D,2D,9D), array(1D,5D,2D), array(1D,1D,1D), 512D, 384D).vector").collect()[0]
     assert list(row) == [1.0, 0.5, 1, 1.0, 1.0]
 
 
