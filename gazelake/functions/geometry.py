@@ -31,7 +31,12 @@ def target_key(target_id) -> Column:
     return F.substr(col(target_id), F.lit(5))
 
 
-def image_path(image, folder="vsgui10k-images", suffix=".png") -> Column:
+# fixed values: folder and suffix of stored screenshots
+IMAGE_FOLDER = "vsgui10k-images"
+IMAGE_SUFFIX = ".png"
+
+
+def image_path(image, folder=IMAGE_FOLDER, suffix=IMAGE_SUFFIX) -> Column:
     return F.concat(F.lit(folder + "/"), col(image), F.lit(suffix))
 
 

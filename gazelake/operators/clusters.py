@@ -194,7 +194,9 @@ def factor_rates(paths: DataFrame, candidates: DataFrame, keys) -> DataFrame:
         *keys, "factor", (F.col("net") / F.col("clusters")).alias("rate"))
 
 
-def leading_trials(test: DataFrame, train: DataFrame, columns) -> DataFrame:
-    """Test and train trials in one table; train follows test in ``trial`` order."""
-    return test.select(*columns).withColumn("source", F.lit(0)).unionByName(
-        train.select(*columns).withColumn("source", F.lit(1)))
+def test_and_train(test: DataFrame, train: DataFrame, columns, order="trial") -> DataFrame:
+    """Test and train trials in one table, ordered test first in ``trial``."""
+    def part(df, source):
+        return df.select(*columns, F.struct(F.lit(source).alias("source"), F.col(order).alias("no")).alias("trial"))
+
+    return part(test, 0).unionByName(part(train, 1))

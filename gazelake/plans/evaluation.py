@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import answers as A
 from ..functions import geometry as G
 from ..operators import clusters, saliency, scanpath, sequences
 from ..session import cut_lineage
@@ -22,6 +23,22 @@ REPORTED = ("sm_score_wo_d", "mm_score_Vec", "mm_score_Dir", "mm_score_Len", "mm
 OVERALL = "all"
 
 
+def from_predictions(records: DataFrame, order=None) -> DataFrame:
+    """Trials to evaluate from prediction records ``(..., prediction array<array<int>>)``.
+
+    Malformed points are repaired, images and targets reduced to their keys.
+    ``order`` names the column that says which trial of a subject is the last;
+    without it the order of one file is taken.
+    """
+    repaired = records.withColumns({
+        "_p": A.repaired("prediction", "width", "height"),
+        "trial": F.monotonically_increasing_id() if order is None else F.col(order)})
+    return repaired.select(
+        "img_usr_tgt", G.image_stem("image").alias("image"), G.target_key("target_id").alias("target_id"), "username",
+        "width", "height", "x", "y", "t", "trial",
+        F.transform("_p", lambda p: p[0].cast("double")).alias("px"), F.transform("_p", lambda p: p[1].cast("double")).alias("py"))
+
+
 def on_canvas(trials: DataFrame, pad: bool) -> DataFrame:
     """Raw trials with human ``x, y, t`` (s) and predicted ``px, py`` on the canvas, in ms."""
     out = trials.withColumns({

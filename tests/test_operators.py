@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -7,7 +8,9 @@ from pyspark.sql import Window, functions as F
 
 from gazelake.functions import comparisons as C
 from gazelake.operators import clusters, packing, prepare, rewards as R, saliency as L, scanpath, sequences, text_scores as T, validation
+from gazelake import schemas
 from gazelake.plans import evaluation, testviews as V
+from gazelake.sources import readers
 from conftest import SF
 
 rng = np.random.default_rng(3)
@@ -373,3 +376,24 @@ def test_report_means_keep_nan(spark):
     scores = spark.createDataFrame([("web", 1.0, float("nan")), ("desktop", 3.0, 2.0)], "ui_type string, sed double, sss double")
     got = {r["subset"]: r for r in evaluation.means(scores, {"sed_score": "sed", "sss_score": "sss"}, "ui_type").collect()}
     assert got["all"]["sed_score"] == 2.0 and math.isnan(got["all"]["sss_score"]) and got["desktop"]["sss_score"] == 2.0
+
+
+def test_prediction_file_to_report(spark, tmp_path):
+    def record(i, prediction):
+        return {"img_usr_tgt": str(i), "image": "shots/im.png", "width": 1024.0, "height": 768.0, "username": f"u{i}", "target_id": "txt_a",
+                "x": [100.0, 500.0, 900.0], "y": [100.0, 300.0, 700.0], "t": [0.1, 0.2, 0.3], "prediction": prediction}
+
+    same = [[100, 100], [500, 300], [900, 700]]
+    (tmp_path / "p.json").write_text(json.dumps([record(0, same), record(1, same + [[7]]), record(2, [[1, 2, 3]])]))
+    records = readers.read_json_array(spark, str(tmp_path / "p.json"), schemas.PREDICTION)
+    trials = evaluation.from_predictions(records)
+    assert [r["px"] for r in trials.orderBy("img_usr_tgt").collect()] == [[100.0, 500.0, 900.0]] * 2 + [[512.0]]
+    got = {r["metric"]: r["value"] for r in evaluation.long_report(evaluation.evaluate(trials)).collect()}
+    assert set(evaluation.REPORTED) <= set(got) and got["sed_score"] == pytest.approx(1.0) and 0.6 < got["sm_score_wo_d"] < 1
+
+
+def test_test_and_train_order(spark):
+    a = spark.sql("SELECT 'k' AS image, 9 AS trial")
+    b = spark.sql("SELECT 'k' AS image, 1 AS trial")
+    both = clusters.test_and_train(a, b, ["image"])
+    assert both.agg(F.max_by("trial", "trial")).collect()[0][0]["source"] == 1
