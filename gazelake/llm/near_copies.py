@@ -44,6 +44,7 @@ class Settings:
 
 #: Counters of the frequency sketch: a bounded table, whatever the corpus.
 SKETCH = 1 << 16
+POSTING = "key long, doc_id long, n long, coordinate int, mask long"
 #: Postings of a list that are compared with each other at once.
 BLOCK = 512
 
@@ -123,7 +124,7 @@ def _signed(s: Settings):
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    data, at = joined(column)
+    data, _ = joined(column)
     return data.view("<u4").reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.uint32)
 
 
@@ -149,11 +150,13 @@ def _posted(s: Settings, sketch: bytes):
             keys = _keys(_matrix(batch.column("signature")))
             order = np.lexsort((keys, counts[(keys >> np.uint64(48)).astype(np.int64)]), axis=1)[:, :s.prefix]
             rows = np.arange(len(keys))[:, None]
+            mask = np.bitwise_or.reduce(np.uint64(1) << order.astype(np.uint64), axis=1)
             ids = np.asarray(batch.column("doc_id"))
             sizes = np.asarray(batch.column("n_shingles"))
             yield pa.RecordBatch.from_pydict({
                 "key": pa.array(keys[rows, order].ravel().view(np.int64)), "doc_id": pa.array(np.repeat(ids, s.prefix)),
-                "n": pa.array(np.repeat(sizes, s.prefix))})
+                "n": pa.array(np.repeat(sizes, s.prefix)), "coordinate": pa.array(order.ravel().astype(np.int32)),
+                "mask": pa.array(np.repeat(mask.view(np.int64), s.prefix))})
     return run
 
 
@@ -191,35 +194,104 @@ def _linked(s: Settings):
     return run
 
 
-def _blocks(s: Settings):
-    """Within (key, i, j) blocks: pairs of different components whose signatures agree enough."""
-    def run(pdf):
-        import pandas as pd
-        side_i, side_j = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        same_block = bool(pdf["i"].iloc[0] == pdf["j"].iloc[0])
-        side_j = side_i if same_block else side_j
-        if not len(side_i) or not len(side_j):
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        si, sj = (np.frombuffer(b"".join(x["signature"]), "<u4").reshape(len(x), -1) for x in (side_i, side_j))
-        agree = np.zeros((len(si), len(sj)), np.int16)
-        for k in range(si.shape[1]):
-            agree += si[:, k][:, None] == sj[:, k][None, :]
-        ni, nj = side_i["n"].to_numpy()[:, None], side_j["n"].to_numpy()[None, :]
-        ok = (agree >= s.matches) & (100 * np.minimum(ni, nj) >= s.percent * np.maximum(ni, nj))
-        ok &= side_i["component_id"].to_numpy()[:, None] != side_j["component_id"].to_numpy()[None, :]
-        x, y = np.nonzero(ok)
-        a, b = side_i["doc_id"].to_numpy()[x], side_j["doc_id"].to_numpy()[y]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole (key, i, j) groups, and where the groups begin, from sorted rows."""
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if rest is None else pa.concat_tables([rest, rows])
+        if rows.num_rows:
+            names = [rows.column(c).to_numpy() for c in ("key", "i", "j")]
+            at = np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in names], axis=0)))
+            if len(at) > 1:
+                yield rows.slice(0, at[-1]).combine_chunks(), at[:-1]
+            rest = rows.slice(at[-1])
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks(), np.zeros(1, np.int64)
+
+
+class _Candidates:
+    """Pairs of a group's rows that may be links and are this group's to look at."""
+
+    def __init__(self, rows: pa.Table, signs: np.ndarray, s: Settings) -> None:
+        self.signs, self.s = signs, s
+        self.component, self.n, self.side, self.coordinate = (rows.column(c).to_numpy() for c in ("component_id", "n", "side", "coordinate"))
+        self.one = rows.column("i").to_numpy() == rows.column("j").to_numpy()
+        bits = np.arange(s.coordinates, dtype=np.uint64)
+        self.prefix = (rows.column("mask").to_numpy().view(np.uint64)[:, None] >> bits & np.uint64(1)).astype(bool)
+
+    def pairs(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        left = np.arange(a, b) if self.one[a] else a + np.flatnonzero(self.side[a:b] == 0)
+        right = left if self.one[a] else a + np.flatnonzero(self.side[a:b] == 1)
+        found = []
+        for k in range(0, len(left), 64):
+            x = left[k:k + 64]
+            smaller, larger = (f(self.n[x][:, None], self.n[right][None, :]) for f in (np.minimum, np.maximum))
+            ok = (self.component[x][:, None] != self.component[right][None, :]) & (100 * smaller >= self.s.percent * larger)
+            if self.one[a]:
+                ok &= x[:, None] < right[None, :]
+            i, j = np.nonzero(ok)
+            i, j = x[i], right[j]
+            same = self.signs[i] == self.signs[j]
+            enough = np.flatnonzero(same.sum(axis=1) >= self.s.matches)
+            i, j, same = i[enough], j[enough], same[enough]
+            # of all lists that two documents share, the one of the lowest coordinate has the pair
+            first = (same & self.prefix[i] & self.prefix[j]).argmax(axis=1)
+            mine = first == self.coordinate[a]
+            found.append((i[mine], j[mine]))
+        return tuple(np.concatenate(f) for f in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def _open(s: Settings):
+    """Keep the rows of (key, i, j) groups that have a pair to be looked at, without their signatures."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, at in _groups(batches):
+            c = _Candidates(rows, _matrix(pa.concat_arrays(rows.column("signature").chunks)), s)
+            keep = np.zeros(rows.num_rows, bool)
+            for a, b in zip(at, np.append(at[1:], rows.num_rows)):
+                for k in c.pairs(a, b):
+                    keep[k] = True
+            yield from rows.drop_columns(["signature"]).filter(pa.array(keep)).combine_chunks().to_batches()
+    return run
+
+
+def _proved(s: Settings):
+    """Links within (key, i, j) groups, on the full sets; of rows linked already, a pair is skipped."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, at in _groups(batches):
+            ids = rows.column("doc_id").to_numpy()
+            out = []
+            for a, b in zip(at, np.append(at[1:], rows.num_rows)):
+                group = rows.slice(a, b - a).combine_chunks()
+                values, ends = shingles(*joined(pa.concat_arrays(group.column("text").chunks).cast(pa.binary())), s.words)
+                c = _Candidates(group, signatures(values, ends, s.coordinates), s)
+                root = {}
+
+                def find(x: int) -> int:
+                    while root.get(x, x) != x:
+                        x = root[x]
+                    return x
+
+                for i, j in zip(*(k.tolist() for k in c.pairs(0, b - a))):
+                    p, q = find(int(c.component[i])), find(int(c.component[j]))
+                    if p == q:
+                        continue
+                    x, y = values[ends[i]:ends[i + 1]], values[ends[j]:ends[j + 1]]
+                    x, y = (x, y) if len(x) > len(y) else (y, x)
+                    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                    if 100 * both >= s.percent * (len(x) + len(y) - both):
+                        root[p] = q
+                        out.append((ids[a + i], ids[a + j]))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
     return run
 
 
-def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, s: Settings, counted: bool = False) -> DataFrame:
-    """The links among ``pairs`` (a, b): first by signature (unless counted already), then on the full sets."""
-    if not counted:
-        sign = signed.select(F.col("doc_id"), F.col("signature"), F.col("n_shingles"))
-        full = (pairs.join(sign.toDF("a", "sa", "na"), "a").join(sign.toDF("b", "sb", "nb"), "b")
-                .select("a", "b", "sa", "sb", "na", "nb"))
-        pairs = stage(full.mapInArrow(_alike(s), "a long, b long"))
+def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """The links among ``pairs`` (a, b): first by signature, then on the full sets."""
+    sign = signed.select(F.col("doc_id"), F.col("signature"), F.col("n_shingles"))
+    full = (pairs.join(sign.toDF("a", "sa", "na"), "a").join(sign.toDF("b", "sb", "nb"), "b")
+            .select("a", "b", "sa", "sb", "na", "nb"))
+    pairs = stage(full.mapInArrow(_alike(s), "a long, b long"))
     text = docs.select("doc_id", "text")
     # the few texts that are needed, taken once
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -255,7 +327,7 @@ def near_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     # at most SKETCH rows
     for row in heads.select("signature").mapInArrow(_sketched, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
         sketch[row["slot"]] = row["n"]
-    posted, posted_path = write_stage(heads.mapInArrow(_posted(s, sketch.tobytes()), "key long, doc_id long, n long"))
+    posted, posted_path = write_stage(heads.mapInArrow(_posted(s, sketch.tobytes()), POSTING))
     lists = posted.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
                                       F.min(F.struct(F.xxhash64("doc_id", "key"), "doc_id")).alias("any"))
     shared, shared_path = write_stage(posted.join(lists.filter("low <> high").select("key", "low", F.col("any.doc_id").alias("any")), "key"))
@@ -272,18 +344,23 @@ def near_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     links = stage(links.unionByName(_confirmed(stars, heads, text, s)))
     labels = stage(components(links))
     # what is left: documents of one list in different components
-    placed, placed_path = write_stage(_with_components(shared.select("key", "doc_id", "n"), labels))
+    placed, placed_path = write_stage(_with_components(shared.drop("low", "any"), labels))
     mixed = placed.groupBy("key").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y"), F.count("*").alias("m"))
     mixed = placed.join(mixed.filter("x <> y").select("key", "m"), "key")
     blocks = F.ceil(F.col("m") / BLOCK)
     mixed = mixed.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn(
         "pair", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.struct(
             F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))))
-    mixed = mixed.select("key", "pair.i", "pair.j", "doc_id", "n", "component_id",
+    mixed = mixed.select("key", "pair.i", "pair.j", "doc_id", "n", "coordinate", "mask", "component_id",
                          F.when(F.col("block") == F.col("pair.i"), 0).otherwise(1).alias("side"))
-    mixed = mixed.join(heads.select("doc_id", "signature"), "doc_id")
-    pairs = stage(mixed.groupBy("key", "i", "j").applyInPandas(_blocks(s), "a long, b long").distinct())
-    links = links.unionByName(_confirmed(pairs, heads, text, s, counted=True))
+    group = ("key", "i", "j")
+    signs = mixed.join(heads.select("doc_id", "signature"), "doc_id").repartition(*group).sortWithinPartitions(*group)
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in mixed.schema.fields)
+    undecided = stage(signs.select(*mixed.columns, "signature").mapInArrow(_open(s), shape))
+    # a document's text goes to each group that has a pair of it to look at
+    needed = stage(text.join(undecided.select("doc_id").distinct(), "doc_id"))
+    read = undecided.join(needed, "doc_id").select(*mixed.columns, "text").repartition(*group).sortWithinPartitions(*group)
+    links = stage(links.unionByName(read.mapInArrow(_proved(s), "a long, b long")))
     labels = stage(components(links.unionByName(copies)))
     drop_stage(spark, shared_path)
     drop_stage(spark, placed_path)
