@@ -10,6 +10,7 @@ selector all at once.
 
 from __future__ import annotations
 
+import functools
 import json
 import zlib
 from collections.abc import Iterator
@@ -117,28 +118,36 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t["content"] for t in json.load(open(path, encoding="utf-8"))["added_tokens"]]
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        value = np.array(ids, "<u4").tobytes()
-        if len(piece) < 64:
-            if len(self) > CACHE:
-                self.clear()
-            self[piece] = value
-        return value
+    def _learn(self, pieces: list[str]) -> None:
+        if len(self) > CACHE:
+            self.clear()
+            self[""] = b""
+        for piece, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
+            self[piece] = np.array(e.ids, "<u4").tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts; pieces that are not known yet are encoded together, once."""
+        cut = [None if any(s in t for s in self.special) else t.replace("\n", " ").split(" ") for t in texts]
+        self._learn(list(set().union(*[c for c in cut if c]) - self.keys()))
+        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        return [whole(t) if c is None else b"".join(map(self.__getitem__, c)) for t, c in zip(texts, cut)]
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        return self.encode_all([text])[0]
+
+
+@functools.lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
 
 def _segments(path: str, end: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of, part, seq, first = WordIds(path), TaskContext.get().partitionId(), 0, 0
+        words_of, part, seq, first = word_ids(path), TaskContext.get().partitionId(), 0, 0
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             for part_batch in slices(batch, "text"):
-                rows = [words_of.encode(t or "") + last for t in part_batch.column("text").to_pylist()]
+                rows = [ids + last for ids in words_of.encode_all([t or "" for t in part_batch.column("text").to_pylist()])]
                 counts = [len(r) // 4 for r in rows]
                 ids = np.frombuffer(b"".join(rows), "<u4")
                 words, at, escapes = pack(ids)
