@@ -50,10 +50,10 @@ def points(text, pattern=STRICT_POINT) -> Column:
     text = col(text)
     xs = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     ys = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    largest = F.lit(2**31 - 1).cast("bigint")
+    largest = F.lit(2**63 - 1).cast("bigint")
 
     def number(digits):
-        return F.least(F.coalesce(digits.try_cast("bigint"), largest), largest).cast("int")
+        return F.coalesce(digits.try_cast("bigint"), largest)
 
     return F.zip_with(xs, ys, lambda a, b: F.struct(number(a).alias("x"), number(b).alias("y")))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession, functions as F
 from pyspark.sql.functions import arrow_udf, pandas_udf
 
@@ -19,18 +20,27 @@ def _ratio(numerator, denominator):
 
 def _sequences(a, b):
     """Two Arrow list columns as lists of NumPy arrays, and the longer length of each row."""
-    a, b = a.to_pandas().tolist(), b.to_pandas().tolist()
+    empty = np.empty(0, np.int64)
+    a, b = ([empty if v is None else v for v in c.to_pandas().tolist()] for c in (a, b))
     return a, b, np.array([max(len(p), len(q)) for p, q in zip(a, b)], dtype=np.float64)
 
 
+def _known(result, *inputs):
+    """Null where an input is null."""
+    missing = inputs[0].is_null()
+    for column in inputs[1:]:
+        missing = pc.or_(missing, column.is_null())
+    return pc.if_else(missing, pa.scalar(None, result.type), result)
+
+
 # Scores are returned as Arrow arrays: from pandas a NaN would become a null.
 
 def _alignment_udf(matrix, gap=0.0, eps=0.0):
     @arrow_udf("double")
     def score(a: pa.Array, b: pa.Array) -> pa.Array:
-        a, b, longest = _sequences(a, b)
-        _, best = kernels.align_scores(a, b, lambda u, v: matrix[u, v], gap, edge=1)
-        return _ratio(best, matrix.max() * longest + eps)
+        p, q, longest = _sequences(a, b)
+        _, best = kernels.align_scores(p, q, lambda u, v: matrix[u, v], gap, edge=1)
+        return _known(_ratio(best, matrix.max() * longest + eps), a, b)
 
     return score
 
@@ -38,11 +48,11 @@ def _alignment_udf(matrix, gap=0.0, eps=0.0):
 def _match_udf(gap=0.0):
     @arrow_udf("double")
     def score(a: pa.Array, b: pa.Array) -> pa.Array:
-        a, b, longest = _sequences(a, b)
+        left, right, longest = _sequences(a, b)
         if gap == 0.0:
-            return _ratio([kernels.lcs_length(p.tolist(), q.tolist()) for p, q in zip(a, b)], longest)
-        last, _ = kernels.align_scores(a, b, lambda u, v: (u == v).astype(np.float64), gap)
-        return _ratio(last, longest)
+            return _known(_ratio([kernels.lcs_length(p.tolist(), q.tolist()) for p, q in zip(left, right)], longest), a, b)
+        last, _ = kernels.align_scores(left, right, lambda u, v: (u == v).astype(np.float64), gap)
+        return _known(_ratio(last, longest), a, b)
 
     return score
 
@@ -50,7 +60,7 @@ def _match_udf(gap=0.0):
 def _common_udf():
     @arrow_udf("int")
     def lcs(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([kernels.lcs_length(p, q) for p, q in zip(a.to_pylist(), b.to_pylist())], pa.int32())
+        return pa.array([None if p is None or q is None else kernels.lcs_length(p, q) for p, q in zip(a.to_pylist(), b.to_pylist())], pa.int32())
 
     return lcs
 

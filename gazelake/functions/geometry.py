@@ -41,8 +41,9 @@ def image_path(image, folder=IMAGE_FOLDER, suffix=IMAGE_SUFFIX) -> Column:
 
 
 def rescale(values, size, target) -> Column:
+    """Scaled coordinates; null where the size is 0."""
     size, target = col(size), F.lit(float(target))
-    return F.transform(col(values), lambda v: v / size * target)
+    return F.transform(col(values), lambda v: F.try_divide(v, size) * target)
 
 
 def denormalize(values, mean, std) -> Column:
@@ -113,20 +114,44 @@ def grid_symbols(xs, ys, xres=CANVAS_WIDTH, yres=CANVAS_HEIGHT, xbin=16, ybin=12
     return F.transform(F.arrays_zip(col(xs).alias("x"), col(ys).alias("y")), cell)
 
 
-def grid_letters(xs, ys, width=CANVAS_WIDTH, height=CANVAS_HEIGHT, n=5) -> Column:
-    """One letter per fixation on an n x n grid, as a string.
+def whole(v) -> Column:
+    """The integer part as a long; values no screen has stay at the bounds, NaN is 0."""
+    return F.least(F.greatest(F.nanvl(v, F.lit(0.0)), F.lit(-4e15)), F.lit(4e15)).cast("bigint")
+
+
+def open_cells(xs, ys, width=CANVAS_WIDTH, height=CANVAS_HEIGHT, n=5) -> Column:
+    """Cell number of every fixation on an n x n grid that goes on beyond the screen.
 
     The cell size is the integer part of size / n, and nothing is clamped: a
-    point beyond the last full column takes the first letter of the next row.
+    point beyond the last full column takes the first cell of the next row.
     """
     step_x, step_y = (F.floor(size_of(v) / F.lit(n)) for v in (width, height))
+    return F.transform(F.arrays_zip(col(xs).alias("x"), col(ys).alias("y")), lambda p: (
+        F.floor(whole(p["x"]) / step_x) + F.floor(whole(p["y"]) / step_y) * F.lit(n)))
+
+
+def _letter(code) -> Column:
+    """The character of a code point; ``chr`` alone would repeat after 256 of them."""
+    return F.when(code < 250, F.chr(code)).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
+def grid_letters(xs, ys, width=CANVAS_WIDTH, height=CANVAS_HEIGHT, n=5) -> Column:
+    """One letter per fixation on an open n x n grid, as a string, from ``a`` for cell 0.
+
+    Cells beyond all characters share the last one; compare cells by ``common_letters``.
+    """
+    def letter(cell):
+        code = F.greatest(F.lit(97) + cell, F.lit(1))
+        # code points of half characters are skipped
+        return _letter(F.least(F.when(code >= 0xD800, code + 0x800).otherwise(code), F.lit(0x10FFFF)))
+
+    return F.array_join(F.transform(open_cells(xs, ys, width, height, n), letter), "")
 
-    def letter(p):
-        cell = (F.floor(p["x"].cast("int") / step_x)
-                + F.floor(p["y"].cast("int") / step_y) * F.lit(n))
-        return F.chr(F.lit(97) + cell)
 
-    return F.array_join(F.transform(F.arrays_zip(col(xs).alias("x"), col(ys).alias("y")), letter), "")
+def common_letters(a, b) -> tuple[Column, Column]:
+    """Two cell arrays as strings in which the same cell has the same letter, whatever its number."""
+    known = F.array_distinct(F.concat(a, b))
+    return tuple(F.array_join(F.transform(cells, lambda c: _letter(F.array_position(known, c) + F.lit(96))), "") for cells in (a, b))
 
 
 def repeat_by_duration(symbols, durations, bin_ms=50, rounding="half_even") -> Column:

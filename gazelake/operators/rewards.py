@@ -26,20 +26,24 @@ def path_symbols(points, width, height) -> Column:
 def scanpath_reward(df: DataFrame, name="accuracy_scanpath") -> DataFrame:
     """Grid alignment of the answer with the solution, in [0, 1].
 
-    An answer without points scores 0. The whole solution text is searched for
-    points; one without any is padded like a short path.
+    An answer without points scores 0, and so does one that cannot be scored: a null
+    text, a size that is not positive, a score that is not a number. The whole solution
+    text is searched for points; one without any is padded like a short path.
     """
     parsed = df.withColumns({
         "_said": A.answer_points("content"),
         "_true": A.points(A.normalized(A.stripped("solution")))})
-    symbols = parsed.withColumns({
-        "_a": path_symbols(F.col("_said"), "width", "height"),
-        "_b": path_symbols(F.col("_true"), "width", "height")})
+    usable = F.coalesce(F.col("_said").isNotNull() & F.col("_true").isNotNull() & (F.col("width") > 0) & (F.col("height") > 0), F.lit(False))
+    none = F.array().cast("array<int>")
+    symbols = parsed.withColumn("_usable", usable).withColumns({
+        "_a": F.when(F.col("_usable"), path_symbols(F.col("_said"), "width", "height")).otherwise(none),
+        "_b": F.when(F.col("_usable"), path_symbols(F.col("_true"), "width", "height")).otherwise(none)})
     score = C.sequence_alignment("_b", "_a", eps=REWARD_EPS)
-    clipped = F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))
+    # a NaN sorts above all numbers
+    clipped = F.least(F.greatest(F.nanvl(score, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     return (symbols.withColumn("_score", clipped)
-            .withColumn(name, F.when(F.size("_said") == 0, F.lit(0.0)).otherwise(F.coalesce("_score", F.lit(0.0))))
-            .drop("_said", "_true", "_a", "_b", "_score"))
+            .withColumn(name, F.when(~F.col("_usable") | (F.size("_said") == 0), F.lit(0.0)).otherwise(F.coalesce("_score", F.lit(0.0))))
+            .drop("_said", "_true", "_a", "_b", "_score", "_usable"))
 
 
 def format_reward(df: DataFrame, name="format") -> DataFrame:

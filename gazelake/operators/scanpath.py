@@ -82,9 +82,9 @@ def edit_distance(df: DataFrame, n=5, substitution=1, width=G.CANVAS_WIDTH, heig
 
 
 def _letter_distance(n, substitution, width, height):
-    human = G.grid_letters(*HUMAN[:2], width, height, n)
-    pred = G.grid_letters(*PREDICTED[:2], width, height, n)
-    return C.edit_distance(human, pred, substitution)
+    human = G.open_cells(*HUMAN[:2], width, height, n)
+    pred = G.open_cells(*PREDICTED[:2], width, height, n)
+    return C.edit_distance(*G.common_letters(human, pred), substitution)
 
 
 def time_delay(df: DataFrame, k=3, mode="mean", name="time_delay") -> DataFrame:

@@ -76,8 +76,8 @@ def categories(df: DataFrame, segmentation: DataFrame, id_cols, x="x", y="y", na
     points = df.select("image", *id_cols, F.posexplode(F.arrays_zip(F.col(x).alias("x"), F.col(y).alias("y"))).alias("pos", "p"))
     placed = points.select(
         "image", *id_cols, "pos",
-        (F.col("p.x") / F.lit(float(width)) * F.lit(float(to_width))).cast("int").alias("_x"),
-        (F.col("p.y") / F.lit(float(height)) * F.lit(float(to_height))).cast("int").alias("y"))
+        G.whole(F.col("p.x") / F.lit(float(width)) * F.lit(float(to_width))).alias("_x"),
+        G.whole(F.col("p.y") / F.lit(float(height)) * F.lit(float(to_height))).alias("y"))
     # a negative index counts from the far edge; beyond the raster has no category
     placed = placed.withColumns({
         "_x": F.when(F.col("_x") < 0, F.col("_x") + to_width).otherwise(F.col("_x")),

@@ -215,7 +215,7 @@ def sed(spark, sf):
 
 def _answer_canvas(spark, sf):
     """Points parsed from the logged answers, on the canvas, next to the human path."""
-    said = V.completions(spark, sf).withColumn("p", A.answer_points("content")).filter(F.size("p") > 0)
+    said = V.completions(spark, sf).withColumn("p", A.answer_points("content"))
     true = F.transform("p", lambda p: p["x"].cast("double"))
     df = said.withColumns({"px": true, "py": F.transform("p", lambda p: p["y"].cast("double")),
                            "s": A.points(A.normalized("solution"))})
@@ -224,7 +224,7 @@ def _answer_canvas(spark, sf):
 
 
 @query("sed_by_type", S.with_(S.REWARDS, f"""
-, s AS (SELECT ui_type, levenshtein({S.grid_letters('spx3', 'spy3')}, {S.grid_letters('apx3', 'apy3')}) AS sed FROM reward_pad WHERE len(ax) > 0)
+, s AS (SELECT ui_type, levenshtein({S.grid_letters('spx3', 'spy3')}, {S.grid_letters('apx3', 'apy3')}) AS sed FROM reward_pad)
 SELECT coalesce(ui_type, 'all') AS subset, count(*) AS answers, {sql_r6('avg(sed)')} AS sed FROM s GROUP BY GROUPING SETS ((ui_type), ())"""))
 def sed_by_type(spark, sf):
     """Logged answers to points to letter strings to mean distance per UI type and overall."""

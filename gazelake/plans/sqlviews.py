@@ -170,8 +170,8 @@ tok AS (
 
 SAMPLES = """
 turns AS (
-  SELECT conv_id, turn, CASE role WHEN 'user' THEN 'human' ELSE 'gpt' END AS sender, text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations WHERE role <> 'system'
+  SELECT conv_id, turn, CASE role WHEN 'user' THEN 'human' WHEN 'system' THEN 'system' ELSE 'gpt' END AS sender, text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations
 ), marked AS (
   SELECT conv_id, pos, sender, CASE WHEN pos = 1 AND conv_id % 3 <> 0 AND conv_id % 7 <> 6 THEN concat(text, chr(10), '<image>') ELSE text END AS value FROM turns
 ), samples AS (

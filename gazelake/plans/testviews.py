@@ -145,8 +145,8 @@ def token_logps(spark, sf_dir) -> DataFrame:
 
 def samples(spark, sf_dir) -> DataFrame:
     """Training samples from the conversations; some name an image."""
-    turns = table(spark, sf_dir, "conversations").filter(F.col("role") != "system")
-    speaker = F.when(F.col("role") == "user", "human").otherwise("gpt")
+    turns = table(spark, sf_dir, "conversations")
+    speaker = F.when(F.col("role") == "user", "human").when(F.col("role") == "system", "system").otherwise("gpt")
     rows = F.array_sort(F.collect_list(F.struct("turn", speaker.alias("from"), F.col("text").alias("value"))))
     grouped = turns.groupBy("conv_id").agg(rows.alias("r"))
     has_image = F.col("conv_id") % 3 != 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 from ..functions import prompts as P
 from ..operators import packing, prepare, rewards as R, validation
@@ -71,35 +71,35 @@ _STEPS = S.TOKENS + """, answered AS (SELECT *, prompt_id // 50 AS step, answer_
 ), grouped AS (SELECT *, stddev_samp(reward) OVER (PARTITION BY step, prompt_id) AS sd FROM answered
 ), steps AS (
   SELECT step, avg(answer_length) AS completion_length, avg(reward) AS "rewards/length", avg(reward) AS reward, avg(mean_kl) AS kl,
-         avg(coalesce(sd, 0.0)) AS reward_std FROM grouped GROUP BY step
+         CASE WHEN count(*) > count(sd) THEN NULL ELSE avg(sd) END AS reward_std FROM grouped GROUP BY step
 )"""
 
 
 def _steps(spark, sf):
     df = R.kl_tokens(V.token_logps(spark, sf)).withColumn("reward", F.col("answer_length").cast("double"))
     df = df.withColumns({"step": F.floor(F.col("prompt_id") / 50), "length": F.col("reward")})
-    # the fixture has prompts of one answer, whose deviation would make a step NaN
-    full = R.group_statistics(df).filter(F.isnan("reward_std")).select("prompt_id")
-    several = df.join(full, "prompt_id", "left_anti")
-    return R.step_metrics(several, ("length",))
+    # a prompt of one answer has no deviation: the mean of its step is not a number
+    return R.step_metrics(df, ("length",))
 
 
-_FULL_STEPS = _STEPS.replace("FROM grouped GROUP BY step", "FROM grouped WHERE sd IS NOT NULL GROUP BY step")
+def _number(c) -> Column:
+    """Six digits; not a number is compared as null."""
+    return r6(F.nanvl(c, F.lit(None).cast("double")))
 
 
-@query("step_metrics", S.with_(_FULL_STEPS, "SELECT step, " + ", ".join(
+@query("step_metrics", S.with_(_STEPS, "SELECT step, " + ", ".join(
     f'{sql_r6(chr(34) + c + chr(34))} AS "{c}"' for c in ("completion_length", "rewards/length", "reward", "kl", "reward_std")) + " FROM steps"))
 def step_metrics(spark, sf):
     df = _steps(spark, sf)
-    return df.select("step", *[r6(F.col(f"`{c}`")).alias(c) for c in ("completion_length", "rewards/length", "reward", "kl", "reward_std")])
+    return df.select("step", *[_number(F.col(f"`{c}`")).alias(c) for c in ("completion_length", "rewards/length", "reward", "kl", "reward_std")])
 
 
-@query("logged_metrics", S.with_(_FULL_STEPS, f"""
-, long AS (UNPIVOT (SELECT step // 10 AS log_no, completion_length, "rewards/length", reward, kl, reward_std FROM steps)
-  ON completion_length, "rewards/length", reward, kl, reward_std INTO NAME metric VALUE value)
-SELECT log_no, concat('eval_', metric) AS metric, {sql_r6('avg(value)')} AS value FROM long GROUP BY ALL"""))
+@query("logged_metrics", S.with_(_STEPS, f"""
+, long AS (SELECT * FROM (SELECT step // 10 AS log_no, completion_length, "rewards/length", reward, kl, reward_std FROM steps)
+  UNPIVOT INCLUDE NULLS (value FOR metric IN (completion_length, "rewards/length", reward, kl, reward_std)))
+SELECT log_no, concat('eval_', metric) AS metric, {sql_r6('CASE WHEN count(*) > count(value) THEN NULL ELSE avg(value) END')} AS value FROM long GROUP BY ALL"""))
 def logged_metrics(spark, sf):
-    return R.logged_metrics(_steps(spark, sf), 10, prefix="eval_").select("log_no", "metric", r6("value").alias("value"))
+    return R.logged_metrics(_steps(spark, sf), 10, prefix="eval_").select("log_no", "metric", _number(F.col("value")).alias("value"))
 
 
 @query("last_tokens", S.with_(S.TOKENS, """

@@ -30,19 +30,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the written copy.
 
     Used where a later step reads the same rows several times, or where row
-    placement has to stay as it is. Without a checkpoint folder the plan is
-    returned as it is and is recomputed by each reader.
+    placement has to stay as it is. A cluster has to name the folder: without one
+    nothing is recomputed in silence.
     """
     if checkpoint_dir(df.sparkSession) is None:
-        return df
+        raise ValueError("set spark.checkpoint.dir: this operator needs a written copy of its input")
     return df.checkpoint(eager=True)
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """``cut_lineage`` for callers whose result is wrong when rows move."""
-    if checkpoint_dir(df.sparkSession) is None:
-        raise ValueError("set spark.checkpoint.dir: this operator needs a written copy of its input")
-    return df.checkpoint(eager=True)
+#: For callers whose result is wrong when rows move.
+pinned = cut_lineage
 
 
 def spread(df: DataFrame, *keys) -> DataFrame:

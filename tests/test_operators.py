@@ -397,3 +397,27 @@ def test_test_and_train_order(spark):
     b = spark.sql("SELECT 'k' AS image, 1 AS trial")
     both = clusters.test_and_train(a, b, ["image"])
     assert both.agg(F.max_by("trial", "trial")).collect()[0][0]["source"] == 1
+
+
+def test_cells_far_off_the_screen_differ(spark):
+    from gazelake.operators import scanpath
+    df = spark.createDataFrame([([1.0] * 3, [1.0] * 3, [110.0] * 3, [3880.0] * 3), ([1e300, float("nan"), -5e9], [0.0] * 3, [1e300, 0.0, 7.0], [0.0] * 3)],
+                               "x array<double>, y array<double>, px array<double>, py array<double>")
+    assert [r["sed"] for r in scanpath.edit_distance(df).collect()] == [3, 1]
+
+
+def test_answers_that_cannot_be_scored_get_0(spark):
+    from gazelake.operators import rewards
+    good = "<think>t</think><answer>[10, 20], [30, 40]</answer>"
+    rows = [(good, good, 100, 100), (None, good, 100, 100), (good, None, 100, 100), (good, good, 0, 100), (good, good, None, 100),
+            (good.replace("10", "9" * 30), good, 100, 100)]
+    got = rewards.scanpath_reward(spark.createDataFrame(rows, "content string, solution string, width int, height int")).collect()
+    assert got[0]["accuracy_scanpath"] > 0.99 and [r["accuracy_scanpath"] for r in got[1:5]] == [0.0] * 4
+    assert 0 <= got[5]["accuracy_scanpath"] <= 1
+
+
+def test_sequence_scores_of_nulls_are_null(spark):
+    from gazelake.functions import comparisons as C
+    df = spark.createDataFrame([(None, [1, 2]), ([1], None), ([1, 2], [1, 2])], "a array<int>, b array<int>")
+    got = df.select(C.sequence_alignment("a", "b").alias("s"), C.match_ratio("a", "b").alias("m")).collect()
+    assert [(r["s"], r["m"]) for r in got[:2]] == [(None, None)] * 2 and got[2]["m"] == 1.0
