@@ -14,7 +14,7 @@ def pts(rows):
 @pytest.mark.parametrize("text,expected", [
     ("[ 10, 20 ]", [(10, 20)]), ("[5-6]", [(5, 6)]), ("[-5, 3]", []), ("[3,4]", [(3, 4)]),
     ("{'Position': [1, 2]}", [(1, 2)]), ("[  7, 8]", []), ("No Objects", []), ("[1, 2] [3, 4]", [(1, 2), (3, 4)]),
-    ("[99999999999999999999, 1]", [(2147483647, 1)]),
+    ("[99999999999999999999, 1]", [(2**63 - 1, 1)]),
 ])
 def test_strict_points(one_row, text, expected):
     row = one_row({"t": f'"{text}"'}, A.points(A.normalized("t")))
