@@ -152,10 +152,20 @@ class Encoder(dict):
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN) -> None:
         super().__init__()
-        self.vocabulary, self.pattern = Vocabulary(path), regex.compile(pattern)
+        self.vocabulary, self.pattern, self.pieces = Vocabulary(path), regex.compile(pattern), {}
+
+    def piece_ids(self, piece: str) -> list[int]:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = PrefixTable(self.vocabulary, piece.encode()).ids()
+            if len(piece) < 64:
+                if len(self.pieces) > CACHE:
+                    self.pieces.clear()
+                self.pieces[piece] = ids
+        return ids
 
     def unit_ids(self, unit: str) -> list[int]:
-        return [i for m in self.pattern.findall(unit) for i in PrefixTable(self.vocabulary, m.encode()).ids()]
+        return [i for m in self.pattern.findall(unit) for i in self.piece_ids(m)]
 
     def __missing__(self, unit: str) -> tuple[str, int, bytes, bytes]:
         ids = self.unit_ids(unit)
@@ -170,17 +180,14 @@ class Encoder(dict):
         return b"".join(map(self.vocabulary.bytes.__getitem__, ids))
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.packed(text), "<i4").tolist()
+        return np.frombuffer(self.digest(text)[3], "<i4").tolist()
 
-    def packed(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit integers."""
-        return b"".join([self[unit][3] for unit in UNIT.findall(text)])
-
-    def digest(self, text: str) -> tuple[int, str, str]:
+    def digest(self, text: str) -> tuple[int, str, str, bytes]:
+        """Number of ids, digests of ids and decoded bytes, and the ids as little-endian 32-bit integers."""
         got = list(map(self.__getitem__, UNIT.findall(text)))
         ids = " ".join([x[0] for x in got])
         return (sum([x[1] for x in got]), hashlib.sha256(ids.encode()).hexdigest(),
-                hashlib.sha256(b"".join([x[2] for x in got])).hexdigest())
+                hashlib.sha256(b"".join([x[2] for x in got])).hexdigest(), b"".join([x[3] for x in got]))
 
 
 @functools.lru_cache(maxsize=2)
@@ -199,7 +206,7 @@ def _roundtrips(path: str, with_ids: bool):
                        "ids_sha256": pa.array([x[1] for x in got], pa.string()),
                        "decoded_sha256": pa.array([x[2] for x in got], pa.string())}
                 if with_ids:
-                    flat = np.frombuffer(b"".join(map(e.packed, texts)), "<i4")
+                    flat = np.frombuffer(b"".join([x[3] for x in got]), "<i4")
                     ends = np.cumsum([0] + [x[0] for x in got]).astype(np.int32)
                     out["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_pydict(out)
