@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +31,9 @@ PACKS = [(1, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (
          (3, 20), (2, 30), (1, 60)]
 COUNTS = np.array([n for n, _ in PACKS], np.int64)
 #: Cached words of a worker, at most.
-CACHE = 400_000
+CACHE = 800_000
+#: A single mark between a letter and white space: the pre-tokenizer parts it from the word anyway.
+SENTENCE_MARK = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \n]|$)")
 END = 1
 VOCABULARY = "word_bpe_49k.json"
 FILE_SCHEMA = ("part int, seq int, first long, doc_ids array<bigint>, doc_tokens array<bigint>, n_ids long, "
@@ -119,15 +122,16 @@ class WordIds(dict):
         self.special = [t["content"] for t in json.load(open(path, encoding="utf-8"))["added_tokens"]]
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self) > CACHE:
-            self.clear()
-            self[""] = b""
         for piece, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
             self[piece] = np.array(e.ids, "<u4").tobytes()
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts; pieces that are not known yet are encoded together, once."""
-        cut = [None if any(s in t for s in self.special) else t.replace("\n", " ").split(" ") for t in texts]
+        if len(self) > CACHE:
+            # before the pieces of these texts are looked up
+            self.clear()
+            self[""] = b""
+        cut = [None if any(s in t for s in self.special) else SENTENCE_MARK.sub(r" \1", t).replace("\n", " ").split(" ") for t in texts]
         self._learn(list(set().union(*[c for c in cut if c]) - self.keys()))
         whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
         return [whole(t) if c is None else b"".join(map(self.__getitem__, c)) for t, c in zip(texts, cut)]

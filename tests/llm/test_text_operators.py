@@ -95,8 +95,8 @@ def test_packing_is_dense():
     assert len(words) == -(-1024 // 60)
 
 
-@settings(max_examples=100, deadline=None)
-@given(text=st.text(alphabet="ab the  \n\té'sS1?…中\x1cΣσİ́\xa0", max_size=40))
+@settings(max_examples=200, deadline=None)
+@given(text=st.text(alphabet="ab the  \n\té'sS1?.,…中\x1cΣσİ́\xa0", max_size=40))
 def test_word_ids_are_the_library_s(text):
     path = public_tokenizers.path(token_files.VOCABULARY)
     own = np.frombuffer(token_files.word_ids(path).encode(text), "<u4").tolist()
@@ -107,6 +107,15 @@ def library(path, cache={}):
     return cache.setdefault(path, Tokenizer.from_file(path))
 
 
+def test_a_full_cache_starts_anew(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE", 3)
+    path = public_tokenizers.path(token_files.VOCABULARY)
+    words = token_files.WordIds(path)
+    for texts in (["one two three four."], ["two five", "one two"], ["four, one two three"]):
+        want = [library(path).encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in words.encode_all(texts)] == want
+
+
 def _expected_files(rows):
     t, start, out = library(public_tokenizers.path(token_files.VOCABULARY)), 0, []
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
