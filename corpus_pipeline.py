@@ -14,7 +14,7 @@ NEAR = near_copies.Settings(words=5, percent=80, coordinates=64, matches=34)
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
     score = toxicity.score_column(toxicity.train_tables(spark, sf_dir))
-    return docs.withColumn("_score", score("text")).filter(F.col("_score") < toxicity.THRESHOLD).select(docs.columns)
+    return docs.filter(score("text") < toxicity.THRESHOLD)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +26,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that are there elsewhere too are cut out of the texts; n_chars follows."""
-    carry = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
-    out = repeats.remove_repeats(docs.withColumn("_none", F.col("text").isNull()), carry=(*carry, "_none"), form="kept_text")
-    text = F.when(~F.col("_none"), F.col("kept_text"))
-    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    # numbered names: a document's own columns may be called anything
+    carry = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in ("text", "n_chars")}
+    source = docs.select(F.col("text"), F.col("text").isNull().alias("none"), *[F.col(c).alias(n) for c, n in carry.items()])
+    out = repeats.remove_repeats(source, carry=("none", *carry.values()), form="kept_text")
+    text = F.when(~F.col("none"), F.col("kept_text"))
+    made = {"text": text, "n_chars": F.length(text).cast("long")}
+    return out.select(*[(made[c] if c in made else F.col(carry[c])).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -142,9 +142,12 @@ def mixed(docs: DataFrame) -> DataFrame:
 
     Of rows alike in doc_id, text and source one stands for all.
     """
-    taken = mix(docs).groupBy(F.col("key").alias("_key")).agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
-    rows = docs.withColumn("_key", row_key()).dropDuplicates(["_key"]).join(taken, "_key")
-    return rows.withColumn("_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(docs.columns)
+    taken = mix(docs).groupBy(F.col("key").alias("k"), F.col("doc_id").alias("d")).agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    # numbered names: a document's own columns may be called anything
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(row_key(), F.col("doc_id").cast("long"), "*").toDF("key", "id", *names).dropDuplicates(["key", "id"])
+    rows = rows.join(taken, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("d")))
+    return rows.withColumn("no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(names).toDF(*docs.columns)
 
 
 def _decided(rows: DataFrame, extra: Column) -> DataFrame:

@@ -39,6 +39,17 @@ def test_passages_and_nulls(spark):
     assert repeats.remove_repeats(docs).count() == 4
 
 
+def test_columns_of_any_name(spark):
+    own = ["_score", "_none", "_key", "_no", "_copies", "kept_text", "n_bytes", "n_spans", "data", "c0", "none", "key", "component_id"]
+    rows = [(i, f"one two three {'four ' * i}", "s" if i % 2 else None, *[f"{c} {i}" for c in own]) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in own))
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        got = step(spark, docs, SF)
+        assert got.columns == docs.columns
+        got = got.collect()
+        assert got and all(r[c] == f"{c} {r['doc_id']}" for r in got for c in own)
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "n_tokens", "ids"} <= set(out.columns) and out.count() > 0
