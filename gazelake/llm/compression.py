@@ -20,16 +20,22 @@ def labelled_sample(ids: DataFrame, docs: DataFrame, label: str, per_label: int,
     """At most ``per_label`` documents of each label, those of lowest hash, in a fixed order.
 
     Ids are chosen without the texts; only the chosen texts come to the driver, cut
-    to ``most_chars``, so a sample is bounded whatever the corpus.
+    to ``most_chars``, so a sample is bounded whatever the corpus. The rows of each label are
+    counted first, and only ids with a hash so low that about twice ``per_label`` have it are
+    ranked, however many rows a label has. Of rows with one id the text that sorts first counts.
     """
+    named = ids.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", label)
+    # one row a label; the model that is learned has far more bytes for each
+    counts = F.broadcast(named.groupBy(label).agg(F.count("*").alias("_n")))
     order: Column = F.xxhash64("doc_id")
+    share = order / F.lit(2.0 ** 64) + 0.5
+    low = named.join(counts, label).filter(share * F.col("_n") <= 2 * per_label + 100).select("doc_id", label).distinct()
     rank = F.row_number().over(Window.partitionBy(label).orderBy(order, "doc_id"))
-    chosen = ids.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", label)
-    chosen = chosen.withColumn("_rank", rank).filter(F.col("_rank") <= per_label).drop("_rank")
+    chosen = low.withColumn("_rank", rank).filter(F.col("_rank") <= per_label).drop("_rank")
     texts = docs.filter(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, most_chars).alias("text"))
     # the sample is small by its parameters
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", label, "text").collect()
-    return sorted(rows, key=lambda r: (hash_order(r["doc_id"]), r["doc_id"], r["text"]))
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", label).agg(F.min("text").alias("text")).collect()
+    return sorted(rows, key=lambda r: (hash_order(r["doc_id"]), r["doc_id"], r["text"], r[label]))
 
 
 def hash_order(doc_id: int) -> int:
