@@ -57,6 +57,26 @@ def drop_stage(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Bits of the bitmap of ``among``: 8 MB, whatever the corpus.
+BITS = 1 << 26
+
+
+def among(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows whose ``column`` is among ``keys`` (distinct, under that name), and few others.
+
+    To be put in front of a join, so that it shuffles little else. The bitmap that is
+    broadcast has a fixed size: with very many keys it lets all rows pass.
+    """
+    place = F.pmod(F.xxhash64(column), F.lit(BITS)) + 1
+    bucket, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    bitmaps = (keys.select(bucket.alias("_bucket"), bit.alias("_bit")).repartition("_bucket")
+               .groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits")))
+    byte = F.substring("_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))
+    hit = F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0
+    found = rows.withColumn("_bucket", bucket).join(F.broadcast(bitmaps), "_bucket").filter(hit)
+    return found.select(rows.columns)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a slice holds about ``most`` bytes of ``column`` (one row at least)."""
     sizes = np.diff(offsets(batch.column(column)))

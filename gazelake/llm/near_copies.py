@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import drop_stage, joined, mix, prefix_hashes, slices, span_hashes, stage, table, write_stage
+from .common import among, drop_stage, joined, mix, prefix_hashes, slices, span_hashes, stage, table, write_stage
 from .components import components
 
 
@@ -295,7 +295,7 @@ def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, s: Settings
     text = docs.select("doc_id", "text")
     # the few texts that are needed, taken once
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    text = stage(text.join(needed, "doc_id"))
+    text = stage(among(text, "doc_id", needed).join(needed, "doc_id"))
     both = pairs.join(text.toDF("b", "tb"), "b").join(text.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
     return both.mapInArrow(_linked(s), "a long, b long")
 
@@ -328,23 +328,26 @@ def near_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     for row in heads.select("signature").mapInArrow(_sketched, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
         sketch[row["slot"]] = row["n"]
     posted, posted_path = write_stage(heads.mapInArrow(_posted(s, sketch.tobytes()), POSTING))
-    lists = posted.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
-                                      F.min(F.struct(F.xxhash64("doc_id", "key"), "doc_id")).alias("any"))
-    shared, shared_path = write_stage(posted.join(lists.filter("low <> high").select("key", "low", F.col("any.doc_id").alias("any")), "key"))
+    lists = posted.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    lists, lists_path = write_stage(lists.filter("low <> high").select("key", "low"))
+    shared, shared_path = write_stage(among(posted, "key", lists.select("key")).join(lists, "key"))
     drop_stage(spark, posted_path)
+    drop_stage(spark, lists_path)
     # each list's documents against its first one, then against one drawn for the list
     stars = shared.filter("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
     text = source.filter("doc_id is not null")
     links = stage(_confirmed(stars, heads, text, s))
     labels = stage(components(links))
-    drawn = _with_components(shared.select("key", "doc_id", "any"), labels)
+    draws = shared.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", "key"), "doc_id")).alias("any"))
+    drawn = shared.select("key", "doc_id").join(draws.select("key", F.col("any.doc_id").alias("any")), "key")
+    drawn = _with_components(drawn, labels)
     other = labels.select(F.col("id").alias("any"), F.col("component_id").alias("other"))
     drawn = drawn.join(other, "any", "left").filter(F.col("component_id") != F.coalesce("other", "any"))
     stars = drawn.select(F.least("any", "doc_id").alias("a"), F.greatest("any", "doc_id").alias("b")).distinct()
     links = stage(links.unionByName(_confirmed(stars, heads, text, s)))
     labels = stage(components(links))
     # what is left: documents of one list in different components
-    placed, placed_path = write_stage(_with_components(shared.drop("low", "any"), labels))
+    placed, placed_path = write_stage(_with_components(shared.drop("low"), labels))
     mixed = placed.groupBy("key").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y"), F.count("*").alias("m"))
     mixed = placed.join(mixed.filter("x <> y").select("key", "m"), "key")
     blocks = F.ceil(F.col("m") / BLOCK)
@@ -358,7 +361,8 @@ def near_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in mixed.schema.fields)
     undecided = stage(signs.select(*mixed.columns, "signature").mapInArrow(_open(s), shape))
     # a document's text goes to each group that has a pair of it to look at
-    needed = stage(text.join(undecided.select("doc_id").distinct(), "doc_id"))
+    asked = undecided.select("doc_id").distinct()
+    needed = stage(among(text, "doc_id", asked).join(asked, "doc_id"))
     read = undecided.join(needed, "doc_id").select(*mixed.columns, "text").repartition(*group).sortWithinPartitions(*group)
     links = stage(links.unionByName(read.mapInArrow(_proved(s), "a long, b long")))
     labels = stage(components(links.unionByName(copies)))
