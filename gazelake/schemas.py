@@ -35,6 +35,12 @@ SAMPLE = _struct(
     conversations=T.ArrayType(TURN), num_tokens=_I,
 )
 
+# as files hold them: media as a string or a list, singular or plural, turns in either naming
+SAMPLE_FORMS = _struct(
+    id=_S, image=_S, images=_S, video=_S, videos=_S,
+    conversations=T.ArrayType(_struct(**{"from": _S, "value": _S, "role": _S, "content": _S})), num_tokens=_I,
+)
+
 RL_RECORD = _struct(
     image=T.BinaryType(), image_path=_S, problem=_S, solution=_S, resolution=T.ArrayType(_I),
 )

@@ -21,6 +21,8 @@ def read_fixations(spark: SparkSession, path: str, order_col: str | None = None)
     rows = spark.read.schema(schema).csv(path, header=True, enforceSchema=False)
     rows = rows.withColumn("image", G.image_path("image"))
     if order_col is None:
+        if len(rows.inputFiles()) > 1:
+            raise ValueError(f"{path} has several files: name an order column")
         rows, order_col = rows.withColumn("_line", F.monotonically_increasing_id()), "_line"
     return prepare.position_in_group(rows, "img_usr_tgt", order_col).drop("_line")
 
@@ -34,9 +36,36 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).json(path)
 
 
+def uniform_samples(rows: DataFrame) -> DataFrame:
+    """Rows of ``schemas.SAMPLE_FORMS`` in the one form of ``schemas.SAMPLE``.
+
+    Media may be a string or the JSON text of a list; the plural name counts where
+    the singular one is null. A turn is ``{role, content}`` if it has both, else
+    ``{from, value}``.
+    """
+    def media(one, many):
+        text = F.coalesce(one, many)
+        several = F.when(F.startswith(text, F.lit("[")), F.from_json(text, "array<string>"))
+        return F.when(text.isNotNull(), F.coalesce(several, F.array(text)))
+
+    def turn(m):
+        named = m["role"].isNotNull() & m["content"].isNotNull()
+        return F.struct(F.when(named, m["role"]).otherwise(m["from"]).alias("from"),
+                        F.when(named, m["content"]).otherwise(m["value"]).alias("value"))
+
+    made = {"image": media(F.col("image"), F.col("images")), "video": media(F.col("video"), F.col("videos")),
+            "conversations": F.transform("conversations", turn)}
+    return rows.withColumns(made).drop("images", "videos")
+
+
 def read_annotations(spark: SparkSession, path: str, schema: T.StructType = schemas.SAMPLE) -> DataFrame:
-    """Reader by file suffix: csv, jsonl, parquet, else a JSON array."""
+    """Reader by file suffix: csv, jsonl, parquet, else a JSON array.
+
+    JSON samples may have any form that ``uniform_samples`` takes.
+    """
     suffix = path.rstrip("/").rsplit(".", 1)[-1]
+    if schema == schemas.SAMPLE and suffix in ("json", "jsonl"):
+        return uniform_samples(read_annotations(spark, path, schemas.SAMPLE_FORMS))
     if suffix == "csv":
         return read_fixations(spark, path)
     if suffix == "jsonl":

@@ -39,6 +39,32 @@ def test_json_sources(spark, tmp_path):
         names.resolve("none")
 
 
+def test_several_csv_files_need_an_order(spark, tmp_path):
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / name).write_text("\n".join([HEAD, "a,im,800,600,u,txt_A,1,2,3,4,1.5,1,0.2"]))
+    with pytest.raises(ValueError):
+        readers.read_fixations(spark, str(tmp_path))
+
+
+@pytest.mark.parametrize("suffix", ["json", "jsonl"])
+def test_sample_forms(spark, tmp_path, suffix):
+    turn, named = {"from": "human", "value": "q"}, {"role": "user", "content": "c"}
+    samples = [{"id": "0", "image": "a.png", "conversations": [turn]},
+               {"id": "1", "images": ["b.png", "c.png"], "conversations": [named, turn]},
+               {"id": "2", "image": ["[d].png"], "videos": "[e].mp4", "conversations": []},
+               {"id": "3", "image": [], "images": ["f.png"], "conversations": [{**turn, "role": "user"}]},
+               {"id": "4", "image": None, "conversations": None}]
+    path = tmp_path / f"s.{suffix}"
+    path.write_text(json.dumps(samples) if suffix == "json" else "\n".join(map(json.dumps, samples)))
+    read = readers.read_annotations(spark, str(path))
+    assert read.columns == schemas.SAMPLE.fieldNames()
+    rows = {r["id"]: r for r in read.collect()}
+    assert [rows[k]["image"] for k in "01234"] == [["a.png"], ["b.png", "c.png"], ["[d].png"], [], None]
+    assert rows["2"]["video"] == ["[e].mp4"] and rows["0"]["video"] is None
+    turns = {k: r["conversations"] and [tuple(m) for m in r["conversations"]] for k, r in rows.items()}
+    assert turns == {"0": [("human", "q")], "1": [("user", "c"), ("human", "q")], "2": [], "3": [("human", "q")], "4": None}
+
+
 def test_split_media_and_rasters(spark, tmp_path):
     rows = spark.sql("SELECT cast(null as binary) AS image, 'p' AS image_path, 'q' AS problem, 's' AS solution, array(1, 2) AS resolution, s AS split FROM VALUES ('train'), ('test') AS t(s)")
     rows.write.partitionBy("split").parquet(str(tmp_path / "rl"))
