@@ -7,6 +7,7 @@ from pyspark.sql import Column, functions as F
 from ..functions import prompts as P
 from ..operators import packing, prepare, rewards as R, validation
 from ..session import cut_lineage
+from ..sources import readers
 from . import sqlviews as S, testviews as V
 from .registry import fixed, query, r6, sql_r6
 
@@ -153,6 +154,29 @@ def media_problems(spark, sf):
     return bad.select("conv_id", F.array_join(F.transform("validation_problems", lambda p: p["message"]), "; ").alias("messages"))
 
 
+@query("sample_forms", S.with_(S.SAMPLES, """
+SELECT conv_id, CASE WHEN has_image THEN concat('img', conv_id, '.png') ELSE '' END AS images,
+       array_to_string(senders, ',') AS senders, array_to_string(vals, chr(10)) AS texts FROM samples"""))
+def sample_forms(spark, sf):
+    """Samples as files hold them, by turns with a string or a list, one or plural, brought into one form."""
+    def where(form, value):
+        return F.when((F.col("conv_id") % 4 == form) & (F.size("image") > 0), value)
+
+    def turn(m):
+        named = F.col("conv_id") % 3 == 0
+        return F.struct(F.when(~named, m["from"]).alias("from"), F.when(~named, m["value"]).alias("value"),
+                        F.when(named, m["from"]).alias("role"), F.when(named, m["value"]).alias("content"))
+
+    name, listed = F.get("image", F.lit(0)), F.to_json("image")
+    forms = V.samples(spark, sf).select(
+        "conv_id", F.coalesce(where(0, name), where(1, listed)).alias("image"), F.coalesce(where(2, name), where(3, listed)).alias("images"),
+        F.lit(None).cast("string").alias("video"), F.lit(None).cast("string").alias("videos"),
+        F.transform("conversations", turn).alias("conversations"))
+    return readers.uniform_samples(forms).select(
+        "conv_id", F.coalesce(F.array_join("image", "|"), F.lit("")).alias("images"),
+        F.array_join("conversations.from", ",").alias("senders"), F.array_join("conversations.value", "\n").alias("texts"))
+
+
 @query("media_statistics", S.with_(_CHECKED, """
 SELECT count(*) AS total_entries, count(*) FILTER (NOT missing AND expected = actual) AS valid_entries, count(*) FILTER (missing) AS missing_media,
        count(*) FILTER (expected <> actual) AS token_mismatches, 0::bigint AS gpt_media_tokens, count(*) FILTER (expected = 1) AS image_only,

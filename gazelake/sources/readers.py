@@ -40,8 +40,8 @@ def uniform_samples(rows: DataFrame) -> DataFrame:
     """Rows of ``schemas.SAMPLE_FORMS`` in the one form of ``schemas.SAMPLE``.
 
     Media may be a string or the JSON text of a list; the plural name counts where
-    the singular one is null. A turn is ``{role, content}`` if it has both, else
-    ``{from, value}``.
+    the singular one is null. A turn is ``{role, content}`` if it has both, or only
+    those names, else ``{from, value}``.
     """
     def media(one, many):
         text = F.coalesce(one, many)
@@ -49,7 +49,8 @@ def uniform_samples(rows: DataFrame) -> DataFrame:
         return F.when(text.isNotNull(), F.coalesce(several, F.array(text)))
 
     def turn(m):
-        named = m["role"].isNotNull() & m["content"].isNotNull()
+        other = m["from"].isNotNull() | m["value"].isNotNull()
+        named = m["role"].isNotNull() & (m["content"].isNotNull() | ~other)
         return F.struct(F.when(named, m["role"]).otherwise(m["from"]).alias("from"),
                         F.when(named, m["content"]).otherwise(m["value"]).alias("value"))
 
