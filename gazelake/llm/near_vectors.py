@@ -1,18 +1,23 @@
 """Near-duplicate vectors by sorted projection passes.
 
 In each pass a vector's key is a row of random hyperplane signs. Rows are ordered by
-pass and key, and each is compared with the next few. Pairs that are similar enough
-join their components, over all passes. What a component holds is then counted
-exactly, in blocks.
+pass and key, and each is compared with the next few. The number of passes follows the
+number of vectors. How long a prefix of a row's key those neighbours cover says how
+likely a pair of that row is to be missed; rows of dense places, where this is too
+likely, are compared with each other exactly. Pairs that are similar enough join their
+components. What a component holds is then counted exactly, in blocks.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from gazelake.operators.prepare import row_numbers
 
@@ -21,10 +26,27 @@ from .components import components
 from .top_vectors import usable
 
 COSINE = 0.95
-#: Passes, neighbours that a row is compared with in each, and signs of a key.
+#: Passes at least, neighbours that a row is compared with in each, and signs of a key.
 PASSES, NEIGHBOURS, SIGNS = 24, 48, 62
+#: Passes are added for more vectors until a pair is missed so rarely, or up to a number; rows above ten times that are compared exactly.
+MISSED, MOST_PASSES = 1e-6, 128
 #: Rows of a block.
 BLOCK = 1024
+#: Cells that rows of dense places are dealt to, at most.
+CELLS = 256
+
+
+def _same_sign(cosine: float) -> float:
+    """The probability that a random plane does not part a pair at ``cosine``."""
+    return 1 - math.acos(min(max(cosine, -1.0), 1.0)) / math.pi
+
+
+def passes_for(n: int, cosine: float, least: int, window: int) -> int:
+    """Passes that find a pair among ``n`` evenly spread vectors."""
+    chance = _same_sign(cosine) ** max(math.log2(max(n, 1) / window), 0.0)
+    if not 0 < chance < 1:
+        return least if chance else max(least, MOST_PASSES)
+    return max(least, min(MOST_PASSES, math.ceil(math.log(MISSED) / math.log1p(-chance))))
 
 
 def _keys(passes: int):
@@ -60,10 +82,33 @@ def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
 
 
+def _log_missed(pdf: pd.DataFrame, cosine: float, window: int) -> np.ndarray:
+    """For rows in order, the logarithm of the probability that a pass misses a pair of the row.
+
+    All rows that share so many leading signs with a row that the first one beyond its window does not are in the window.
+    """
+    key, p, size = (pdf[c].to_numpy() for c in ("key", "pass", "size"))
+    chance = np.full(len(pdf), 1 - 1e-12)
+    far = window + 1
+    both = np.flatnonzero((p[:-far] == p[far:]) & (size[:-far] == size[far:])) if len(pdf) > far else np.zeros(0, np.int64)
+    differ = key[both] ^ key[both + far]
+    high, low = differ >> 31, differ & ((1 << 31) - 1)
+    bits = np.where(high > 0, 31 + np.frexp(high)[1], np.frexp(low)[1])
+    covered = np.where(differ == 0, 0.0, _same_sign(cosine) ** (SIGNS - bits + 1.0))
+    for at in (both, both + far):
+        chance[at] = np.minimum(chance[at], covered)
+    return np.log1p(-chance)
+
+
 def _neighbours(cosine: float, window: int):
-    """Links of a block's rows with the next ``window`` ones; of rows linked among themselves, a tree is enough."""
+    """Links of a block's rows with the next ``window`` ones; of rows linked among themselves, a tree is enough.
+
+    And for each of the block's own rows what its pass leaves to be missed.
+    """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_row")
+        own = pdf["own"].to_numpy()
+        covered = pd.DataFrame({"a": pdf["head"].to_numpy()[own], "missed": _log_missed(pdf, cosine, window)[own]})
         root = np.arange(len(pdf))
 
         def find(i: int) -> int:
@@ -83,10 +128,86 @@ def _neighbours(cosine: float, window: int):
                     if a != b:
                         root[a] = b
                         out.append((ids[where[i]], ids[where[i + k]]))
+        links = pd.DataFrame(out, columns=["a", "b"]).astype("Int64")
+        covered["b"] = pd.array([pd.NA] * len(covered), "Int64")
+        links["missed"] = np.nan
+        return pd.concat([links, covered[["a", "b", "missed"]]])
+    return run
+
+
+def _nearest_pivot(pivots: dict[int, tuple[np.ndarray, np.ndarray]]):
+    """The cell of each row and its angle to the cell's pivot; rows of a size without pivots are one cell."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for size, part in pdf.groupby("size"):
+                cell, angle = np.full(len(part), CELLS + size), np.zeros(len(part))
+                if size in pivots:
+                    cells, y = pivots[size]
+                    x = _unit(part["embedding"])
+                    cosines = x @ y.T / np.sqrt((x * x).sum(axis=1))[:, None]
+                    cell, angle = cells[cosines.argmax(axis=1)], np.arccos(np.clip(cosines.max(axis=1), -1, 1))
+                yield part.assign(cell=cell.astype("int64"), angle=angle)[["head", "size", "embedding", "cell", "angle"]]
+    return run
+
+
+def _linked(cosine: float):
+    """All links between the two blocks of a group, as a tree of each component."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        alone = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        if alone:
+            right = left
+        out = []
+        if len(left) and len(right):
+            x, y = _unit(left["embedding"]), _unit(right["embedding"])
+            near = x @ y.T / (np.sqrt((x * x).sum(axis=1))[:, None] * np.sqrt((y * y).sum(axis=1))[None, :]) >= cosine
+            near = np.triu(near, 1) if alone else near
+            ids = left["head"].to_numpy() if alone else np.concatenate([left["head"], right["head"]])
+            label, first = np.arange(len(ids)), 0 if alone else len(left)
+            for r in np.flatnonzero(near.any(axis=1)):
+                met = np.unique(label[np.concatenate([[r], np.flatnonzero(near[r]) + first])])
+                out += [(ids[met[0]], ids[m]) for m in met[1:]]
+                if len(met) > 1:
+                    label[np.isin(label, met)] = met[0]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
     return run
 
 
+def exact_links(dense: DataFrame, n: int, cosine: float) -> DataFrame:
+    """Links among all pairs of ``dense`` (head, size, embedding), ``n`` rows: a tree of each component of a block pair.
+
+    Rows are dealt to their nearest pivots. Two cells are left out only if the angle between
+    their pivots is larger than the angles of both cells and of a pair together.
+    """
+    spark = dense.sparkSession
+    rows = dense.orderBy(F.xxhash64("head"), "head").limit(min(CELLS, math.ceil(n / BLOCK))).select("size", "embedding").collect()
+    pivots = {}
+    for size in {r["size"] for r in rows}:
+        y = _unit(pd.Series([r["embedding"] for r in rows if r["size"] == size]))
+        pivots[size] = (np.array([i for i, r in enumerate(rows) if r["size"] == size]), y / np.sqrt((y * y).sum(axis=1))[:, None])
+    dense = dense.select("head", "size", "embedding")
+    schema = StructType([*dense.schema.fields, StructField("cell", LongType()), StructField("angle", DoubleType())])
+    placed = stage(dense.mapInPandas(_nearest_pivot(pivots), schema))
+    cells = {r["cell"]: r for r in placed.groupBy("cell").agg(F.max("angle").alias("reach"), F.count("*").alias("c")).collect()}
+    partners = [(c, c, math.ceil(r["c"] / BLOCK)) for c, r in cells.items()]
+    for numbers, y in pivots.values():
+        between = np.arccos(np.clip(y @ y.T, -1, 1))
+        for a, i in enumerate(numbers.tolist()):
+            for b, j in enumerate(numbers.tolist()):
+                if i != j and i in cells and j in cells and between[a, b] <= cells[i]["reach"] + cells[j]["reach"] + math.acos(cosine) + 1e-6:
+                    partners.append((i, j, math.ceil(cells[j]["c"] / BLOCK)))
+    known = spark.createDataFrame([(c, math.ceil(r["c"] / BLOCK)) for c, r in cells.items()], "cell long, blocks long")
+    partners = spark.createDataFrame(partners, "cell long, other long, other_blocks long")
+    # cells are few by their bound
+    unit = lambda cell, block: F.col(cell) * F.lit(1 << 32) + block
+    placed = placed.join(F.broadcast(known), "cell").withColumn("unit", unit("cell", F.pmod(F.xxhash64("head"), F.col("blocks"))))
+    pairs = placed.join(F.broadcast(partners), "cell").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other_blocks") - 1)))
+    pairs = pairs.withColumn("met", unit("other", F.col("block"))).select(
+        F.least("unit", "met").alias("i"), F.greatest("unit", "met").alias("j"), "head", "embedding",
+        F.when(F.col("unit") <= F.col("met"), 0).otherwise(1).alias("side"))
+    return pairs.groupBy("i", "j").applyInPandas(_linked(cosine), "a long, b long")
+
+
 def _counted(cosine: float):
     """For each row of a group, the copies of other rows of its component that it is linked with."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -114,8 +235,9 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, passes: int = PASSES,
     linked and compared once. A vector that is null, zero or empty or holds null or
     non-finite components, and a row without vec_id, is linked with nothing (kept, its
     own component). Vectors of different sizes are never linked. Rows are kept one
-    for one; rows that repeat a vec_id share its component. A pair is found with a
-    probability that grows with ``passes`` and ``window``; no pair below ``cosine`` is linked.
+    for one; rows that repeat a vec_id share its component. ``passes`` is the least number
+    of passes. A pair is found surely if both of its rows are in dense places, else it is
+    missed about once in 100,000 at most; no pair below ``cosine`` is linked.
     """
     good = F.col("vec_id").isNotNull() & usable(F.col("embedding")) & F.exists("embedding", lambda x: x != 0)
     base = stage(rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").select(
@@ -125,15 +247,23 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, passes: int = PASSES,
     classes = full.groupBy("mark").agg(F.min("vec_id").alias("head"), F.count("*").alias("m"))
     heads = full.join(classes, "mark").filter("vec_id = head").select("mark", "head", "m", "embedding", F.size("embedding").alias("size"))
     heads = stage(heads.dropDuplicates(["mark"]))
+    passes = passes_for(heads.count(), cosine, passes, window)
     keys = heads.select("head", "embedding").mapInArrow(_keys(passes), "pass int, size int, key long, head long")
     placed = row_numbers(keys, "pass", "size", "key", "head", name="_row")
     block = F.floor(F.col("_row") / BLOCK)
-    # the last rows of a block meet the first ones of the next
-    over = F.col("_row") % BLOCK >= BLOCK - window
-    blocks = placed.withColumn("block", F.explode(F.when(over, F.array(block, block + 1)).otherwise(F.array(block))))
+    # the last rows of a block meet the first ones of the next, and each row sees the first one beyond its window on both sides
+    at = F.col("_row") % BLOCK
+    around = F.array(block, F.when(at >= BLOCK - window - 1, block + 1), F.when((at <= window) & (block > 0), block - 1))
+    blocks = placed.withColumn("block", F.explode(F.array_compact(around))).withColumn("own", F.col("block") == block)
     met = blocks.join(heads.select("head", "embedding", F.col("size").alias("_size")), "head").filter(F.col("size") == F.col("_size"))
-    links = met.select("block", "_row", "pass", "size", "head", "embedding").groupBy("block").applyInPandas(
-        _neighbours(cosine, window), "a long, b long")
+    found = stage(met.select("block", "own", "_row", "pass", "size", "key", "head", "embedding").groupBy("block").applyInPandas(
+        _neighbours(cosine, window), "a long, b long, missed double"))
+    links = found.filter("b is not null").select("a", "b")
+    dense = found.filter("b is null").groupBy(F.col("a").alias("head")).agg(F.sum("missed").alias("missed"))
+    dense = stage(heads.join(dense.filter(F.col("missed") > math.log(10 * MISSED)).select("head"), "head"))
+    n_dense = dense.count()
+    if n_dense:
+        links = links.unionByName(exact_links(dense, n_dense, cosine))
     copies = full.join(classes, "mark").filter("vec_id <> head").select(F.col("head").alias("a"), F.col("vec_id").alias("b"))
     links = stage(links.distinct())
     labels = stage(components(links.unionByName(copies)))

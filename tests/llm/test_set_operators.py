@@ -219,3 +219,23 @@ def test_near_vectors_against_all_pairs(spark):
     low, degree = smallest_reachable(ids, linked), Counter(a for a, _ in linked)
     assert sorted(map(tuple, got.collect())) == [(i, degree[i], int(low[i]), low[i] == i) for i in ids]
     assert near_vectors.near_vectors(vectors(spark, [(1, [1.0])]).limit(0)).count() == 0
+
+
+def test_near_vectors_in_a_dense_cluster(spark):
+    """Isolated pairs at 0.95 within a cluster at 0.9, whose rows share long key prefixes."""
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre = unit(rng.standard_normal(256))
+    off = rng.standard_normal((4000, 256))
+    off = unit(off - np.outer(off @ centre, centre))
+    for i in range(40):
+        # residuals at 0.53 bring a pair to 0.953
+        other = unit(off[i + 40] - (off[i + 40] @ off[i]) * off[i])
+        off[i + 40] = 0.53 * off[i] + np.sqrt(1 - 0.53 ** 2) * other
+    x = np.float32(np.concatenate([np.sqrt(0.9) * centre + np.sqrt(0.1) * off, unit(rng.standard_normal((2000, 256)))]))
+    got = near_vectors.near_vectors(vectors(spark, list(enumerate(x.tolist())))).filter("n_links > 0").collect()
+    whole = unit(x.astype(np.float64))
+    degree = Counter(a for a, b in zip(*np.nonzero(whole @ whole.T >= 0.95)) if a != b)
+    assert len(degree) >= 80
+    assert {r["vec_id"]: r["n_links"] for r in got} == degree
+    assert {r["component_id"] for r in got} == set(range(40))
