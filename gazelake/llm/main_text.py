@@ -23,9 +23,14 @@ from .common import slices, table
 #: Labelled pages that are learned from, and characters of each, at most.
 PAGES, PAGE_CHARS = 400, 200_000
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|title|canvas|object|math|audio|video)\b"
-    r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)", re.S | re.I)
+#: Elements whose content is no markup and ends with the next closing tag, and elements that are left out whole if they are closed.
+RAW = frozenset("script style noscript template iframe textarea title".split())
+WHOLE = frozenset("svg select canvas object audio video".split())
+#: Raw elements that hold code: one that is not closed ends with its parent; of other elements that are not closed nothing is left out.
+CODE = frozenset(("script", "style"))
+CLOSING = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: Names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -73,6 +78,52 @@ def named_apart(tag: str, attributes: str) -> bool:
     return False
 
 
+def split(source: str) -> list[re.Match[str]]:
+    """Texts and tags of a page, without raw elements that are closed."""
+    out, at, unclosed = [], 0, set()
+    while at < len(source):
+        m = TOKEN.match(source, at)
+        at = m.end()
+        tag = m["tag"].lower() if m["tag"] else ""
+        if tag in RAW and not m["close"]:
+            end = None if tag in unclosed else CLOSING[tag].search(source, at)
+            if end:
+                at = end.end()
+                continue
+            unclosed.add(tag)
+        out.append(m)
+    return out
+
+
+def left_out(parts: list[re.Match[str]]) -> dict[int, int]:
+    """Where elements that are left out whole start, and the first place behind them."""
+    names = [m["tag"].lower() if m["tag"] else "" for m in parts]
+    ends: dict[int, int] = {}
+    if not any(n in WHOLE or n in CODE for n in names):
+        return ends
+    stack: list[int] = []
+    opened = Counter()
+    for i, (m, tag) in enumerate(zip(parts, names)):
+        if not tag or tag in VOID:
+            continue
+        if not m["close"]:
+            if not m["attributes"].endswith("/"):
+                stack.append(i)
+                opened[tag] += 1
+        elif opened[tag]:
+            while True:
+                k = stack.pop()
+                opened[names[k]] -= 1
+                if names[k] in CODE:
+                    ends[k] = i
+                if names[k] == tag:
+                    if tag in WHOLE:
+                        ends[k] = i + 1
+                    break
+    ends.update((k, len(parts)) for k in stack if names[k] in CODE)
+    return ends
+
+
 class Page:
     """The tokens of a page: (kind, feature, words, text, apart, block)."""
 
@@ -89,7 +140,11 @@ class Page:
             links -= tag == "a"
             inside -= tag in ARTICLE
 
-        for m in TOKEN.finditer(source):
+        parts = split(source)
+        ends, behind = left_out(parts), 0
+        for i, m in enumerate(parts):
+            if i < behind:
+                continue
             tag, text = m["tag"], m["text"]
             if text is not None:
                 words = len(text.split())
@@ -103,6 +158,10 @@ class Page:
             if tag is None:
                 continue
             tag = tag.lower()
+            if tag in RAW or tag in WHOLE:
+                if not m["close"]:
+                    behind = ends.get(i, behind)
+                continue
             if tag in BLOCK:
                 block += 1
             if m["close"]:

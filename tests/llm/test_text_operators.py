@@ -195,3 +195,19 @@ def test_main_text_rows(spark):
 def test_main_text_of_the_pages(spark):
     got = main_text.query(spark, SF).filter("n_chars > 0").count()
     assert got == spark.read.parquet(f"{SF}/pages.parquet").count()
+
+
+@pytest.mark.parametrize("odd", ['<svg class="i"/>', "<math/>", "<select>", "<template>", "<video src='v'>", "<audio>", "<object>", "<canvas>", '<svg class="i">',
+                                 "<svg><path d='M0'/><title>gone</title><text>gone</text></svg>", "<video><p>gone</p></video>", "<noscript>gone</noscript>"])
+def test_main_text_is_not_swallowed_by_elements_without_end(odd):
+    first, second = "The first line of it stands here. " * 8, "The second line of it stands there. " * 8
+    want = f"{first.strip()}\n{second.strip()}"
+    for page in (f"<body><div>{odd}</div><article><p>{first}</p><p>{second}</p></article></body>",
+                 f"<body>{odd}<article><p>{first}</p>{odd}<p>{second}</p></article><svg><text>gone</text></svg></body>"):
+        assert main_text.main_text(page, {}) == want
+
+
+def test_main_text_keeps_formulas_and_drops_code():
+    line = "Words around the formula, many of them. " * 5
+    page = f"<article><p>{line}<math><mi>x</mi><mo>=</mo><mn>2</mn></math> follows.</p></article><div><script>var gone = 1;</div>"
+    assert main_text.main_text(page, {}) == f"{line}x=2 follows."
