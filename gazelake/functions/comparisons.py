@@ -149,10 +149,10 @@ def vector_similarity(first, second, width=CANVAS_WIDTH, height=CANVAS_HEIGHT, g
 
 
 def nearest_clusters(xs, ys, ids, cxs, cys) -> Column:
-    """Id of the closest centre of every fixation; the first listed one on ties."""
+    """Id of the closest centre of every fixation; the first listed one on ties. Null without centres or path."""
     @pandas_udf("array<int>")
     def nearest(x: pd.Series, y: pd.Series, ids: pd.Series, cx: pd.Series, cy: pd.Series) -> pd.Series:
-        return pd.Series([kernels.nearest_ids(*row) for row in zip(x, y, ids, cx, cy)])
+        return pd.Series([None if any(v is None for v in row) else kernels.nearest_ids(*row) for row in zip(x, y, ids, cx, cy)], dtype=object)
 
     return nearest(*(col(c) for c in (xs, ys, ids, cxs, cys)))
 

@@ -61,8 +61,10 @@ def attach_targets(trials: DataFrame, target2text: DataFrame) -> DataFrame:
 
 
 def attach_types(trials: DataFrame, image_types: DataFrame) -> DataFrame:
-    """Add ``ui_type``; ``image_types`` is ``(image, ui_type)``."""
-    return trials.join(image_types.select("image", "ui_type"), "image")
+    """Add ``ui_type``; an image without type is an error. ``image_types`` is ``(image, ui_type)``."""
+    joined = trials.join(image_types.select("image", "ui_type"), "image", "left")
+    missing = F.raise_error(F.concat(F.lit("no type for image "), F.coalesce("image", F.lit("null")))).cast("string")
+    return joined.withColumn("ui_type", F.when(F.col("ui_type").isNull(), missing).otherwise(F.col("ui_type")))
 
 
 def unknown_images(trials: DataFrame, image_types: DataFrame) -> DataFrame:

@@ -25,9 +25,9 @@ def symbolize(trials: DataFrame, centers: DataFrame, keys=("image", "target_id")
     """Add the nearest cluster of every fixation, lowest id on ties.
 
     ``centers`` is ``keys + (cluster_id, cx, cy)``; trials are joined to the
-    packed centres of their key.
+    packed centres of their key. A trial whose key has no centres stays, with null.
     """
-    joined = trials.join(packed_centers(centers, keys), list(keys))
+    joined = trials.join(packed_centers(centers, keys), list(keys), "left")
     return joined.withColumn(name, C.nearest_clusters(x, y, "_ids", "_cx", "_cy")).drop("_ids", "_cx", "_cy")
 
 
@@ -37,11 +37,11 @@ def subject_strings(symbolized: DataFrame, order, keys=("image", "target_id"), s
 
 
 def transition_rate(symbolized: DataFrame, centers: DataFrame, keys=("image", "target_id")) -> DataFrame:
-    """(changes - repeats) / clusters over all paths of a key."""
+    """(changes - repeats) / clusters over all paths of a key; null without clusters."""
     sums = symbolized.groupBy(*keys).agg(
         F.sum(G.symbol_changes("symbols") - G.symbol_repeats("symbols")).alias("_net"))
     sizes = centers.groupBy(*keys).agg(F.count("*").alias("clusters"))
-    return sums.join(sizes, list(keys)).select(*keys, (F.col("_net") / F.col("clusters")).alias("rate"))
+    return sums.join(sizes, list(keys), "left").select(*keys, (F.col("_net") / F.col("clusters")).alias("rate"))
 
 
 def _timed(symbols, durations, temp_bin, max_len):
@@ -55,12 +55,13 @@ def sequence_score(df: DataFrame, centers: DataFrame, strings: DataFrame, keys=(
     The padded prediction ``px, py`` is symbolised with the key's centres and
     compared with the stored string of the subject. ``t`` are the durations of
     the trial itself, ``pt`` the predicted ones. An empty stored string scores 0.
+    A trial without centres or without a stored string stays, with null scores.
     """
     symbolized = symbolize(df, centers, keys, "px", "py", "_pred")
-    joined = symbolized.join(strings.withColumnRenamed("symbols", "_human"), [*keys, subject])
+    joined = symbolized.join(strings.withColumnRenamed("symbols", "_human"), [*keys, subject], "left")
     plain = C.match_ratio(G.prefix("_pred", max_len), G.prefix("_human", max_len))
     timed = C.match_ratio(_timed("_pred", "pt", temp_bin, max_len), _timed("_human", "t", temp_bin, max_len))
-    empty = F.size("_human") == 0
+    empty = (F.size("_human") == 0) & F.col("_pred").isNotNull()
     scored = joined.withColumns({"ss": plain, "ss_time": timed})
     return scored.withColumns({c: F.when(empty, F.lit(0.0)).otherwise(F.col(c)) for c in ("ss", "ss_time")}
                               ).drop("_pred", "_human")

@@ -421,3 +421,44 @@ def test_sequence_scores_of_nulls_are_null(spark):
     df = spark.createDataFrame([(None, [1, 2]), ([1], None), ([1, 2], [1, 2])], "a array<int>, b array<int>")
     got = df.select(C.sequence_alignment("a", "b").alias("s"), C.match_ratio("a", "b").alias("m")).collect()
     assert [(r["s"], r["m"]) for r in got[:2]] == [(None, None)] * 2 and got[2]["m"] == 1.0
+
+
+def test_trials_without_centres_or_string_stay(spark):
+    trials = spark.sql("""SELECT image, 't' AS target_id, username, array(1D, 5D) AS px, array(1D, 5D) AS py, array(60D, 60D) AS pt, array(60D, 60D) AS t
+                          FROM VALUES ('i', 'u'), ('new', 'u'), ('i', 'new') AS v(image, username)""")
+    centers = spark.sql("SELECT 'i' AS image, 't' AS target_id, id AS cluster_id, 4D * id AS cx, 4D * id AS cy FROM range(2)")
+    strings = spark.sql("SELECT 'i' AS image, 't' AS target_id, 'u' AS username, array(0, 1) AS symbols")
+    # a subject can have a string, also an empty one, of a key that has no centres
+    more = strings.unionAll(spark.sql("SELECT 'new', 't', 'u', cast(array() as array<int>)"))
+    for known in (strings, more):
+        got = sequences.sequence_score(trials, centers, known).collect()
+        assert sorted((r["image"], r["username"], r["ss"], r["ss_time"]) for r in got if r["ss"] is not None) == [("i", "u", 1.0, 1.0)]
+        assert {(r["image"], r["username"]) for r in got if r["ss"] is None and r["ss_time"] is None} == {("new", "u"), ("i", "new")}
+        assert len(got) == 3
+    symbols = sequences.symbolize(trials, centers, x="px", y="py")
+    assert {(r["image"], r["username"]): r["symbols"] for r in symbols.collect()} == {
+        ("i", "u"): [0, 1], ("new", "u"): None, ("i", "new"): [0, 1]}
+    assert {r["image"]: r["rate"] for r in sequences.transition_rate(symbols, centers).collect()}["new"] is None
+
+
+def test_image_without_type_is_an_error(spark):
+    trials = spark.createDataFrame([("a", "i"), ("b", "new")], "img_usr_tgt string, image string")
+    types = spark.createDataFrame([("i", "web")], "image string, ui_type string")
+    assert [r["ui_type"] for r in prepare.attach_types(trials.filter("image = 'i'"), types).collect()] == ["web"]
+    with pytest.raises(Exception, match="no type for image new"):
+        prepare.attach_types(trials, types).collect()
+    with pytest.raises(Exception, match="no type for image new"):
+        prepare.keep_type(trials, types, "web").collect()
+
+
+def test_report_averages_all_trials(spark):
+    """A trial of a screen without history counts in the scores that need no clusters."""
+    rows = [(f"{i}_u", i, "t", "u", 1280, 768, [100, 300 + 100 * k, 500], [100, 200, 300], [0.2, 0.2, 0.2], k,
+             [100.0, 300.0 + 100 * k, 500.0 - 200 * k], [100.0, 200.0, 300.0]) for k, i in enumerate(("a", "b"))]
+    schema = ("img_usr_tgt string, image string, target_id string, username string, width int, height int, x array<int>, y array<int>, "
+              "t array<double>, trial long, px array<double>, py array<double>")
+    trials = spark.createDataFrame(rows, schema)
+    whole = evaluation.evaluate(trials).collect()[0]
+    known = evaluation.evaluate(trials, history=trials.filter("image = 'a'")).collect()[0]
+    assert known["sed_score"] == whole["sed_score"] and known["sm_score_wo_d"] == whole["sm_score_wo_d"]
+    assert known["ss_score"] is not None
