@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, language, main_text, mixing, near_copies, near_vectors, repeats, token_files, top_vectors, toxicity
+from . import (alignment, bpe, language, main_text, mixing, near_copies, near_vectors, phrases, quality, repeats, token_files,
+               top_vectors, toxicity)
 
 QUERIES = {
     "op1_language": language.query,
@@ -15,9 +16,14 @@ QUERIES = {
     "op8_top_vectors": top_vectors.query,
     "op9_near_vectors": near_vectors.query,
     "op10_toxicity": toxicity.query,
+    "op11_alignment": alignment.query,
+    "op12_quality": quality.query,
+    "op13_phrases": phrases.query,
 }
 SQL = {
     "op4_near_copies": near_copies.SQL,
     "op8_top_vectors": top_vectors.SQL,
     "op9_near_vectors": near_vectors.SQL,
+    "op12_quality": quality.SQL,
+    "op13_phrases": phrases.SQL,
 }
