@@ -10,7 +10,7 @@ token's pairs over together, which gives its highest count. The counts then stre
 back along the runs to the blocks they came from, and every document adds up its own.
 
 Token boundaries of both sides fall on the borders of units: in front of a space or
-line feed behind something else, and behind a line feed in front of something else.
+line feed behind something else, and around a single line feed between other things.
 Units are therefore encoded and aligned once and kept per worker.
 """
 
@@ -44,7 +44,7 @@ BLOCK_BYTES = 16 << 20
 FRAME = 1 << 15
 #: Bytes that kept units may take, about.
 CACHE_BYTES = 96 << 20
-UNIT = re.compile(f"(?<=[^{SPACE}])(?=[ \n])|(?<=\n)(?=[^{SPACE}])")
+UNIT = re.compile(f"(?<=[^{SPACE}])(?=[ \n])|(?<=[^{SPACE}]\n)(?=[^{SPACE}])")
 MARK = "▁"
 
 
