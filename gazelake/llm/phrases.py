@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -44,13 +45,20 @@ class Settings:
     #: The bitmap of the proposed set has two to this power bits, whatever the corpus: 8 MB.
     bits: int = 26
     #: Bytes of text that are counted together before the shuffle.
-    slice_bytes: int = 16 << 20
+    slice_bytes: int = 8 << 20
+    #: Parts that the counts are dealt to, for each shuffle partition; a task sums one part after the other.
+    parts: int = 4
     #: A phrase goes if a longer one around it has this share of its occurrences (in percent).
     inside: int = 50
     #: Phrases reported of each language.
     top: int = 2000
 
 
+PHRASE = pa.schema([("lang", pa.large_string()), ("size", pa.int32()), ("phrase", pa.large_string()), ("place", pa.int32()),
+                    ("known", pa.bool_()), ("f", pa.int64())])
+PACKET = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary()), ("rows", pa.binary())])
+
+
 def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words, the number of each word in turn, the text and the piece it lies in."""
     data, at = joined(column)
@@ -94,50 +102,66 @@ class Everything:
         return np.ones(len(places), bool)
 
 
-def counted(texts: pa.Array, langs: list[str], within, before, settings: Settings) -> Iterator[dict[str, pa.Array]]:
-    """Counts of the phrases of a slice whose parts are all in ``within``, by length.
+def _firsts(slot: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The first of the ascending places ``at`` of each of ``n`` slots."""
+    out = np.empty(n, np.int64)
+    out[slot[::-1]] = at[::-1]
+    return out
+
+
+def counted(texts: pa.Array, langs: list[str], within, before, settings: Settings) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    """Hashes and counts of the phrases of a slice whose parts are all in ``within``, by length.
 
     What the pass under the smaller set ``before`` has counted is left out. A row of size 0 counts the words of a
     language. ``known`` tells whether a phrase is in ``within``.
     """
     words, number, text, piece = words_of(texts)
-    names = sorted(set(langs))
-    code, width = np.array([names.index(x) for x in langs], np.int64), max(len(words), 1)
-    lang_of, salt, values = pa.array(names, pa.large_string()), codes(pa.array(names)), codes(words)
+    names, n = sorted(set(langs)), len(number)
+    if not n:
+        return
+    code, values = np.array([names.index(x) for x in langs], np.int64)[text], codes(words)
+    # scrambled once more, as a language may have a word that is its name
+    salt, shown = mix(~codes(pa.array(names))), pa.array(names, pa.large_string())
+
+    def rows(size: int, lang: np.ndarray, phrase: pa.Array, hashes: np.ndarray, known: np.ndarray, f: np.ndarray):
+        places = (hashes >> np.uint64(64 - settings.bits)).astype(np.int32)
+        return hashes, pa.RecordBatch.from_arrays([
+            shown.take(pa.array(lang)), pa.array(np.full(len(lang), size, np.int32)), phrase, pa.array(places), pa.array(known), pa.array(f)], PHRASE)
+
     if before is None:
-        n = np.bincount(code[text], minlength=len(names))
-        yield {"lang": lang_of, "size": pa.array([0] * len(names), pa.int32()), "phrase": pa.array([""] * len(names), pa.large_string()),
-               "place": pa.array([0] * len(names), pa.int32()), "known": pa.array([True] * len(names)), "f": pa.array(n)}
-    # phrases of one word; `at` is the phrase that begins at each of `starts`
-    starts = np.arange(len(number))
-    _, first, at = np.unique(code[text] * width + number, return_index=True, return_inverse=True)
-    lang, members = code[text[first]], [number[first]]
-    hashes, old = mix(values[members[0]] ^ salt[lang]), np.full(len(first), before is not None)
+        yield rows(0, np.arange(len(names)), pa.array([""] * len(names), pa.large_string()), salt, np.ones(len(names), bool),
+                   np.bincount(code, minlength=len(names)))
+    # for the phrase that begins at each word: its hash, whether it is counted now, and whether it was before
+    hashes, now, old = mix(values[number] ^ salt[code]), np.ones(n, bool), np.full(n, before is not None)
     for size in range(1, settings.longest + 1):
-        places = (hashes >> np.uint64(64 - settings.bits)).astype(np.int64)
-        known, new = within.has(places), np.flatnonzero(~old)
-        if len(new):
-            parts = [words.take(pa.array(m[new])) for m in members]
-            yield {"lang": lang_of.take(pa.array(lang[new])), "size": pa.array(np.full(len(new), size, np.int32)),
-                   "phrase": pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if size > 1 else parts[0],
-                   "place": pa.array(places[new].astype(np.int32)), "known": pa.array(known[new]),
-                   "f": pa.array(np.bincount(at, minlength=len(first))[new])}
-        if size == settings.longest or not len(starts):
+        place = (hashes >> np.uint64(64 - settings.bits)).astype(np.int64)
+        known = within.has(place)
+        at = np.flatnonzero(now & ~old)
+        if len(at):
+            slot, unique = pd.factorize(hashes[at])
+            first = _firsts(slot, at, len(unique))
+            columns = [code[at], *[number[at + k] for k in range(size)]]
+            if any((c != c[np.searchsorted(at, first)][slot]).any() for c in columns):
+                # two phrases of one hash: told apart by their words
+                slot = np.unique(np.stack(columns), axis=1, return_inverse=True)[1].reshape(-1)
+                first = _firsts(slot, at, int(slot.max()) + 1)
+                unique = hashes[first]
+            parts = [words.take(pa.array(number[first + k])) for k in range(size)]
+            phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if size > 1 else parts[0]
+            yield rows(size, code[first], phrase, unique, known[first], np.bincount(slot, minlength=len(unique)))
+        held = n - size
+        if size == settings.longest or held <= 0:
             return
         # one word longer: both phrases inside have to be in the set
-        slot = np.full(len(number) + 1, -1, np.int64)
-        slot[starts] = at
-        go = starts < len(number) - size
-        go[go] = piece[starts[go]] == piece[starts[go] + size]
-        a, b = at[go], slot[starts[go] + 1]
-        fits = (b >= 0) & known[a] & known[b]
-        a, b, starts = a[fits], b[fits], starts[go][fits]
+        whole = piece[:held] == piece[size:]
+        counts = now[:held] & known[:held]
+        now = whole & counts & (now & known)[1:held + 1]
         if before is not None:
-            old &= before.has(places)
-        _, first, at = np.unique(a * width + number[starts + size], return_index=True, return_inverse=True)
-        last = number[starts[first] + size]
-        old, lang, members = old[a[first]] & old[b[first]], lang[a[first]], [m[a[first]] for m in members] + [last]
-        hashes = mix(hashes[a[first]] ^ values[last])
+            was = old & before.has(place)
+            old = whole & was[:held] & was[1:held + 1]
+        else:
+            old = np.zeros(held, bool)
+        hashes = mix(hashes[:held] ^ values[number[size:]])
 
 
 def _cut(batch: pa.RecordBatch, most: int) -> pa.RecordBatch:
@@ -169,18 +193,71 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _pass(texts: DataFrame, within: bytes | None, before: bytes | None, settings: Settings) -> DataFrame:
-    """Exact counts of the phrases of ``texts`` (lang, text) that a pass under ``within`` adds."""
+def _packed(rows: list[tuple[np.ndarray, pa.RecordBatch]], parts: int) -> Iterator[dict[str, object]]:
+    """The counts of a slice, a packet for each part of the hashes."""
+    hashes = np.concatenate([h for h, _ in rows])
+    table = pa.Table.from_batches([b for _, b in rows])
+    part_of = (hashes % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part_of, kind="stable")
+    ends = np.searchsorted(part_of[order], np.arange(parts + 1))
+    table, hashes = table.take(pa.array(order)).combine_chunks(), hashes[order]
+    for part in np.unique(part_of).tolist():
+        a, b = int(ends[part]), int(ends[part + 1])
+        batch = table.slice(a, b - a).to_batches()[0]
+        yield {"part": part, "n": b - a, "hashes": hashes[a:b].tobytes(), "rows": zstandard.compress(batch.serialize(), 1)}
+
+
+def _summed(least: int, sizes: tuple[int, int]):
+    """Exact counts of the packets of each part; those below ``least`` are left out, save for sums of size 0.
+
+    Hashes are summed first: what they hold too rarely needs no look at its text. ``sizes`` bounds the other rows.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+
+        def made() -> Iterator[pa.RecordBatch]:
+            hashes = np.concatenate([h for h, _ in held])
+            table = pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(zstandard.decompress(r)), PHRASE) for _, r in held])
+            slot, unique = pd.factorize(hashes)
+            total = np.bincount(slot, table["f"].to_numpy(), len(unique))
+            size = table["size"].to_numpy()
+            often = (total[slot] >= least) & (size >= sizes[0]) & (size <= sizes[1]) | (size == 0)
+            table = table.filter(pa.array(often)).combine_chunks()
+            sums = table.group_by(["lang", "size", "phrase", "place", "known"], use_threads=False).aggregate([("f", "sum")])
+            sums = sums.filter(pc.or_(pc.greater_equal(sums["f_sum"], least), pc.equal(sums["size"], 0))).rename_columns(
+                ["lang", "size", "phrase", "place", "known", "f"])
+            for batch in sums.to_batches(max_chunksize=1 << 16):
+                yield batch.cast(pa.schema([f.with_type(pa.string()) if pa.types.is_large_string(f.type) else f for f in batch.schema]))
+
+        for batch in batches:
+            for part, hashes, rows in zip(*(batch.column(c).to_pylist() for c in ("part", "hashes", "rows"))):
+                if part != current and held:
+                    yield from made()
+                    held = []
+                current = part
+                held.append((np.frombuffer(hashes, np.uint64), rows))
+        if held:
+            yield from made()
+    return run
+
+
+def _pass(texts: DataFrame, within: bytes | None, before: bytes | None, settings: Settings, least: int, sizes: tuple[int, int]) -> DataFrame:
+    """Exact counts of the phrases of ``texts`` (lang, text) that a pass under ``within`` adds, from ``least`` on."""
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = settings.parts * tasks
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside = Everything() if within is None else Bitmap.unpacked(within)
         earlier = None if before is None else Bitmap.unpacked(before)
         for part in gathered(batches, settings.slice_bytes):
-            for rows in counted(part.column("text"), part.column("lang").to_pylist(), inside, earlier, settings):
-                made = pa.RecordBatch.from_pydict(rows)
-                yield made.cast(pa.schema([f.with_type(pa.string()) if pa.types.is_large_string(f.type) else f for f in made.schema]))
+            rows = list(counted(part.column("text"), part.column("lang").to_pylist(), inside, earlier, settings))
+            packets = list(_packed(rows, parts)) if rows else []
+            for start in range(0, len(packets), 64):
+                yield pa.RecordBatch.from_pylist(packets[start:start + 64], PACKET)
 
-    counts = texts.mapInArrow(run, "lang string, size int, phrase string, place int, known boolean, f long")
-    return counts.groupBy("lang", "size", "phrase", "place", "known").agg(F.sum("f").alias("f"))
+    packets = texts.mapInArrow(run, "part int, n int, hashes binary, rows binary")
+    return packets.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(
+        _summed(least, sizes), "lang string, size int, phrase string, place int, known boolean, f long")
 
 
 def _with_places(rows: DataFrame, have: np.ndarray) -> np.ndarray:
@@ -206,12 +283,11 @@ def frequent(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFram
     sample, texts = texts.filter("chosen").drop("chosen"), texts.drop("chosen")
     shorter = F.col("size").between(1, settings.longest - 1)
     bits = np.zeros(1 << settings.bits - 3, np.uint8)
-    bits = _with_places(_pass(sample, None, None, settings).filter(shorter & (F.col("f") >= settings.proposed)), bits)
+    bits = _with_places(_pass(sample, None, None, settings, settings.proposed, (1, settings.longest - 1)).filter("size > 0"), bits)
     found, before, passes = None, None, 0
     while True:
         within = zstandard.compress(bits.tobytes())
-        rows = _pass(texts, within, before, settings)
-        rows, _ = write_stage(rows.filter((F.col("f") >= settings.least) | (F.col("size") == 0)))
+        rows, _ = write_stage(_pass(texts, within, before, settings, settings.least, (1, settings.longest)))
         found, passes = rows if found is None else found.unionByName(rows), passes + 1
         failures = rows.filter(shorter & ~F.col("known"))
         if failures.isEmpty():
