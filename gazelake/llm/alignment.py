@@ -16,11 +16,11 @@ Units are therefore encoded and aligned once and kept per worker.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
 from .bpe import SPACE
-from .common import slices, table, write_stage
+from .common import held, slices, table, write_stage
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -44,7 +44,9 @@ BLOCK_BYTES = 16 << 20
 FRAME = 1 << 15
 #: Bytes that kept units may take, about.
 CACHE_BYTES = 96 << 20
-UNIT = re.compile(f"(?<=[^{SPACE}])(?=[ \n])|(?<=[^{SPACE}]\n)(?=[^{SPACE}])")
+#: White space that may lie inside a unit.
+OTHER = SPACE.replace(" ", "", 1).replace("\t-\r", "\t\x0b-\r")
+UNIT = re.compile(f"(?<=[^{SPACE}])\n(?=[^{SPACE}])|[{SPACE}]*+[^{SPACE}]++(?:[{OTHER}][{SPACE}]*+[^{SPACE}]++)*+(?:[{OTHER}][{SPACE}]*+\\Z)?|[{SPACE}]+")
 MARK = "▁"
 
 
@@ -73,6 +75,9 @@ class Sides:
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(MARK, " ").encode())
         self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
         self.space = self.b.piece_to_id(MARK)
+        #: Ids as text behind each separator: none, inside a side, between the sides, between groups.
+        self.width = max(len(self.a_bytes), len(self.b_bytes))
+        self.names = [f"{mark}{i}" for mark in ("", ",", "|", ";") for i in range(self.width)]
         pieces = [self.b.id_to_piece(i) for i in range(len(self.b))]
         # what makes units independent on the B side: no piece holds a line feed, or a space behind something else
         self.independent = not any("\n" in p or re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
@@ -85,51 +90,47 @@ class Sides:
         return a, [(x or [self.space]) if s else x[2:] for x, s in zip(b, spaced)]
 
 
-#: What a unit holds: numbers of A and B tokens, groups and links, its groups as text, its links (A << 16 | B, 4 bytes each).
-Unit = tuple[int, int, int, int, str, bytes]
+#: What a unit holds: numbers of A and B tokens, groups and links in ``FIELD`` bits each, its groups as text, its links (A << 16 | B, 4 bytes each).
+Unit = tuple[int, str, bytes]
+FIELD = 40
 
 
 def align(sides: Sides, units: list[str]) -> list[Unit | None]:
     """Groups and links of each unit; None if its tokens do not give its bytes back."""
     a_ids, b_ids = sides.encode(units)
-    good = []
-    for unit, a, b in zip(units, a_ids, b_ids):
-        raw = unit.encode("utf-8", "replace")
-        good.append(b"".join(map(sides.a_bytes.__getitem__, a)) == raw == b"".join(map(sides.b_bytes.__getitem__, b)))
-    a_ids, b_ids = [x for x, g in zip(a_ids, good) if g], [x for x, g in zip(b_ids, good) if g]
-    a, b = (np.array([i for x in ids for i in x], np.int64) for ids in (a_ids, b_ids))
+    raw = [u.encode("utf-8", "replace") for u in units]
+    good = [b"".join(map(sides.a_bytes.__getitem__, a)) == r == b"".join(map(sides.b_bytes.__getitem__, b)) for r, a, b in zip(raw, a_ids, b_ids)]
+    if not all(good):
+        a_ids, b_ids = ([x for x, g in zip(ids, good) if g] for ids in (a_ids, b_ids))
+    sizes_a, sizes_b = (np.array(list(map(len, ids)), np.int64) for ids in (a_ids, b_ids))
+    a, b = (np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())) for ids, n in ((a_ids, sizes_a), (b_ids, sizes_b)))
     a_ends, b_ends = np.cumsum(sides.a_sizes[a]), np.cumsum(sides.b_sizes[b])
     a_starts, b_starts = a_ends - sides.a_sizes[a], b_ends - sides.b_sizes[b]
     low, high = np.searchsorted(b_ends, a_starts, side="right"), np.searchsorted(b_starts, a_ends, side="left")
     links = high - low
     first = np.cumsum(links) - links
     partner = np.arange(int(links.sum())) - np.repeat(first - low, links)
-    pairs = (np.repeat(a, links) << 16 | b[partner]).astype("<u4")
-    bounds = np.cumsum([0] + [len(x) for x in a_ids])
-    link_ends = np.r_[0, np.cumsum(links)][bounds] * 4
-    packed, a_cut = pairs.tobytes(), np.isin(a_ends, b_ends).tolist()
-    b_cut, out, k, at_a, at_b = np.isin(b_ends, a_ends).tolist(), [], 0, 0, 0
-    for g in good:
-        if not g:
-            out.append(None)
-            continue
-        x, y = a_ids[k], b_ids[k]
-        left, right = _groups(x, a_cut[at_a:at_a + len(x)]), _groups(y, b_cut[at_b:at_b + len(y)])
-        text = ";".join([f"{p}|{q}" for p, q in zip(left, right)])
-        part = packed[link_ends[k]:link_ends[k + 1]]
-        out.append((len(x), len(y), len(left), len(part) // 4, text, part))
-        k, at_a, at_b = k + 1, at_a + len(x), at_b + len(y)
-    return out
-
-
-def _groups(ids: list[int], cut: list[bool]) -> list[str]:
-    out, held = [], []
-    for i, last in zip(ids, cut):
-        held.append(str(i))
-        if last:
-            out.append(",".join(held))
-            held = []
-    return out
+    packed = (np.repeat(a, links) << 16 | b[partner]).astype("<u4").tobytes()
+    # tokens of both sides group by group, each behind its separator
+    a_cut, b_cut = np.isin(a_ends, b_ends), np.isin(b_ends, a_ends)
+    group = np.concatenate([2 * (np.cumsum(a_cut) - a_cut), 2 * (np.cumsum(b_cut) - b_cut) + 1])
+    order = np.argsort(group, kind="stable")
+    begins = np.r_[True, np.diff(group[order]) != 0][:len(order)]
+    separator = np.where(begins, np.where(group[order] % 2 == 1, 2, 3), 1)
+    stops, ends_a, ends_b = np.cumsum(sizes_a + sizes_b), np.cumsum(sizes_a), np.cumsum(sizes_b)
+    separator[np.r_[0, stops[:-1]][:len(stops)]] = 0
+    shown = list(map(sides.names.__getitem__, (separator * sides.width + np.concatenate([a, b])[order]).tolist()))
+    groups = np.diff(np.r_[0, np.cumsum(a_cut)[ends_a - 1]]) if len(a) else sizes_a
+    link_stops = np.cumsum(links)[ends_a - 1] if len(a) else sizes_a
+    counts = np.diff(np.r_[0, link_stops])
+    made, text_at, link_at = [], 0, 0
+    for n_a, n_b, n_groups, n_links, text_stop, link_stop in zip(*(v.tolist() for v in (sizes_a, sizes_b, groups, counts, stops, 4 * link_stops))):
+        made.append((n_a | n_b << FIELD | n_groups << 2 * FIELD | n_links << 3 * FIELD, "".join(shown[text_at:text_stop]), packed[link_at:link_stop]))
+        text_at, link_at = text_stop, link_stop
+    if all(good):
+        return made
+    rest = iter(made)
+    return [next(rest) if g else None for g in good]
 
 
 class Aligner(dict):
@@ -141,7 +142,7 @@ class Aligner(dict):
 
     def units(self, text: str) -> list[str]:
         whole = " " + text
-        return UNIT.split(whole) if self.sides.independent else [whole]
+        return UNIT.findall(whole) if self.sides.independent else [whole]
 
     def learn(self, units: set[str]) -> None:
         """Align what is new, together; the cache starts anew before it grows too large."""
@@ -153,12 +154,11 @@ class Aligner(dict):
             part = new[start:start + 4096]
             for unit, made in zip(part, align(self.sides, part)):
                 self[unit] = made
-                self.size += 400 + 2 * len(unit) + (len(made[4]) + len(made[5]) if made else 0)
+                self.size += 400 + 2 * len(unit) + (len(made[1]) + len(made[2]) if made else 0)
 
 
-@functools.lru_cache(maxsize=1)
 def aligner(byte_path: str, piece_path: str) -> Aligner:
-    return Aligner(byte_path, piece_path)
+    return held(Aligner, byte_path, piece_path)
 
 
 NOTHING = (0, 0, 0, 0, "", b"")
@@ -174,8 +174,9 @@ def aligned(aligner: Aligner, texts: list[str | None]) -> list[tuple[int, int, i
         if not got or None in got:
             out.append(NOTHING)
             continue
-        a, b, groups, links, parts, pairs = zip(*got)
-        out.append((sum(a), sum(b), sum(groups), sum(links), hashlib.sha256(";".join(parts).encode()).hexdigest(), b"".join(pairs)))
+        counts, parts, pairs = zip(*got)
+        total = sum(counts)
+        out.append((*[total >> k * FIELD & (1 << FIELD) - 1 for k in range(4)], hashlib.sha256(";".join(parts).encode()).hexdigest(), b"".join(pairs)))
     return out
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -133,6 +133,17 @@ class Powers:
         return self.up, self.down
 
 
+def held(make: Callable, *key):
+    """``make(*key)``, kept by the worker until another operator keeps something: workers are used for many stages."""
+    if (make, key) not in _HELD:
+        _HELD.clear()
+        POWERS.__init__(POWERS.base)
+        pa.default_memory_pool().release_unused()
+        _HELD[make, key] = make(*key)
+    return _HELD[make, key]
+
+
+_HELD: dict = {}
 #: An odd multiplier of 64 random bits, and the byte values' codes.
 POWERS = Powers(0x9E3779B97F4A7C15 | 5)
 CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
