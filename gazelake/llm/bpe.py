@@ -14,6 +14,7 @@ import functools
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -21,11 +22,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import slices, table
+from .common import held, slices, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Cached pieces of a worker, at most.
-CACHE = 400_000
+#: Cached units of a worker, and cached pieces, at most.
+CACHE = 300_000
 #: The characters with the property White_Space.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: White space and what follows it up to the next white space: no match of the
@@ -147,52 +148,152 @@ class PrefixTable:
         return out[::-1]
 
 
+class Batch:
+    """Prefix tables of many short pieces side by side, a byte a step for all of them.
+
+    Tokens that end at a byte are found backwards through a trie of reversed tokens; of those, the one that may
+    stand behind the last token of the prefix it leaves is the last token here. Pairs of tokens are looked up in
+    a table of fixed size and worked out once if they are not there.
+    """
+
+    #: Pieces up to this many bytes, and places in the table of pairs.
+    LONGEST, PAIRS = 32, 1 << 20
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary = vocabulary
+        states, edges, self.sizes = {b"": 0}, {}, np.zeros(len(vocabulary.ranks), np.int64)
+        tokens = {}
+        for token, i in vocabulary.ranks.items():
+            self.sizes[i] = len(token)
+            if len(token) > self.LONGEST or i not in vocabulary.reachable:
+                continue
+            state = 0
+            for k in range(len(token) - 1, -1, -1):
+                ending = token[k:]
+                if ending not in states:
+                    states[ending] = len(states)
+                    edges[state << 8 | token[k]] = states[ending]
+                state = states[ending]
+            tokens[state] = i
+        self.edges = np.array(sorted(edges), np.int64)
+        self.next = np.array([edges[e] for e in self.edges.tolist()], np.int64)
+        self.token = np.full(len(states), -1, np.int64)
+        self.token[list(tokens)] = list(tokens.values())
+        self.numbers = list(range(len(vocabulary.ranks)))
+        self.keys, self.fits = np.full(self.PAIRS, -1, np.int64), np.zeros(self.PAIRS, bool)
+
+    def _side_by_side(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << 20 | right
+        slot = (keys * 0x9E3779B1 >> 11) & (self.PAIRS - 1)
+        missing = np.flatnonzero(self.keys[slot] != keys)
+        out = self.fits[slot]
+        if len(missing):
+            new, at = np.unique(keys[missing], return_inverse=True)
+            made = np.array([self.vocabulary._side_by_side(k >> 20, k & 0xFFFFF) for k in new.tolist()], bool)
+            out[missing] = made[at]
+            place = (new * 0x9E3779B1 >> 11) & (self.PAIRS - 1)
+            self.keys[place], self.fits[place] = new, made
+        return out
+
+    def ids(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each piece, none of them empty or longer than ``LONGEST``."""
+        if not pieces:
+            return []
+        sizes = np.array(list(map(len, pieces)))
+        order = np.argsort(-sizes, kind="stable")
+        sizes, width = sizes[order], int(sizes.max())
+        data = np.zeros((len(pieces), width), np.uint8)
+        data[np.arange(width) < sizes[:, None]] = np.frombuffer(b"".join([pieces[i] for i in order.tolist()]), np.uint8)
+        # last[:, e] is the last token of the first e bytes
+        last = np.full((len(pieces), width + 1), -1, np.int64)
+        for end in range(1, width + 1):
+            live = np.arange(int(np.searchsorted(-sizes, -end, side="right")))
+            state, found = np.zeros(len(live), np.int64), []
+            for back in range(1, end + 1):
+                edge = state << 8 | data[live, end - back]
+                at = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+                go = self.edges[at] == edge
+                live, state = live[go], self.next[at[go]]
+                if not len(live):
+                    break
+                token = self.token[state]
+                has = token >= 0
+                found.append((back, live[has], token[has]))
+            for back, who, token in reversed(found):
+                open_ones = last[who, end] < 0
+                who, token = who[open_ones], token[open_ones]
+                if back < end:
+                    fits = self._side_by_side(last[who, end - back], token)
+                    who, token = who[fits], token[fits]
+                last[who, end] = token
+        # back from the end, all pieces at once
+        out, steps, rows, end = [None] * len(pieces), [], np.arange(len(pieces)), sizes.copy()
+        while len(rows):
+            token = last[rows, end[rows]]
+            steps.append((rows, token))
+            end[rows] -= self.sizes[token]
+            rows = rows[end[rows] > 0]
+        rows, token = (np.concatenate([s[k] for s in steps[::-1]]) for k in (0, 1))
+        by_row = np.argsort(rows, kind="stable")
+        ends = np.cumsum(np.bincount(rows, minlength=len(pieces)))
+        # the same number object for the same token
+        flat = [*map(self.numbers.__getitem__, token[by_row].tolist())]
+        start = 0
+        for i, stop in zip(order.tolist(), ends.tolist()):
+            out[i] = flat[start:stop]
+            start = stop
+        return out
+
+
 class Encoder(dict):
-    """Units of text to (ids as text, number of ids, decoded bytes, ids as integers), kept per worker."""
+    """Units of text to their ids, kept per worker."""
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN) -> None:
         super().__init__()
         self.vocabulary, self.pattern, self.pieces = Vocabulary(path), regex.compile(pattern), {}
+        self.batch = Batch(self.vocabulary)
+        self.names = [str(i) for i in range(len(self.vocabulary.ranks))]
+
+    def cut(self, unit: str) -> list[str]:
+        """The matches of the pattern in a unit."""
+        # a space and letters are one match; letters of later alphabets are left to the pattern
+        if unit[0] == " " and unit[1:].isalpha() and max(unit) < "\u0530":
+            return [unit]
+        return self.pattern.findall(unit)
+
+    def learn(self, units: set[str]) -> None:
+        """Encode the units that are not known yet together, each distinct piece once."""
+        if len(self) > CACHE:
+            self.clear()
+            self.pieces.clear()
+        new = [(u, self.cut(u)) for u in units if u not in self]
+        pieces = {p: p.encode("utf-8", "replace") for _, cut in new for p in cut if p not in self.pieces}
+        short = {p: raw for p, raw in pieces.items() if len(raw) <= Batch.LONGEST}
+        self.pieces.update(zip(short, self.batch.ids(list(short.values()))))
+        # longer pieces are filled one by one
+        self.pieces.update((p, PrefixTable(self.vocabulary, raw).ids()) for p, raw in pieces.items() if p not in short)
+        for unit, cut in new:
+            self[unit] = self.pieces[cut[0]] if len(cut) == 1 else [i for p in cut for i in self.pieces[p]]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        cut = list(map(UNIT.findall, texts))
+        self.learn(set().union(*cut))
+        return [list(chain.from_iterable(map(self.__getitem__, units))) for units in cut]
 
-    def piece_ids(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = PrefixTable(self.vocabulary, piece.encode()).ids()
-            if len(piece) < 64:
-                if len(self.pieces) > CACHE:
-                    self.pieces.clear()
-                self.pieces[piece] = ids
-        return ids
-
-    def unit_ids(self, unit: str) -> list[int]:
-        return [i for m in self.pattern.findall(unit) for i in self.piece_ids(m)]
-
-    def __missing__(self, unit: str) -> tuple[str, int, bytes, bytes]:
-        ids = self.unit_ids(unit)
-        value = (" ".join(map(str, ids)), len(ids), self.decode(ids), np.array(ids, "<i4").tobytes())
-        if len(unit) < 64:
-            if len(self) > CACHE:
-                self.clear()
-            self[unit] = value
-        return value
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.bytes.__getitem__, ids))
 
-    def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.digest(text)[3], "<i4").tolist()
-
-    def digest(self, text: str) -> tuple[int, str, str, bytes]:
-        """Number of ids, digests of ids and decoded bytes, and the ids as little-endian 32-bit integers."""
-        got = list(map(self.__getitem__, UNIT.findall(text)))
-        ids = " ".join([x[0] for x in got])
-        return (sum([x[1] for x in got]), hashlib.sha256(ids.encode()).hexdigest(),
-                hashlib.sha256(b"".join([x[2] for x in got])).hexdigest(), b"".join([x[3] for x in got]))
+    def digests(self, ids: list[int]) -> tuple[str, str]:
+        """Digests of the ids and of the decoded bytes."""
+        text = " ".join(map(self.names.__getitem__, ids))
+        return hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held(Encoder, path)
 
 
 def _roundtrips(path: str, with_ids: bool):
@@ -201,14 +302,14 @@ def _roundtrips(path: str, with_ids: bool):
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                got = [e.digest(t) for t in texts]
-                out = {"doc_id": part.column("doc_id"), "n_tokens": pa.array([x[0] for x in got], pa.int64()),
-                       "ids_sha256": pa.array([x[1] for x in got], pa.string()),
-                       "decoded_sha256": pa.array([x[2] for x in got], pa.string())}
+                ids = e.encode_all(texts)
+                got = list(map(e.digests, ids))
+                out = {"doc_id": part.column("doc_id"), "n_tokens": pa.array(list(map(len, ids)), pa.int64()),
+                       "ids_sha256": pa.array([x[0] for x in got], pa.string()), "decoded_sha256": pa.array([x[1] for x in got], pa.string())}
                 if with_ids:
-                    flat = np.frombuffer(b"".join([x[3] for x in got]), "<i4")
-                    ends = np.cumsum([0] + [x[0] for x in got]).astype(np.int32)
-                    out["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
+                    ends = np.cumsum([0] + list(map(len, ids))).astype(np.int32)
+                    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
                 yield pa.RecordBatch.from_pydict(out)
     return run
 
