@@ -10,7 +10,6 @@ selector all at once.
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import zlib
@@ -23,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
-from .common import slices, stage_path, table
+from .common import held, slices, stage_path, table
 
 BLOCK = 1024
 #: Ids per word and bits per id, by selector; selector 0 is an escape.
@@ -32,8 +31,9 @@ PACKS = [(1, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (
 COUNTS = np.array([n for n, _ in PACKS], np.int64)
 #: Cached words of a worker, at most.
 CACHE = 800_000
-#: A single mark between a letter and white space: the pre-tokenizer parts it from the word anyway.
-SENTENCE_MARK = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \n]|$)")
+#: A single mark between a letter and white space: the pre-tokenizer parts it from the word anyway. ASCII letters only:
+#: the normalizer turns some others into a letter and a mark that goes with the punctuation.
+SENTENCE_MARK = re.compile(r"(?<=[A-Za-z])([.,])(?=[ \n]|$)")
 END = 1
 VOCABULARY = "word_bpe_49k.json"
 FILE_SCHEMA = ("part int, seq int, first long, doc_ids array<bigint>, doc_tokens array<bigint>, n_ids long, "
@@ -140,9 +140,8 @@ class WordIds(dict):
         return self.encode_all([text])[0]
 
 
-@functools.lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return held(WordIds, path)
 
 
 def _segments(path: str, end: int):
