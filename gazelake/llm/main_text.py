@@ -20,11 +20,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import slices, table
 
-#: Labelled pages that are learned from, and characters of each, at most.
-PAGES, PAGE_CHARS = 400, 200_000
+#: Labelled pages that are learned from, at most.
+PAGES = 400
+#: A quote counts only behind an equals sign; ``<!-->`` and ``<!--->`` are whole comments.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)", re.S | re.I)
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?>(?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*))>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
+    re.S | re.I)
+#: A tag with a quote that is never closed ends at the next bracket.
+PLAIN_TAG = re.compile(r"<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>[^>]*)>(?P<text>$^)?")
+TO_END = re.compile(r"<!--|<!\[CDATA\[", re.I)
+REST = re.compile(r"(?P<text>.+)(?P<tag>$^)?(?P<close>$^)?", re.S)
 #: Elements whose content is no markup and ends with the next closing tag, and elements that are left out whole if they are closed.
 RAW = frozenset("script style noscript template iframe textarea title".split())
 WHOLE = frozenset("svg select canvas object audio video".split())
@@ -39,7 +45,11 @@ BLOCK = frozenset("address article aside blockquote body br caption center dd de
                   "table tbody td tfoot th thead tr ul".split())
 CLOSED_BY_BLOCK = frozenset(("p",))
 CLOSED_BY_ITSELF = frozenset("li dt dd tr td th option".split())
-APART = frozenset("nav aside footer form button dialog menu head label fieldset".split())
+APART = frozenset("nav aside footer form button dialog menu head fieldset".split())
+#: Elements that their names may set apart; a heading, a paragraph or a word inside a sentence is text whatever it is called.
+NAMED = frozenset("div section ul ol dl table header details figure center iframe".split())
+#: Words of a name that is a phrase of its own.
+PHRASE = frozenset("of on for to the and in with from".split())
 ARTICLE = frozenset(("article", "main"))
 #: Names that parts around an article go by.
 NAMES = re.compile(
@@ -67,9 +77,11 @@ def named_apart(tag: str, attributes: str) -> bool:
             if re.search(r"display\s*:\s*none", value):
                 return True
             continue
+        if tag not in NAMED:
+            continue
         for one in value.split():
             words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", one)) if w]
-            if not words or words[0] in ("has", "with", "no", "without"):
+            if not words or words[0] in ("has", "with", "no", "without") or not PHRASE.isdisjoint(words[1:]):
                 continue
             if CONTENT_NAMES.match(words[0]) and words[-1] in ("header", "body", "main", "content"):
                 continue
@@ -80,9 +92,19 @@ def named_apart(tag: str, attributes: str) -> bool:
 
 def split(source: str) -> list[re.Match[str]]:
     """Texts and tags of a page, without raw elements that are closed."""
-    out, at, unclosed = [], 0, set()
+    out, at, unclosed, last = [], 0, set(), source.rfind(">")
     while at < len(source):
+        # behind the last bracket no tag is closed any more; comments and code go to the end anyway
+        if at > last:
+            to_end = TO_END.search(source, at)
+            stop = to_end.start() if to_end else len(source)
+            if stop > at:
+                out.append(REST.match(source, at, stop))
+                at = stop
+                continue
         m = TOKEN.match(source, at)
+        if m["text"] == "<":
+            m = PLAIN_TAG.match(source, at) or m
         at = m.end()
         tag = m["tag"].lower() if m["tag"] else ""
         if tag in RAW and not m["close"]:
@@ -130,12 +152,17 @@ class Page:
     def __init__(self, source: str) -> None:
         self.tokens: list[tuple[str, str, int, str, bool, int]] = []
         stack: list[tuple[str, bool]] = []
+        blocks: list[str] = []
+        opened: Counter[str] = Counter()
         apart = links = inside = block = 0
         self.marked: list[bool] = []
 
         def pop() -> None:
             nonlocal apart, links, inside
             tag, was_apart = stack.pop()
+            opened[tag] -= 1
+            if tag in BLOCK:
+                blocks.pop()
             apart -= was_apart
             links -= tag == "a"
             inside -= tag in ARTICLE
@@ -150,7 +177,7 @@ class Page:
                 words = len(text.split())
                 if not words and not text.isspace():
                     continue
-                where = next((t for t, _ in reversed(stack) if t in BLOCK), "")
+                where = blocks[-1] if blocks else ""
                 feature = f"{where} {min(links, 1)} {min(apart, 1)}"
                 self.tokens.append(("word", feature, words, text, apart > 0, block))
                 self.marked.append(inside > 0)
@@ -165,7 +192,7 @@ class Page:
             if tag in BLOCK:
                 block += 1
             if m["close"]:
-                if any(t == tag for t, _ in stack):
+                if opened[tag]:
                     while stack[-1][0] != tag:
                         pop()
                     self.tokens.append(("tag", f"/{tag}", 0, "", apart > 0, block))
@@ -176,15 +203,19 @@ class Page:
                 while stack and stack[-1][0] in CLOSED_BY_BLOCK:
                     pop()
                 # an inline element that was never closed ends with its paragraph
-                depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCK), -1)
-                if depth >= 0 and stack[depth][0] in CLOSED_BY_BLOCK:
-                    while len(stack) > depth:
+                if blocks and blocks[-1] in CLOSED_BY_BLOCK:
+                    ended = blocks[-1]
+                    while stack[-1][0] != ended:
                         pop()
+                    pop()
             if tag in CLOSED_BY_ITSELF and stack and stack[-1][0] == tag:
                 pop()
             is_apart = tag in APART or (tag == "header" and not inside) or named_apart(tag, m["attributes"])
             if tag not in VOID and not m["attributes"].endswith("/"):
                 stack.append((tag, is_apart))
+                opened[tag] += 1
+                if tag in BLOCK:
+                    blocks.append(tag)
                 apart += is_apart
                 links += tag == "a"
                 inside += tag in ARTICLE
@@ -192,24 +223,39 @@ class Page:
             self.marked.append(inside > 0)
 
 
-def train_pages(pages: list[str]) -> dict[str, float]:
-    """Scores of word places and tags from pages that mark their article: logarithms of odds, bounded."""
-    counts = {True: Counter(), False: Counter()}
-    for source in pages:
-        page = Page(source)
-        if not any(page.marked):
-            continue
+def page_counts(source: str) -> Counter[tuple[str, str, bool]]:
+    """Words and tags of a page that marks its article, by place and side; none of other pages."""
+    page, counts = Page(source), Counter()
+    if any(page.marked):
         for (kind, feature, words, _, apart, _), inside in zip(page.tokens, page.marked):
             if not apart:
-                counts[inside][kind, feature] += words if kind == "word" else 1
+                counts[kind, feature, inside] += words if kind == "word" else 1
+    return counts
+
+
+def scores(counts: Counter[tuple[str, str, bool]]) -> dict[str, float]:
+    """Scores of word places and tags: logarithms of odds, bounded."""
     out = {}
-    for kind, feature in counts[True] | counts[False]:
-        odds = math.log((counts[True][kind, feature] + 1) / (counts[False][kind, feature] + 1))
+    for kind, feature in {(kind, feature) for kind, feature, _ in counts}:
+        odds = math.log((counts[kind, feature, True] + 1) / (counts[kind, feature, False] + 1))
         # tags never add to a region; words behind tags that say nothing are text
         out[f"{kind} {feature}"] = min(max(odds / 2, -3.0), 0.0) + TAG / 4 if kind == "tag" else min(max(odds, OUTSIDE), WORD)
     return out
 
 
+def train_pages(pages: list[str]) -> dict[str, float]:
+    return scores(sum((page_counts(p) for p in pages), Counter()))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "html"):
+            counts = sum((page_counts(h) for h in part.column("html").to_pylist()), Counter())
+            yield pa.RecordBatch.from_pydict({
+                "kind": pa.array([k for k, _, _ in counts], pa.string()), "feature": pa.array([f for _, f, _ in counts], pa.string()),
+                "inside": pa.array([i for _, _, i in counts], pa.bool_()), "n": pa.array(list(counts.values()), pa.int64())})
+
+
 def _score(weights: dict[str, float], token) -> float:
     kind, feature, words, _, apart, _ = token
     learned = weights.get(f"{kind} {feature}")
@@ -247,10 +293,21 @@ def main_text(source: str | None, weights: dict[str, float]) -> str:
 
 
 def train(pages: DataFrame, most: int = PAGES) -> dict[str, float]:
-    """Learn from at most ``most`` of the pages that mark an article, those of lowest hash."""
-    marked = pages.filter(F.lower("html").rlike(r"<(article|main)[\s>]")).select("page_id", F.substring("html", 1, PAGE_CHARS).alias("html"))
-    rows = marked.orderBy(F.xxhash64("page_id"), "page_id", "html").limit(most).collect()
-    return train_pages([r["html"] for r in rows])
+    """Learn from at most ``most`` of the pages that mark an article, those of lowest hash, whole.
+
+    Ids are chosen without the pages, and the chosen pages are counted where they are: only sums of
+    places and tags come to the driver. Rows that share a chosen id are all counted.
+    """
+    marked = pages.filter(F.lower("html").rlike(r"<(article|main)[\s>]")).select("page_id", "html")
+    order = F.xxhash64("page_id")
+    known = marked.select("page_id").filter("page_id is not null")
+    n = known.count()
+    low = known.filter((order / F.lit(2.0 ** 64) + 0.5) * n <= 2 * most + 100).distinct()
+    chosen = low.orderBy(order, "page_id").limit(most)
+    # the sample is small by its parameter
+    counted = marked.join(F.broadcast(chosen), "page_id").mapInArrow(_counted, "kind string, feature string, inside boolean, n long")
+    rows = counted.groupBy("kind", "feature", "inside").agg(F.sum("n").alias("n")).collect()
+    return scores(Counter({(r["kind"], r["feature"], r["inside"]): r["n"] for r in rows}))
 
 
 @functools.lru_cache(maxsize=2)
