@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zstandard
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def compressor(content: bytes, level: int, min_match: int) -> zstandard.ZstdCompressor:
@@ -16,13 +16,12 @@ def compressor(content: bytes, level: int, min_match: int) -> zstandard.ZstdComp
     return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=parameters)
 
 
-def labelled_sample(ids: DataFrame, docs: DataFrame, label: str, per_label: int, most_chars: int) -> list[Row]:
-    """At most ``per_label`` documents of each label, those of lowest hash, in a fixed order.
+def labelled_rows(ids: DataFrame, docs: DataFrame, label: str, per_label: int) -> DataFrame:
+    """At most ``per_label`` whole documents of each label, those of lowest hash: doc_id, the label, text.
 
-    Ids are chosen without the texts; only the chosen texts come to the driver, cut
-    to ``most_chars``, so a sample is bounded whatever the corpus. The rows of each label are
-    counted first, and only ids with a hash so low that about twice ``per_label`` have it are
-    ranked, however many rows a label has. Of rows with one id the text that sorts first counts.
+    Ids are chosen without the texts. The rows of each label are counted first, and only ids with a hash so low
+    that about twice ``per_label`` have it are ranked, however many rows a label has. Of rows with one id the text
+    that sorts first counts; an id with two labels may be there with both; null ids, labels and texts never.
     """
     named = ids.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", label)
     # one row a label; the model that is learned has far more bytes for each
@@ -32,10 +31,17 @@ def labelled_sample(ids: DataFrame, docs: DataFrame, label: str, per_label: int,
     low = named.join(counts, label).filter(share * F.col("_n") <= 2 * per_label + 100).select("doc_id", label).distinct()
     rank = F.row_number().over(Window.partitionBy(label).orderBy(order, "doc_id"))
     chosen = low.withColumn("_rank", rank).filter(F.col("_rank") <= per_label).drop("_rank")
-    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, most_chars).alias("text"))
+    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
     # the sample is small by its parameters
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", label).agg(F.min("text").alias("text")).collect()
-    return sorted(rows, key=lambda r: (hash_order(r["doc_id"]), r["doc_id"], r["text"], r[label]))
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", label).agg(F.min("text").alias("text"))
+
+
+def spread_out(n: int, most: int) -> list[int]:
+    """At most ``most`` of ``n`` places, evenly over all of them; the first few lie far apart as well."""
+    places = list(range(n)) if n <= most else [k * n // most for k in range(most)]
+    # multiples of the golden ratio fill an interval evenly
+    ranks = sorted(range(len(places)), key=lambda t: t * 0.6180339887498949 % 1)
+    return [place for _, place in sorted(zip(ranks, places))]
 
 
 def hash_order(doc_id: int) -> int:

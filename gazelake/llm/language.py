@@ -11,12 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import held_out, slices, table
-from .compression import compressor, labelled_sample
+from .compression import compressor, hash_order, labelled_rows, spread_out
 
-#: Documents a language learns from, characters of each, and dictionary bytes of each language, at most.
+#: Documents a language learns from, and dictionary bytes of each language, at most.
 DOCS_PER_LANGUAGE = 400
-SAMPLE_CHARS = 20_000
 DICTIONARY_BYTES = 96_000
+#: Windows of a document that a dictionary may hold, taken from all over the document, and their bytes.
+LEARNED, LEARNED_BYTES = 32, 512
 #: Bytes of text compressed at once; longer texts are cut, so that the dictionary and not the text's own past is used.
 WINDOW = 1024
 #: Below this share of saved bytes between the best two languages, a text is rejected.
@@ -45,13 +46,23 @@ def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, dictionary_byt
 
     All dictionaries are equally long (the shortest's text repeated if need be), so none is favoured by its size.
     """
-    content: dict[str, list[bytes]] = {}
-    for row in labelled_sample(docs.select("doc_id", "lang"), docs, "lang", per_language, SAMPLE_CHARS):
-        content.setdefault(row["lang"], []).append(letters(row["text"]))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                parts = [windows(letters(t), LEARNED_BYTES) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": part.column("doc_id"), "lang": part.column("lang"),
+                    "parts": pa.array([[p[k] for k in spread_out(len(p), LEARNED)] for p in parts], pa.list_(pa.binary()))})
+
+    content: dict[str, list[list[bytes]]] = {}
+    sample = labelled_rows(docs.select("doc_id", F.col("lang").cast("string").alias("lang")), docs, "lang", per_language)
+    chosen = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(cut, "doc_id long, lang string, parts array<binary>")
+    for row in sorted(chosen.collect(), key=lambda r: (hash_order(r["doc_id"]), r["doc_id"], r["lang"])):
+        content.setdefault(row["lang"], []).append([bytes(p) for p in row["parts"]])
     out = {}
     for lang, texts in sorted(content.items()):
         # a turn for each document until the dictionary is full
-        parts = [windows(t, 512) for t in texts if t]
+        parts = [t for t in texts if t and t[0]]
         turns = [p[k] for k in range(max(map(len, parts), default=0)) for p in parts if k < len(p)]
         text = b" " + b" ".join(turns)
         if len(text) > 1:
