@@ -39,6 +39,18 @@ def test_passages_and_nulls(spark):
     assert repeats.remove_repeats(docs).count() == 4
 
 
+def test_rows_with_one_id(spark):
+    other = " ".join(f"other{k}" for k in range(40))
+    rows = [(1, BASE, "a"), (1, other, "b"), (2, BASE + " more", "c"), (None, BASE, "d"), (None, None, "e"), (3, None, "f"), (3, "", "g"), (1, other, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == sorted([(1, BASE), (1, other), (0, ""), (3, ""), (3, "")])
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), SF).count() == 0
+
+
+BASE = " ".join(f"word{k}" for k in range(40))
+
+
 def test_columns_of_any_name(spark):
     own = ["_score", "_none", "_key", "_no", "_copies", "kept_text", "n_bytes", "n_spans", "data", "c0", "none", "key", "component_id"]
     rows = [(i, f"one two three {'four ' * i}", "s" if i % 2 else None, *[f"{c} {i}" for c in own]) for i in range(12)]

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -103,6 +104,13 @@ def test_word_ids_are_the_library_s(text):
     assert own == library(path).encode(text, add_special_tokens=False).ids
 
 
+def test_marks_behind_every_letter():
+    path = public_tokenizers.path(token_files.VOCABULARY)
+    texts = [f"{c}{mark} x" for c in map(chr, range(0x3000)) if c.isalpha() for mark in ".,"]
+    want = [e.ids for e in library(path).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in token_files.word_ids(path).encode_all(texts)] == want
+
+
 def library(path, cache={}):
     return cache.setdefault(path, Tokenizer.from_file(path))
 
@@ -163,8 +171,46 @@ def test_toxicity_on_held_out_rows(spark, odd, none):
 
 
 def test_words_in_copies_have_one_context():
-    text = toxicity.words_of("one odd passage of words")
-    assert max(toxicity.contexts([text] * 50).values()) == 1
+    once, again = (set(toxicity._contexts(1, "one odd passage of words")) for _ in range(2))
+    assert once == again and len({c for _, g, c in once if g == b" odd "}) == 1
+
+
+def test_long_clean_texts_stay_clean(spark):
+    """Clean documents end to end, up to two million characters; a toxic one at the end of a long text is found."""
+    big = SF.replace("0.001", "0.1")
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    model = toxicity.train_tables(spark, big)
+    windows = toxicity.Windows(model)
+    marked = docs.join(labels, "doc_id").orderBy("doc_id").select("text", "toxic").collect()
+    score = lambda text: toxicity.score(windows, model.weights, text)
+    clean = [r["text"] for r in marked if not r["toxic"] and score(r["text"]) < 0.1]
+    assert all(score("\n".join(clean[:n])) < toxicity.THRESHOLD for n in (10, 50, 250, 1000))
+    toxic = [r["text"] for r in marked if r["toxic"]][:40]
+    found = sum(score("\n".join([*clean[20 * k % 900:20 * k % 900 + 20], t])) >= toxicity.THRESHOLD for k, t in enumerate(toxic))
+    assert found >= 0.7 * len(toxic)
+
+
+def test_toxic_words_behind_a_long_beginning(spark):
+    """The label shows only far behind the first characters of each text."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 7))) for _ in range(400)]
+    line = lambda n: " ".join(rng.choices(words, k=n))
+    rows = [(k, line(3000) + " " + " ".join(f"zzzvile {w}" for w in rng.choices(words, k=12)) * (k % 2) + " " + line(500), k % 2) for k in range(160)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, toxicity.train(docs, labels)).collect()}
+    assert sum(got[k] == y for k, _, y in rows) >= 150
+
+
+def test_language_learns_from_whole_texts(spark):
+    """Documents that begin alike in both languages."""
+    rng = random.Random(5)
+    sides = {x: ["".join(rng.choices(x, k=rng.randint(9, 14))) for _ in range(200)] for x in ("abcdefghijkl", "ghijklmnopqr")}
+    rows = [(k, "1234 same start " * 2000 + " ".join(rng.choices(sides[x], k=2000)), x) for k, x in enumerate(list(sides) * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    test = spark.createDataFrame([(k, " ".join(rng.choices(sides[x], k=30)), x) for k, x in enumerate(list(sides) * 5)], "doc_id long, text string, lang string")
+    got = language.predict(test, language.train(docs)).join(test, "doc_id")
+    assert got.filter("lang = lang_pred").count() == 10
 
 
 PAGE = """<html><head><title>T</title><script>x='<p>no</p>'</script></head><body><div class="cookie-notice">We use cookies here</div>
@@ -211,3 +257,33 @@ def test_main_text_keeps_formulas_and_drops_code():
     line = "Words around the formula, many of them. " * 5
     page = f"<article><p>{line}<math><mi>x</mi><mo>=</mo><mn>2</mn></math> follows.</p></article><div><script>var gone = 1;</div>"
     assert main_text.main_text(page, {}) == f"{line}x=2 follows."
+
+
+BODY = " ".join(f"word{k} and text" for k in range(60))
+
+
+@pytest.mark.parametrize("inner, text", [
+    ("<p><span title=it's>one</span> stays</p>", "one stays"), ("<!--><p>behind a comment</p>", "behind a comment"), ("<!---><p>here too</p>", "here too"),
+    ('<h2 id="related-work">Related work</h2>', "Related work"), ('<h2 id="comments-on-theory">On theory</h2>', "On theory"),
+    ('<div class="notice-of-motion">A motion</div>', "A motion"), ('<blockquote class="comment">quoted</blockquote>', "quoted"),
+    ('<p>a <span class="search-term">term</span> here</p>', "a term here"), ("<p><label>label</label> here</p>", "label here"),
+    ("<p>a < b <a href='x>y'>link</a></p>", "a < b link"), ("<p><a href='open>link</a> goes on</p>", "link goes on"),
+    ('<div class="cookie-notice">gone</div>', None), ('<div class="comments"><p>gone</p></div>', None), ("<!-- gone -->", None)])
+def test_main_text_of_an_article_is_whole(inner, text):
+    page = f"<body><nav>menu</nav><article><p>{BODY}</p>{inner}<p>{BODY}</p></article><footer>foot</footer></body>"
+    assert main_text.main_text(page, {}).split("\n") == [BODY, *([text] if text else []), BODY]
+
+
+@pytest.mark.parametrize("page", ["<a " * 333_000, "<a =\"" * 160_000 + ">", "<div>" * 60_000 + "</p>" * 60_000, "<b>" * 60_000 + "x <i>y" * 20_000, "<a ='>" * 100_000])
+def test_main_text_is_linear(page):
+    start = time.process_time()
+    main_text.main_text(page, {})
+    assert time.process_time() - start < 10
+
+
+def test_pages_are_learned_from_as_a_whole(spark):
+    """The only marked article lies behind a quarter of a million characters."""
+    page = "<body><div>" + "<a>menu</a> " * 25_000 + f"</div><article><p>{BODY}</p></article></body>"
+    pages = spark.createDataFrame([(k, "u", page) for k in range(3)], "page_id long, url string, html string")
+    learned = main_text.train(pages)
+    assert learned == main_text.train_pages([page] * 3) and learned["word p 0 0"] > 0 > learned["word div 1 0"]
