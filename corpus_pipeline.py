@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gazelake.llm import bpe, mixing, near_copies, repeats, toxicity
 from gazelake.llm.common import stage, table
+from gazelake.operators.prepare import row_numbers
 
 #: Near copies: five words a shingle, a similarity of 0.8.
 NEAR = near_copies.Settings(words=5, percent=80, coordinates=64, matches=34)
@@ -13,15 +14,21 @@ NEAR = near_copies.Settings(words=5, percent=80, coordinates=64, matches=34)
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
-    score = toxicity.score_column(toxicity.train_tables(spark, sf_dir))
-    return docs.filter(score("text") < toxicity.THRESHOLD)
+    return toxicity.below(docs, toxicity.train_tables(spark, sf_dir))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id. Rows without an id stay."""
-    kept = near_copies.near_copies(docs, NEAR).filter("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One document of each group stays: the one with the smallest id, then text; one without an id only if none has one.
+
+    Rows are told apart by their number in that order, so rows with one id and different texts all stay.
+    """
+    numbered = docs.select([F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    name = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    order = [F.col(name["doc_id"]).asc_nulls_last(), F.col(name["text"]).asc_nulls_first()]
+    numbered = stage(row_numbers(numbered, *order, name="no"))
+    rows = numbered.select(F.col("no").alias("doc_id"), F.col(name["text"]).alias("text"))
+    kept = near_copies.near_copies(rows, NEAR).filter("kept").select(F.col("doc_id").alias("no"))
+    return numbered.join(kept, "no", "left_semi").drop("no").toDF(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
