@@ -2,8 +2,11 @@
 
 Fixations are floored to whole raw pixels and counted, so a key has at most
 width x height weighted points however many trials it has; a weighted flat kernel
-gives the same means as the repeated points. The starting points of a key are cut
-into chunks, and each (key, factor, chunk) is its own unit of work.
+gives the same means as the repeated points. The points of a key lie in the lines of
+its pixel grid, with running sums along each line. What is within reach of a place is
+one run of points a line, found by two binary searches, so a step costs the lines
+within reach and not the points. The starting points of a key are dealt to units of
+work, at most ``UNITS`` a key, and each unit fits all bandwidth factors.
 """
 
 from __future__ import annotations
@@ -17,13 +20,21 @@ from ..functions import geometry as G
 from ..session import cut_lineage, spread
 from . import sequences
 
-# fixed values: bandwidth factors tried, neighbour share, stopping rule
+# fixed values: bandwidth factors tried, neighbour share; defaults: stopping rule
 FACTORS = (0.2, 0.5, 0.8, 1.0, 1.2, 1.5, 1.8)
 NEIGHBOUR_SHARE = 0.3
 STOP_SHARE = 1e-3
 MAX_ITERATIONS = 300
-# starting points of one unit of work
+# starting points of one unit of work, and units of a key at most
 CHUNK = 1024
+UNITS = 64
+# points up to which all of them are compared, and cells (starting point x line or point) in memory at once
+FEW = 4096
+CELLS = 1 << 20
+# distances are found to this part of the canvas
+RESOLUTION = 1e-12
+# digits that tell two ends of a search apart
+DIGITS = 9
 
 
 def weighted_points(trials: DataFrame, keys) -> DataFrame:
@@ -39,43 +50,121 @@ def weighted_points(trials: DataFrame, keys) -> DataFrame:
 
 
 def _packed(points: DataFrame, keys) -> DataFrame:
-    """One row per key and chunk of starting points, with all points of the key."""
-    rows = F.array_sort(F.collect_list(F.struct("cx", "cy", "weight")))
+    """One row per key and unit of starting points, with all points of the key in line order."""
+    rows = F.array_sort(F.collect_list(F.struct("cy", "cx", "weight")))
     packed = points.groupBy(*keys).agg(rows.alias("_p")).select(
         *keys, F.col("_p.cx").alias("cx"), F.col("_p.cy").alias("cy"), F.col("_p.weight").alias("weight"))
-    chunks = F.sequence(F.lit(0), F.floor((F.size("cx") - 1) / F.lit(CHUNK)).cast("int"))
-    return packed.select("*", F.explode(chunks).alias("chunk"))
+    units = F.least(F.ceil(F.size("cx") / F.lit(CHUNK)), F.lit(UNITS)).cast("int")
+    return packed.withColumn("units", units).select("*", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("chunk"))
 
 
-def kth_distances(cx, cy, weight, seeds, k):
-    """Distance of each seed to its k-th neighbour, repeats counted."""
-    d = np.hypot(cx[seeds][:, None] - cx, cy[seeds][:, None] - cy)
-    order = np.argsort(d, axis=1)
-    reached = np.cumsum(weight[order], axis=1) >= k
-    at = reached.argmax(axis=1)
-    rows = np.arange(len(d))
-    return d[rows, order[rows, at]]
+class Field:
+    """Weighted points in the lines of a pixel grid: sums of what lies within a distance of any place.
 
+    ``cx, cy`` come in line order: ascending ``cy``, then ``cx``.
+    """
 
-def shift_means(cx, cy, weight, seeds, bandwidth):
-    """Where each seed ends: (x, y, points within reach)."""
-    mx, my = cx[seeds].astype(float), cy[seeds].astype(float)
+    def __init__(self, cx, cy, weight) -> None:
+        self.cx, self.cy, self.weight = cx, cy, weight
+        self.lines, self.first = np.unique(cy, return_index=True)
+        self.span = float(cx.max() - cx.min()) + 2.0
+        self.left = float(cx.min()) - 1.0
+        line = np.searchsorted(self.lines, cy)
+        self.place = line * self.span + (cx - self.left)
+        self.ends = np.append(self.first, len(cx))
+        self.mass, self.moment = (np.concatenate([[0.0], np.cumsum(v)]) for v in (weight, weight * cx))
+
+    def _runs(self, x, y, line, reach):
+        """First point and the one behind the last within reach, for each (place, line)."""
+        above = self.lines[line] - y
+        half = np.sqrt(np.maximum(reach ** 2 - above ** 2, 0.0))
+        low, high = self.ends[line], self.ends[line + 1]
+
+        def near(i, inside):
+            at = np.where(inside, i, low)
+            return inside & ((self.cx[at] - x) ** 2 + above ** 2 <= reach ** 2)
+
+        def found(edge):
+            edge = np.clip(edge - self.left, 0.0, self.span - 0.5)
+            return np.searchsorted(self.place, line * self.span + edge)
+
+        # rounding may put a border off by one point: look at the points themselves
+        start, stop = np.clip(found(x - half), low, high), np.clip(found(x + half), low, high)
+        start = start + ((start < high) & ~near(start, start < high) & (start < stop))
+        start = start - near(start - 1, start > low)
+        stop = stop + near(stop, stop < high)
+        return start, np.maximum(start, stop)
+
+    def within(self, x, y, reach):
+        """Mass and first moments of the points within ``reach`` (one, or one a place) of each place."""
+        reach = np.broadcast_to(np.asarray(reach, dtype=np.float64), x.shape)
+        if len(self.cx) <= FEW:
+            return self._compared(x, y, reach)
+        low, high = np.searchsorted(self.lines, y - reach), np.searchsorted(self.lines, y + reach, side="right")
+        counts = high - low
+        out = np.zeros((3, len(x)))
+        blocks = np.searchsorted(np.cumsum(counts), np.arange(CELLS, counts.sum() + CELLS, CELLS))
+        for a, b in zip(np.r_[0, blocks[:-1] + 1], blocks + 1):
+            n = counts[a:b]
+            if not n.sum():
+                continue
+            who = np.repeat(np.arange(a, min(b, len(x))), n)
+            line = np.arange(len(who)) - np.repeat(np.cumsum(n) - n - low[a:b], n)
+            start, stop = self._runs(x[who], y[who], line, reach[who])
+            mass = self.mass[stop] - self.mass[start]
+            for k, value in enumerate((mass, self.moment[stop] - self.moment[start], mass * self.lines[line])):
+                out[k] += np.bincount(who, value, len(x))
+        return out
+
+    def _compared(self, x, y, reach):
+        out = np.zeros((3, len(x)))
+        sums = np.column_stack([self.weight, self.weight * self.cx, self.weight * self.cy])
+        step = max(1, CELLS // len(self.cx))
+        for a in range(0, len(x), step):
+            part = slice(a, a + step)
+            near = (x[part, None] - self.cx) ** 2 + (y[part, None] - self.cy) ** 2 <= reach[part, None] ** 2
+            out[:, part] = (near.astype(float) @ sums).T
+        return out
+
+    def kth_distances(self, seeds, k):
+        """Distance of each starting point to its k-th neighbour, repeats counted: halved until it is known."""
+        x, y = self.cx[seeds], self.cy[seeds]
+        low, high = np.full(len(x), -1.0), np.full(len(x), np.hypot(np.ptp(self.cx), np.ptp(self.cy)) + 1.0)
+        if len(self.cx) <= FEW:
+            return self._sorted_distances(x, y, k)
+        for _ in range(int(np.ceil(np.log2(1 / RESOLUTION)))):
+            middle = (low + high) / 2
+            enough = self.within(x, y, np.maximum(middle, 0.0))[0] >= k
+            high, low = np.where(enough, middle, high), np.where(enough, low, middle)
+        return np.maximum(high, 0.0)
+
+    def _sorted_distances(self, x, y, k):
+        out, step = np.zeros(len(x)), max(1, CELLS // len(self.cx))
+        for a in range(0, len(x), step):
+            d = np.hypot(x[a:a + step, None] - self.cx, y[a:a + step, None] - self.cy)
+            order = np.argsort(d, axis=1)
+            at = (np.cumsum(self.weight[order], axis=1) >= k).argmax(axis=1)
+            out[a:a + step] = d[np.arange(len(d)), order[np.arange(len(d)), at]]
+        return out
+
+
+def shift_means(field: Field, seeds, bandwidth, stop_share=STOP_SHARE, most=MAX_ITERATIONS):
+    """Where each starting point ends: (x, y, points within reach)."""
+    mx, my = field.cx[seeds].astype(float), field.cy[seeds].astype(float)
     within = np.zeros(len(mx))
     active = np.arange(len(mx))
-    sums = np.column_stack([weight, weight * cx, weight * cy])
-    for iteration in range(MAX_ITERATIONS + 1):
-        near = ((mx[active][:, None] - cx) ** 2 + (my[active][:, None] - cy) ** 2) <= bandwidth ** 2
-        mass, sx, sy = (near.astype(float) @ sums).T
+    for _ in range(most + 1):
+        mass, sx, sy = field.within(mx[active], my[active], bandwidth)
         within[active] = mass
         hit = mass > 0
         active, mass = active[hit], mass[hit]
         nx, ny = sx[hit] / mass, sy[hit] / mass
         moved = np.hypot(nx - mx[active], ny - my[active])
         mx[active], my[active] = nx, ny
-        active = active[moved > STOP_SHARE * bandwidth]
+        active = active[moved > stop_share * bandwidth]
         if not len(active):
             break
-    return mx, my, within
+    return np.round(mx, DIGITS), np.round(my, DIGITS), within
 
 
 def separate_centers(cx, cy, within, bandwidth):
@@ -100,11 +189,11 @@ def bandwidths(points: DataFrame, keys) -> DataFrame:
     def partial(batches):
         for batch in batches:
             sums, sizes = [], []
-            for x, y, w, chunk in zip(batch["cx"], batch["cy"], batch["weight"], batch["chunk"]):
+            for x, y, w, units, chunk in zip(*(batch[c] for c in _UNIT)):
                 x, y, w = (np.asarray(v, dtype=np.float64) for v in (x, y, w))
-                seeds = slice(chunk * CHUNK, (chunk + 1) * CHUNK)
                 k = max(1, int(w.sum() * NEIGHBOUR_SHARE))
-                sums.append(float(kth_distances(x, y, w, seeds, k) @ w[seeds]))
+                seeds = slice(chunk, None, units)
+                sums.append(float(Field(x, y, w).kth_distances(seeds, k) @ w[seeds]))
                 sizes.append(float(w[seeds].sum()))
             yield batch[keys].assign(_sum=sums, _n=sizes)
 
@@ -112,17 +201,20 @@ def bandwidths(points: DataFrame, keys) -> DataFrame:
     return parts.groupBy(*keys).agg((F.sum("_sum") / F.sum("_n")).alias("bandwidth"))
 
 
-def mean_shift(points: DataFrame, bandwidth: DataFrame, keys, factors=FACTORS) -> DataFrame:
+_UNIT = ("cx", "cy", "weight", "units", "chunk")
+
+
+def mean_shift(points: DataFrame, bandwidth: DataFrame, keys, factors=FACTORS, stop_share=STOP_SHARE,
+               most=MAX_ITERATIONS) -> DataFrame:
     """``keys + (factor, cluster_id, cx, cy, within)`` for every bandwidth factor.
 
-    With bandwidth 0 no point reaches another, and each distinct point is a
-    cluster. Clusters are numbered by the fixations within reach, then position.
+    A search ends when it moves by at most ``stop_share`` of the bandwidth, or after
+    ``most`` steps. With bandwidth 0 no point reaches another, and each distinct point
+    is a cluster. Clusters are numbered by the fixations within reach, then position.
     """
     keys = list(keys)
-    units = _packed(points, keys).join(bandwidth, keys).withColumn(
-        "factor", F.explode(F.array(*[F.lit(float(f)) for f in factors])))
-    units = spread(units, *keys, "chunk", "factor")
-    schema = units.select(*keys, "factor", "bandwidth").schema
+    units = spread(_packed(points, keys).join(bandwidth, keys), *keys, "chunk")
+    schema = units.select(*keys).schema.add("factor", "double").add("bandwidth", "double")
     for name in ("cx", "cy", "within"):
         schema = schema.add(name, "double")
 
@@ -131,22 +223,20 @@ def mean_shift(points: DataFrame, bandwidth: DataFrame, keys, factors=FACTORS) -
             for i in range(len(batch)):
                 row = batch.iloc[i]
                 x, y, w = (np.asarray(row[c], dtype=np.float64) for c in ("cx", "cy", "weight"))
-                seeds = slice(row["chunk"] * CHUNK, (row["chunk"] + 1) * CHUNK)
-                reach = row["bandwidth"] * row["factor"]
-                if reach > 0:
-                    mx, my, within = shift_means(x, y, w, seeds, reach)
-                else:
-                    mx, my, within = x[seeds], y[seeds], w[seeds]
-                ends = pd.DataFrame({"cx": mx, "cy": my, "within": within})
-                ends = ends[ends["within"] > 0].drop_duplicates(["cx", "cy"])
-                head = {c: row[c] for c in (*keys, "factor", "bandwidth")}
-                yield ends.assign(**head)[[*keys, "factor", "bandwidth", "cx", "cy", "within"]]
+                field, seeds = Field(x, y, w), slice(row["chunk"], None, row["units"])
+                for factor in factors:
+                    reach = row["bandwidth"] * factor
+                    mx, my, within = shift_means(field, seeds, reach, stop_share, most) if reach > 0 else (x[seeds], y[seeds], w[seeds])
+                    ends = pd.DataFrame({"cx": mx, "cy": my, "within": within})
+                    ends = ends[ends["within"] > 0].drop_duplicates(["cx", "cy"])
+                    head = {c: row[c] for c in keys} | {"factor": float(factor), "bandwidth": row["bandwidth"]}
+                    yield ends.assign(**head)[[*keys, "factor", "bandwidth", "cx", "cy", "within"]]
 
     ends = units.mapInPandas(shift, schema).groupBy(*keys, "factor", "bandwidth", "cx", "cy").agg(
         F.max("within").alias("within"))
 
     out = schema.fieldNames()
-    result = units.select(*keys, "factor").schema.add("cluster_id", "integer")
+    result = units.select(*keys).schema.add("factor", "double").add("cluster_id", "integer")
     for name in ("cx", "cy", "within"):
         result = result.add(name, "double")
 
