@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,17 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return folder
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder on the storage that all executors share; it goes when the session ends."""
+    root = checkpoint_dir(spark)
+    if root is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the written copy.
 

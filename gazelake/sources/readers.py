@@ -7,29 +7,31 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from .. import schemas
 from ..functions import geometry as G
 from ..operators import prepare
+from . import json_records
 
 
 def read_fixations(spark: SparkSession, path: str, order_col: str | None = None) -> DataFrame:
     """Fixation CSV with header, plus ``pos``, the fixation's place in its trial.
 
-    One file is read in file order. For several files an order column of the
-    file has to be named, because order across files is not defined.
+    Without an order column of the file, order is that of the lines: several files count as one,
+    in the order of their names.
     """
     schema = schemas.FIXATION
     if order_col is not None and order_col not in schema.fieldNames():
         schema = T.StructType(schema.fields + [T.StructField(order_col, T.DoubleType())])
     rows = spark.read.schema(schema).csv(path, header=True, enforceSchema=False)
-    rows = rows.withColumn("image", G.image_path("image"))
     if order_col is None:
-        if len(rows.inputFiles()) > 1:
-            raise ValueError(f"{path} has several files: name an order column")
-        rows, order_col = rows.withColumn("_line", F.monotonically_increasing_id()), "_line"
+        # rows of one byte range lie in one partition, in their order
+        line = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                        F.monotonically_increasing_id().alias("row"))
+        rows, order_col = rows.withColumn("_line", line), "_line"
+    rows = rows.withColumn("image", G.image_path("image"))
     return prepare.position_in_group(rows, "img_usr_tgt", order_col).drop("_line")
 
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A file that holds one JSON array of records."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+    """A file that holds a JSON array of records, or of arrays of records; read in byte ranges."""
+    return json_records.read_json_records(spark, path, schema)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -1,9 +1,13 @@
-"""Structured Streaming over a folder of logged answers."""
+"""Structured Streaming over a folder of logged answers and metrics."""
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from .. import schemas
 from ..operators import rewards
@@ -24,12 +28,89 @@ def scored(stream: DataFrame, names=("accuracy_scanpath", "format")) -> DataFram
 
 
 def windowed_means(stream: DataFrame, width="10 minutes", delay="5 minutes", names=("accuracy_scanpath", "format")) -> DataFrame:
-    """Mean rewards per time window; rows later than ``delay`` are dropped."""
+    """Mean rewards and, where the stream has ``length``, mean answer length per time window.
+
+    Rows later than ``delay`` are dropped.
+    """
+    means = {"reward": "reward", **{f"rewards_{n}": n for n in names}}
+    if "length" in stream.columns:
+        means["completion_length"] = "length"
     return (stream.withWatermark("logged_at", delay).groupBy(F.window("logged_at", width))
-            .agg(F.count("*").alias("answers"), F.avg("reward").alias("reward"),
-                 *[F.avg(n).alias(f"rewards_{n}") for n in names])
-            .select(F.col("window.start").alias("start"), F.col("window.end").alias("end"),
-                    "answers", "reward", *[f"rewards_{n}" for n in names]))
+            .agg(F.count("*").alias("answers"), *[F.avg(c).alias(name) for name, c in means.items()])
+            .select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "answers", *means))
+
+
+class _Averages(StatefulProcessor):
+    """Sums of each metric of a run for its open log points; a log point that is written is forgotten."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "log_no long", "at long, metrics array<string>, totals array<double>, counts array<long>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for log_no, part in batch.groupby("log_no"):
+                at, last = (int(log_no),), int(part["at"].max())
+                end, metrics, totals, counts = self.open.getValue(at) or (None, [], [], [])
+                sums = {m: (t, n) for m, t, n in zip(metrics, totals, counts)}
+                for metric, total, n in part.groupby("metric")["value"].agg(["sum", "count"]).itertuples():
+                    before = sums.get(metric, (0.0, 0))
+                    sums[metric] = (before[0] + float(total), before[1] + int(n))
+                if end is None or last > end:
+                    # a timer that was set for an earlier end finds nothing due
+                    end = last
+                    self.handle.registerTimer(last)
+                self.open.updateValue(at, (end, list(sums), [t for t, _ in sums.values()], [n for _, n in sums.values()]))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        due = [(log_no, value) for (log_no,), value in self.open.iterator() if value[0] <= now]
+        rows = [(*key, log_no, m, t / n if n else None, n) for log_no, (_, *sums) in sorted(due) for m, t, n in zip(*sums)]
+        for log_no, _ in due:
+            self.open.removeKey((log_no,))
+        yield pd.DataFrame(rows, columns=["run", "log_no", "metric", "value", "n"])
+
+
+@contextlib.contextmanager
+def keyed_state(spark: SparkSession):
+    """The state store that state of own keys needs, for the queries started inside."""
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, store)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def averages(stream: DataFrame, every: int, delay="5 minutes") -> DataFrame:
+    """Averages of logged metrics between the log points of each run: ``(run, log_no, metric, value, n)``.
+
+    ``stream`` has ``run, step, metric, value, logged_at``; a log point comes every ``every`` steps, and what it has averaged is
+    forgotten. It is written once no row of its steps can come any more, that is when the watermark has passed the
+    last of them; later rows are dropped. A state holds the open log points of a run. Start it inside ``keyed_state``.
+    """
+    rows = stream.withWatermark("logged_at", delay).select(
+        "run", F.floor(F.col("step") / F.lit(every)).alias("log_no"), "metric", "value", "logged_at",
+        F.unix_millis("logged_at").alias("at"))
+    run = rows.schema["run"].dataType.simpleString()
+    return rows.groupBy("run").transformWithStateInPandas(
+        _Averages(), f"run {run}, log_no long, metric string, value double, n long", "append", "EventTime")
+
+
+def batch_writer(path: str):
+    """Writes each batch into a folder of its own: one that is tried again replaces what it has left behind."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def append_once(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write everything that has arrived and stop; no row is there twice, and files that were read are not read again."""
+    return (stream.writeStream.outputMode("append").foreachBatch(batch_writer(path))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def append_log(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -1,12 +1,13 @@
 import json
+import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from gazelake import schemas
 from gazelake.operators import rewards as R
 from gazelake.plans import testviews as V
-from gazelake.sources import catalog, readers, writers
+from gazelake.sources import catalog, json_records, readers, writers
 from gazelake.streaming import live
 from conftest import SF
 
@@ -39,11 +40,40 @@ def test_json_sources(spark, tmp_path):
         names.resolve("none")
 
 
-def test_several_csv_files_need_an_order(spark, tmp_path):
-    for name in ("a.csv", "b.csv"):
-        (tmp_path / name).write_text("\n".join([HEAD, "a,im,800,600,u,txt_A,1,2,3,4,1.5,1,0.2"]))
-    with pytest.raises(ValueError):
-        readers.read_fixations(spark, str(tmp_path))
+def test_several_csv_files_count_as_one(spark, tmp_path):
+    """Positions follow the names of the files and their lines, however the files are split."""
+    lines = [f"{'ab'[k % 2]},im,800,600,u,txt_A,1,2,3,4,{k}.5,1,0.2" for k in range(400)]
+    for name, part in (("b.csv", lines[150:]), ("a.csv", lines[:150])):
+        (tmp_path / name).write_text("\n".join([HEAD, *part]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (before, "1k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        got = readers.read_fixations(spark, str(tmp_path)).collect()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert {(r["img_usr_tgt"], r["pos"]): r["x"] for r in got} == {("ab"[k % 2], k // 2): k + 0.5 for k in range(400)}
+
+
+def test_json_arrays_of_any_shape_and_split(spark, tmp_path):
+    rng = random.Random(1)
+    texts = ['plain', 'a "quoted" { brace', 'back\\slash\\', 'ünï }] {[', '\n\t', '', '}' * 50, '{"x": [1]}', 'long ' * 300]
+    records = [{"id": k, "text": rng.choice(texts), "turns": [{"from": "a", "value": rng.choice(texts)} for _ in range(k % 4)]} for k in range(300)]
+    nested = [records[:3], records[3:100], [], *records[100:200], [[records[200]], records[201:]]]
+    for name, value in (("a.json", records), ("b.json", nested)):
+        (tmp_path / name).write_text(json.dumps(value, ensure_ascii=False, indent=1 if name == "a.json" else None))
+    (tmp_path / "c.json").write_text("\n".join(map(json.dumps, records)))
+    (tmp_path / "d.json").write_text("[]")
+    schema = T.StructType.fromDDL("id int, text string, turns array<struct<`from`: string, value: string>>")
+    want = [(r["id"], r["text"], [tuple(t.values()) for t in r["turns"]]) for r in records]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (before, "6k", "700"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows = json_records.read_json_records(spark, str(tmp_path), schema, place=True).collect()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        for name in "abc":
+            mine = sorted((r for r in rows if r["_file"].endswith(f"{name}.json")), key=lambda r: (r["_start"], r["_no"]))
+            assert [(r["id"], r["text"], [tuple(t) for t in r["turns"]]) for r in mine] == want
+        assert len(rows) == 3 * len(want)
+    assert len({r["_start"] for r in rows}) > 64
 
 
 @pytest.mark.parametrize("suffix", ["json", "jsonl"])
@@ -126,3 +156,31 @@ def test_streamed_window_means(spark, logged):
     got = spark.read.parquet(folder + "/win").collect()
     # the last window is still open at the watermark
     assert sum(r["answers"] for r in got) == df.filter("gen_no < 3").count()
+
+
+def test_averages_between_log_points(spark, tmp_path):
+    """Equal to the batch whether files come one by one or together; replayed files and a batch tried again add nothing."""
+    rows = [(f"run{k % 3}", k // 3, f"m{k % 2}", float(k % 7), 1_700_000_000 + k) for k in range(600)]
+    df = spark.createDataFrame(rows, "run string, step long, metric string, value double, at long").withColumn("logged_at", F.timestamp_seconds("at"))
+    for part in range(4):
+        df.filter(f"at >= {1_700_000_000 + 150 * part} and at < {1_700_000_000 + 150 * part + 150}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    closed = df.groupBy("run", F.floor(F.col("step") / 20).alias("log_no"), "metric").agg(F.avg("value").alias("value"), F.count("*").alias("n"))
+    last = df.groupBy("run", F.floor(F.col("step") / 20).alias("log_no")).agg(F.max("at").alias("last"))
+    want = closed.join(last, ["run", "log_no"]).filter(f"last <= {rows[-1][4] - 30}").drop("last").collect()
+    names = ("run", "log_no", "metric", "value", "n")
+    for files in (1, 100):
+        out, check = str(tmp_path / f"out{files}"), str(tmp_path / f"check{files}")
+        for _ in range(2):
+            stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(str(tmp_path / "in"))
+            with live.keyed_state(spark):
+                live.append_once(live.averages(stream, 20, "30 seconds"), out, check).awaitTermination()
+            got = spark.read.parquet(out).select(*names).collect()
+            assert sorted(map(tuple, got)) == sorted(tuple(r[c] for c in names) for r in want)
+
+
+def test_a_batch_tried_again_replaces_itself(spark, tmp_path):
+    write = live.batch_writer(str(tmp_path))
+    for rows in (5, 3):
+        write(spark.range(rows), 0)
+        write(spark.range(7), 1)
+    assert spark.read.parquet(str(tmp_path)).count() == 10
