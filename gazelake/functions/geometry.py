@@ -95,10 +95,10 @@ def pixel_index(v, size, human) -> Column:
     """Heatmap index of a coordinate.
 
     Human coordinates are one-based, predicted ones zero-based. The far edge is
-    clamped and a negative index counts from the far edge.
+    clamped, a negative index counts from the far edge, and NaN is 0.
     """
     shifted = (v - F.lit(1.0)) if human else v
-    return F.pmod(F.least(shifted.cast("int"), F.lit(size - 1)), F.lit(size)).cast("int")
+    return F.pmod(F.least(whole(shifted), F.lit(size - 1)), F.lit(size)).cast("int")
 
 
 def grid_symbols(xs, ys, xres=CANVAS_WIDTH, yres=CANVAS_HEIGHT, xbin=16, ybin=12, offset=(0, 0)) -> Column:
@@ -158,15 +158,13 @@ def repeat_by_duration(symbols, durations, bin_ms=50, rounding="half_even") -> C
     """Repeat each symbol once per time bin.
 
     ``half_even`` rounds the whole milliseconds (grid alignment), ``floor``
-    drops the rest (cluster and category sequences).
+    drops the rest (cluster and category sequences). A duration that is not finite has no bin.
     """
     def copies(z):
-        if rounding == "half_even":
-            whole = F.greatest(z["t"], F.lit(0.0)).cast("int")
-            n = F.bround(whole / F.lit(float(bin_ms))).cast("int")
-        else:
-            n = (z["t"] / F.lit(float(bin_ms))).cast("int")
-        return F.array_repeat(z["s"], F.greatest(n, F.lit(0)))
+        finite = F.nanvl(z["t"] * F.lit(0.0), F.lit(1.0)) == 0
+        t = F.when(finite, F.greatest(z["t"], F.lit(0.0))).otherwise(F.lit(0.0))
+        n = F.bround(whole(t) / F.lit(float(bin_ms))) if rounding == "half_even" else whole(t / F.lit(float(bin_ms)))
+        return F.array_repeat(z["s"], F.least(n, F.lit(2_000_000_000)).cast("int"))
 
     shared = F.least(F.size(col(symbols)), F.size(col(durations)))
     zipped = F.arrays_zip(F.slice(col(symbols), F.lit(1), shared).alias("s"),

@@ -23,8 +23,6 @@ THRESHOLD_STEP = 0.01
 SCORES = ("cc", "auc", "nss", "sauc", "kld", "sim")
 # bits of one built-in bitmap bucket
 BUCKET_BITS = 32_768
-# shuffle maps that are broadcast: 24 kB each
-BROADCAST_SUBSETS = 1_000
 
 
 def pixels(fixations: DataFrame, keys, x, y, human: bool) -> DataFrame:
@@ -240,9 +238,8 @@ def saliency_scores(human: DataFrame, predicted: DataFrame, keys, subset=(), sig
     bits = shuffle_bits(counts.filter(F.col("human_n") > 0), subset)
     if not subset:
         joined = packed.withColumn("shuffle_bits", bits.select("shuffle_bits").scalar())
-    elif bits.count() <= BROADCAST_SUBSETS:
-        joined = packed.join(F.broadcast(bits), subset, "left")
     else:
+        # 24 kB a subset: Spark sees whether they are few enough to be sent along
         joined = packed.join(bits, subset, "left")
     names = list(SCORES) + (["auc_judd", "kld2", "nss2"] if extra else [])
     schema = packed.select(*keys).schema
@@ -265,8 +262,10 @@ def saliency_scores(human: DataFrame, predicted: DataFrame, keys, subset=(), sig
     def score(batches):
         rows, columns = blur_kernel(HEIGHT, sigma), blur_kernel(WIDTH, sigma)
         for batch in batches:
-            inputs = batch.select(["pixel", "human_n", "pred_n", "shuffle_bits"])
-            lines = [line_of({c: inputs.column(c)[i].as_py() for c in inputs.schema.names}, rows, columns)
+            flat = {c: (batch.column(c).flatten().to_numpy(zero_copy_only=False), np.diff(batch.column(c).offsets.to_numpy()).cumsum())
+                    for c in ("pixel", "human_n", "pred_n")}
+            parts = {c: np.split(values, ends[:-1]) for c, (values, ends) in flat.items()}
+            lines = [line_of({"shuffle_bits": batch.column("shuffle_bits")[i].as_py(), **{c: p[i] for c, p in parts.items()}}, rows, columns)
                      for i in range(batch.num_rows)]
             scores = np.array(lines, dtype=np.float64).reshape(len(lines), len(names))
             # Arrow out, as NaN from pandas would become null

@@ -2,12 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import comparisons as C
 from ..functions import geometry as G
 
 MAX_LENGTH = 20
+# fixed values: the parts of a cluster key by dataset; a name loses the given number of characters at its end
+KEY_PARTS = {
+    "AiR-D": (("split", 0), ("question_id", 0), ("image_id", 4)),
+    "OSIE": (("split", 0), ("name", 4)),
+    "COCO-TP": (("split", 0), ("condition", 0), ("task", 0), ("name", 4)),
+    "COCO-TA": (("split", 0), ("condition", 0), ("task", 0), ("name", 4)),
+    "VISGUI": (("image_name", 0), ("target_id", 0)),
+}
+
+
+def dataset_key(dataset="dataset", columns=None, parts=KEY_PARTS) -> Column:
+    """The cluster key of a row by the pattern of its dataset; one table may hold several.
+
+    ``columns`` maps names of the patterns to other columns or expressions. A dataset without a pattern, or none,
+    is an error when the row is read. A part that is null makes the key null.
+    """
+    columns = columns or {}
+
+    def part(name, cut):
+        value = G.col(columns.get(name, name)).cast("string")
+        return F.substring(value, F.lit(1), F.greatest(F.length(value) - F.lit(cut), F.lit(0))) if cut else value
+
+    dataset = G.col(dataset)
+    key = F.raise_error(F.concat(F.lit("no key pattern for dataset "), F.coalesce(dataset.cast("string"), F.lit("null"))))
+    for name, pieces in parts.items():
+        spaced = [x for p in pieces for x in (F.lit("-"), part(*p))][1:]
+        key = F.when(dataset == name, F.concat(*spaced)).otherwise(key)
+    return key
 
 
 def packed_centers(centers: DataFrame, groups) -> DataFrame:
@@ -83,8 +111,7 @@ def categories(df: DataFrame, segmentation: DataFrame, id_cols, x="x", y="y", na
     placed = placed.withColumns({
         "_x": F.when(F.col("_x") < 0, F.col("_x") + to_width).otherwise(F.col("_x")),
         "y": F.when(F.col("y") < 0, F.col("y") + to_height).otherwise(F.col("y"))})
-    # rasters are many times larger than paths, whatever the planner guesses
-    hit = placed.join(segmentation.hint("merge"), ["image", "y"], "left").select(
+    hit = placed.join(segmentation, ["image", "y"], "left").select(
         *id_cols, "pos", F.get("categories", F.col("_x")).alias("category"))
     rows = F.array_sort(F.collect_list(F.struct("pos", "category")))
     return hit.groupBy(*id_cols).agg(F.transform(rows, lambda s: s["category"]).alias(name))

@@ -101,6 +101,8 @@ def evaluate(trials: DataFrame, keys=("image", "target_id"), by=None, centers=No
     scored = scanpath.score_trials(on_canvas(trials, pad=True))
     scored = sequences.sequence_score(scored, centers, strings, keys)
     if segmentation is not None:
+        # read on both sides of a join
+        scored = cut_lineage(scored)
         scored = sequences.semantic_score(scored, segmentation, list(id_cols))
     return report(scored, key_scores(trials, keys, by), by)
 
