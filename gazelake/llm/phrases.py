@@ -45,18 +45,27 @@ class Settings:
     #: The bitmap of the proposed set has two to this power bits, whatever the corpus: 8 MB.
     bits: int = 26
     #: Bytes of text that are counted together before the shuffle.
-    slice_bytes: int = 8 << 20
-    #: Parts that the counts are dealt to, for each shuffle partition; a task sums one part after the other.
-    parts: int = 4
+    slice_bytes: int = 6 << 20
     #: A phrase goes if a longer one around it has this share of its occurrences (in percent).
     inside: int = 50
     #: Phrases reported of each language.
     top: int = 2000
 
 
-PHRASE = pa.schema([("lang", pa.large_string()), ("size", pa.int32()), ("phrase", pa.large_string()), ("place", pa.int32()),
-                    ("known", pa.bool_()), ("f", pa.int64())])
-PACKET = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary()), ("rows", pa.binary())])
+PHRASE = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("place", pa.int32()), ("known", pa.bool_()), ("f", pa.int64())])
+PACKET = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("langs", pa.list_(pa.string())), ("rows", pa.binary())])
+
+
+@dataclass(frozen=True)
+class Counts:
+    """Phrases of a slice: their hashes, length and membership (a bit), language, count, text."""
+
+    hashes: np.ndarray
+    flags: np.ndarray
+    lang: np.ndarray
+    f: np.ndarray
+    phrase: pa.Array
+    names: list[str]
 
 
 def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +81,7 @@ def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.nda
     texts = rows_of(starts, at)
     # a piece ends at a break and at the end of a text
     piece = np.searchsorted(np.flatnonzero(BREAK[data]), starts) + texts
-    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), texts, piece
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), texts.astype(np.int32), piece.astype(np.int32)
 
 
 def codes(words: pa.Array) -> np.ndarray:
@@ -109,7 +118,7 @@ def _firsts(slot: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def counted(texts: pa.Array, langs: list[str], within, before, settings: Settings) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+def counted(texts: pa.Array, langs: list[str], within, before, settings: Settings) -> Iterator[Counts]:
     """Hashes and counts of the phrases of a slice whose parts are all in ``within``, by length.
 
     What the pass under the smaller set ``before`` has counted is left out. A row of size 0 counts the words of a
@@ -121,12 +130,11 @@ def counted(texts: pa.Array, langs: list[str], within, before, settings: Setting
         return
     code, values = np.array([names.index(x) for x in langs], np.int64)[text], codes(words)
     # scrambled once more, as a language may have a word that is its name
-    salt, shown = mix(~codes(pa.array(names))), pa.array(names, pa.large_string())
+    salt = mix(~codes(pa.array(names)))
 
-    def rows(size: int, lang: np.ndarray, phrase: pa.Array, hashes: np.ndarray, known: np.ndarray, f: np.ndarray):
-        places = (hashes >> np.uint64(64 - settings.bits)).astype(np.int32)
-        return hashes, pa.RecordBatch.from_arrays([
-            shown.take(pa.array(lang)), pa.array(np.full(len(lang), size, np.int32)), phrase, pa.array(places), pa.array(known), pa.array(f)], PHRASE)
+    def rows(size: int, lang: np.ndarray, phrase: pa.Array, hashes: np.ndarray, known: np.ndarray, f: np.ndarray) -> Counts:
+        flags = np.full(len(lang), size << 1, np.uint8) | known.astype(np.uint8)
+        return Counts(hashes, flags, lang.astype(np.uint32), f.astype(np.uint32), phrase, names)
 
     if before is None:
         yield rows(0, np.arange(len(names)), pa.array([""] * len(names), pa.large_string()), salt, np.ones(len(names), bool),
@@ -193,71 +201,109 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _packed(rows: list[tuple[np.ndarray, pa.RecordBatch]], parts: int) -> Iterator[dict[str, object]]:
-    """The counts of a slice, a packet for each part of the hashes."""
-    hashes = np.concatenate([h for h, _ in rows])
-    table = pa.Table.from_batches([b for _, b in rows])
-    part_of = (hashes % np.uint64(parts)).astype(np.int64)
+def _packed(made: list[Counts], parts: int) -> Iterator[dict[str, object]]:
+    """The counts of a slice, a packet for each range of hashes: columns one behind the other, the texts as lines."""
+    top = np.concatenate([c.hashes for c in made]) >> np.uint64(32)
+    part_of = (top >> np.uint64(32 - parts.bit_length() + 1)).astype(np.int64)
     order = np.argsort(part_of, kind="stable")
-    ends = np.searchsorted(part_of[order], np.arange(parts + 1))
-    table, hashes = table.take(pa.array(order)).combine_chunks(), hashes[order]
-    for part in np.unique(part_of).tolist():
-        a, b = int(ends[part]), int(ends[part + 1])
-        batch = table.slice(a, b - a).to_batches()[0]
-        yield {"part": part, "n": b - a, "hashes": hashes[a:b].tobytes(), "rows": zstandard.compress(batch.serialize(), 1)}
-
-
-def _summed(least: int, sizes: tuple[int, int]):
-    """Exact counts of the packets of each part; those below ``least`` are left out, save for sums of size 0.
-
-    Hashes are summed first: what they hold too rarely needs no look at its text. ``sizes`` bounds the other rows.
-    """
+    columns = [v[order] for v in (top.astype("<u4"), *(np.concatenate([getattr(c, x) for c in made]) for x in ("f", "lang", "flags")))]
+    phrases = pa.chunked_array([c.phrase for c in made]).combine_chunks().take(pa.array(order))
+    ends = np.searchsorted(part_of[order], np.arange(parts + 1)).tolist()
+    for part, (a, b) in enumerate(zip(ends, ends[1:])):
+        if a < b:
+            texts = "\n".join(phrases.slice(a, b - a).to_pylist()).encode()
+            yield {"part": part, "n": b - a, "langs": made[0].names,
+                   "rows": zstandard.compress(b"".join([v[a:b].tobytes() for v in columns]) + texts, 3)}
+
+
+class Packet:
+    """The columns of a packet; texts are cut into lines only when asked for."""
+
+    def __init__(self, n: int, langs: list[str], rows: bytes) -> None:
+        raw = zstandard.decompress(rows)
+        self.langs, self.top, self.f = langs, np.frombuffer(raw, "<u4", n), np.frombuffer(raw, "<u4", n, 4 * n)
+        self.lang, self.flags = np.frombuffer(raw, "<u4", n, 8 * n), np.frombuffer(raw, np.uint8, n, 12 * n)
+        self.raw, self.n = raw, n
+
+    def rows(self, chosen: np.ndarray, bits: int) -> dict[str, list]:
+        lines = self.raw[13 * self.n:].decode().split("\n")
+        return {"lang": [self.langs[i] for i in self.lang[chosen].tolist()], "size": (self.flags[chosen] >> 1).astype(np.int32),
+                "phrase": [lines[i] for i in chosen.tolist()], "place": (self.top[chosen] >> (32 - bits)).astype(np.int32),
+                "known": (self.flags[chosen] & 1).astype(bool), "f": self.f[chosen].astype(np.int64)}
+
+
+def _by_part(finish):
+    """Call ``finish(part, packets)`` for each part; its rows lie together."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
-
-        def made() -> Iterator[pa.RecordBatch]:
-            hashes = np.concatenate([h for h, _ in held])
-            table = pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(zstandard.decompress(r)), PHRASE) for _, r in held])
-            slot, unique = pd.factorize(hashes)
-            total = np.bincount(slot, table["f"].to_numpy(), len(unique))
-            size = table["size"].to_numpy()
-            often = (total[slot] >= least) & (size >= sizes[0]) & (size <= sizes[1]) | (size == 0)
-            table = table.filter(pa.array(often)).combine_chunks()
-            sums = table.group_by(["lang", "size", "phrase", "place", "known"], use_threads=False).aggregate([("f", "sum")])
-            sums = sums.filter(pc.or_(pc.greater_equal(sums["f_sum"], least), pc.equal(sums["size"], 0))).rename_columns(
-                ["lang", "size", "phrase", "place", "known", "f"])
-            for batch in sums.to_batches(max_chunksize=1 << 16):
-                yield batch.cast(pa.schema([f.with_type(pa.string()) if pa.types.is_large_string(f.type) else f for f in batch.schema]))
-
         for batch in batches:
-            for part, hashes, rows in zip(*(batch.column(c).to_pylist() for c in ("part", "hashes", "rows"))):
+            for part, *packet in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "langs", "rows"))):
                 if part != current and held:
-                    yield from made()
+                    yield from finish(current, held)
                     held = []
                 current = part
-                held.append((np.frombuffer(hashes, np.uint64), rows))
+                held.append(Packet(*packet))
         if held:
-            yield from made()
+            yield from finish(current, held)
     return run
 
 
-def _pass(texts: DataFrame, within: bytes | None, before: bytes | None, settings: Settings, least: int, sizes: tuple[int, int]) -> DataFrame:
-    """Exact counts of the phrases of ``texts`` (lang, text) that a pass under ``within`` adds, from ``least`` on."""
-    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = settings.parts * tasks
+def _often(packets: list[Packet], least: int) -> Iterator[np.ndarray]:
+    """For each packet whether the hash of a row occurs ``least`` times in all of them: a phrase can not have more."""
+    top = np.concatenate([p.top for p in packets])
+    slot, unique = pd.factorize(top)
+    enough = (np.bincount(slot, np.concatenate([p.f for p in packets]), len(unique)) >= least)[slot]
+    return np.split(enough, np.cumsum([p.n for p in packets])[:-1])
 
+
+def _summed(settings: Settings):
+    """Exact counts of the phrases of each part from ``least`` on, and of size 0; other texts are not even cut."""
+    def finish(part: int, packets: list[Packet]) -> Iterator[pa.RecordBatch]:
+        tables = []
+        for packet, often in zip(packets, _often(packets, settings.least)):
+            chosen = np.flatnonzero(often | (packet.flags < 2))
+            if len(chosen):
+                tables.append(pa.table(packet.rows(chosen, settings.bits), schema=PHRASE))
+        if not tables:
+            return
+        sums = pa.concat_tables(tables).group_by(["lang", "size", "phrase", "place", "known"], use_threads=False).aggregate([("f", "sum")])
+        sums = sums.filter(pc.or_(pc.greater_equal(sums["f_sum"], settings.least), pc.equal(sums["size"], 0)))
+        yield from sums.rename_columns(PHRASE.names).combine_chunks().to_batches(max_chunksize=1 << 16)
+
+    return _by_part(finish)
+
+
+def _proposals(settings: Settings, parts: int):
+    """The stretch of the bitmap that each part's hashes lie in, with the phrases found ``proposed`` times."""
+    def finish(part: int, packets: list[Packet]) -> Iterator[pa.RecordBatch]:
+        bits, first = np.zeros((1 << settings.bits - 3) // parts, np.uint8), part * ((1 << settings.bits) // parts)
+        for packet, often in zip(packets, _often(packets, settings.proposed)):
+            size = packet.flags >> 1
+            place = (packet.top[often & (size > 0) & (size < settings.longest)] >> (32 - settings.bits)).astype(np.int64) - first
+            np.bitwise_or.at(bits, place >> 3, (1 << (place & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "bits": pa.array([zstandard.compress(bits.tobytes())], pa.binary())})
+
+    return _by_part(finish)
+
+
+def _packets(texts: DataFrame, within: bytes | None, before: bytes | None, settings: Settings, parts: int) -> DataFrame:
+    """Counts of the phrases of ``texts`` (lang, text) that a pass under ``within`` adds; the packets of a part together."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside = Everything() if within is None else Bitmap.unpacked(within)
         earlier = None if before is None else Bitmap.unpacked(before)
         for part in gathered(batches, settings.slice_bytes):
-            rows = list(counted(part.column("text"), part.column("lang").to_pylist(), inside, earlier, settings))
-            packets = list(_packed(rows, parts)) if rows else []
-            for start in range(0, len(packets), 64):
-                yield pa.RecordBatch.from_pylist(packets[start:start + 64], PACKET)
+            made = list(counted(part.column("text"), part.column("lang").to_pylist(), inside, earlier, settings))
+            held = []
+            for packet in _packed(made, parts) if made else ():
+                held.append(packet)
+                if len(held) == 32:
+                    yield pa.RecordBatch.from_pylist(held, PACKET)
+                    held = []
+            if held:
+                yield pa.RecordBatch.from_pylist(held, PACKET)
 
-    packets = texts.mapInArrow(run, "part int, n int, hashes binary, rows binary")
-    return packets.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(
-        _summed(least, sizes), "lang string, size int, phrase string, place int, known boolean, f long")
+    packets = texts.mapInArrow(run, "part int, n int, langs array<string>, rows binary")
+    return packets.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part")
 
 
 def _with_places(rows: DataFrame, have: np.ndarray) -> np.ndarray:
@@ -277,17 +323,24 @@ def frequent(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFram
 
     Rows of size 0 hold the number of words of a language. Each pass is written to the shared folder.
     """
+    spark = docs.sparkSession
     chosen = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(settings.sampled)) == 0
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNDETERMINED)).alias("lang"),
                         F.coalesce(F.col("text"), F.lit("")).alias("text"), chosen.alias("chosen"))
     sample, texts = texts.filter("chosen").drop("chosen"), texts.drop("chosen")
     shorter = F.col("size").between(1, settings.longest - 1)
+    # ranges of hashes, a power of two of them, at least one for each shuffle partition
+    parts = min(1 << (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length(), 1 << settings.bits - 3)
     bits = np.zeros(1 << settings.bits - 3, np.uint8)
-    bits = _with_places(_pass(sample, None, None, settings, settings.proposed, (1, settings.longest - 1)).filter("size > 0"), bits)
+    stretch = len(bits) // parts
+    for row in _packets(sample, None, None, settings, parts).mapInArrow(_proposals(settings, parts), "part int, bits binary").collect():
+        bits[row["part"] * stretch:(row["part"] + 1) * stretch] = np.frombuffer(zstandard.decompress(row["bits"]), np.uint8)
     found, before, passes = None, None, 0
     while True:
         within = zstandard.compress(bits.tobytes())
-        rows, _ = write_stage(_pass(texts, within, before, settings, settings.least, (1, settings.longest)))
+        rows = _packets(texts, within, before, settings, parts).mapInArrow(
+            _summed(settings), "lang string, size int, phrase string, place int, known boolean, f long")
+        rows, _ = write_stage(rows)
         found, passes = rows if found is None else found.unionByName(rows), passes + 1
         failures = rows.filter(shorter & ~F.col("known"))
         if failures.isEmpty():
