@@ -273,7 +273,21 @@ def scanmatch_duration(spark, sf):
     return scanpath.scanmatch(df, temp_bin=50).select(*ID, r6("scanmatch").alias("scanmatch"))
 
 
-@query("scanmatch_steps")
+_STEPS = f"""WITH RECURSIVE {S.CANVAS.strip()}{_CELLS}, scored AS (
+  SELECT img_usr_tgt, gen_no, a, b, list_transform(range(0, len(a) + 1), lambda n: CASE WHEN n = 0 THEN list_transform(range(0, len(b) + 1), lambda z: 0.0::double)
+    ELSE {S.grid_alignment('a[1:n]', 'b').removesuffix('[-1]')} END) AS m FROM cells
+), back AS (
+  SELECT img_usr_tgt, gen_no, a, b, m, len(a) AS i, len(b) AS j, 0 AS no, NULL::int AS sa, NULL::int AS sb FROM scored
+  UNION ALL
+  SELECT img_usr_tgt, gen_no, a, b, m, CASE WHEN move = 'b' THEN i ELSE i - 1 END, CASE WHEN move = 'a' THEN j ELSE j - 1 END, no + 1,
+         CASE WHEN move = 'b' THEN -1 ELSE a[i] END, CASE WHEN move = 'a' THEN -1 ELSE b[j] END
+  FROM (SELECT *, CASE WHEN i > 0 AND j > 0 AND m[i + 1][j + 1] = m[i][j] + (3.5 - sqrt(pow(a[i] % 16 - b[j] % 16, 2) + pow(floor(a[i] / 16) - floor(b[j] / 16), 2))) THEN 'both'
+                       WHEN i > 0 AND (j = 0 OR m[i + 1][j + 1] = m[i][j + 1]) THEN 'a' ELSE 'b' END AS move FROM back WHERE i > 0 OR j > 0)
+)"""
+
+
+@query("scanmatch_steps", f"""{_STEPS}
+SELECT img_usr_tgt, gen_no, (max(no) OVER (PARTITION BY img_usr_tgt, gen_no) - no)::int AS step, sa AS a, sb AS b FROM back WHERE no > 0""")
 def scanmatch_steps(spark, sf):
     return scanpath.scanmatch_align(V.canvas_pairs(spark, sf)).select(*ID, "step", "a", "b")
 
@@ -394,16 +408,73 @@ def sequence_score(spark, sf):
     return sequences.sequence_score(df, centers, strings, KEYS).select(*ID, r6("ss").alias("ss"), r6("ss_time").alias("ss_time"))
 
 
-@query("cluster_centers")
+#: Mean-shift by recursion: every distinct point walks to the mean of its neighbourhood; the strongest ends that are apart stay.
+_FITTED = """
+fitted_points AS (
+  SELECT image, target_id, floor(x) / width * 512.0::double AS cx, floor(y) / height * 384.0::double AS cy, count(*)::double AS w
+  FROM fixations GROUP BY ALL
+), neighbours AS (
+  SELECT p.image, p.target_id, p.cx, p.cy, p.w, sqrt((q.cx - p.cx) ** 2 + (q.cy - p.cy) ** 2) AS d, q.w AS qw
+  FROM fitted_points p JOIN fitted_points q USING (image, target_id)
+), reached AS (
+  SELECT *, sum(qw) OVER (PARTITION BY image, target_id, cx, cy ORDER BY d) AS mass, sum(qw) OVER (PARTITION BY image, target_id, cx, cy) AS total
+  FROM neighbours
+), kth AS (
+  SELECT image, target_id, cx, cy, w, min(d) AS d FROM reached WHERE mass >= greatest(1, floor(total * 0.3)) GROUP BY ALL
+), bandwidths AS (SELECT image, target_id, sum(d * w) / sum(w) AS bandwidth FROM kth GROUP BY ALL
+), reaches AS (SELECT *, bandwidth * factor AS r FROM bandwidths CROSS JOIN (SELECT unnest([0.2, 0.5, 0.8, 1.0, 1.2, 1.5, 1.8]::double[]) AS factor) f
+), shifted AS (
+  SELECT image, target_id, factor, r, cx AS sx, cy AS sy, cx AS mx, cy AS my, w AS mass, 0 AS step, r > 0 AS moving
+  FROM fitted_points JOIN reaches USING (image, target_id)
+  UNION ALL
+  SELECT image, target_id, factor, r, sx, sy, nx, ny, mass, step + 1, sqrt((nx - mx) ** 2 + (ny - my) ** 2) > 0.001 * r AND step < 300
+  FROM (SELECT m.image, m.target_id, m.factor, m.r, m.sx, m.sy, m.mx, m.my, m.step, sum(p.w) AS mass, sum(p.w * p.cx) / sum(p.w) AS nx, sum(p.w * p.cy) / sum(p.w) AS ny
+        FROM shifted m JOIN fitted_points p ON p.image = m.image AND p.target_id = m.target_id AND (m.mx - p.cx) ** 2 + (m.my - p.cy) ** 2 <= m.r ** 2
+        WHERE m.moving GROUP BY ALL)
+), ends AS (
+  SELECT image, target_id, factor, r, round(mx, 6) AS cx, round(my, 6) AS cy, max(mass) AS within FROM shifted WHERE NOT moving GROUP BY ALL
+), alive AS (
+  SELECT *, 0 AS step FROM ends
+  UNION ALL
+  SELECT image, target_id, factor, r, cx, cy, within, step + 1
+  FROM (SELECT *, first_value(cx) OVER best AS tx, first_value(cy) OVER best AS ty FROM alive
+        WINDOW best AS (PARTITION BY image, target_id, factor ORDER BY within DESC, cx DESC, cy DESC))
+  WHERE (cx - tx) ** 2 + (cy - ty) ** 2 > r ** 2
+), separate AS (
+  SELECT image, target_id, factor, step AS cluster_id, cx, cy FROM alive
+  QUALIFY row_number() OVER (PARTITION BY image, target_id, factor, step ORDER BY within DESC, cx DESC, cy DESC) = 1
+), nearest AS (
+  SELECT f.img_usr_tgt, f.pos, f.image, f.target_id, s.factor,
+         arg_min(s.cluster_id, {'d': (floor(f.x) / f.width * 512.0::double - s.cx) ** 2 + (floor(f.y) / f.height * 384.0::double - s.cy) ** 2, 'id': s.cluster_id}) AS symbol
+  FROM fixations f JOIN separate s USING (image, target_id) GROUP BY ALL
+), steps_between AS (
+  SELECT image, target_id, factor, symbol <> lag(symbol) OVER (PARTITION BY img_usr_tgt, factor ORDER BY pos) AS changed FROM nearest
+), rates AS (
+  SELECT image, target_id, factor, sum(CASE WHEN changed THEN 1 WHEN NOT changed THEN -1 ELSE 0 END) / any_value(clusters) AS rate
+  FROM steps_between JOIN (SELECT image, target_id, factor, count(*) AS clusters FROM separate GROUP BY ALL) USING (image, target_id, factor) GROUP BY ALL
+), chosen AS (
+  SELECT image, target_id, arg_max(factor, {'rate': rate, 'low': -factor}) AS factor FROM rates GROUP BY ALL
+), packed AS (
+  SELECT image, target_id, count(*) AS clusters, list({'id': cluster_id, 'cx': cx, 'cy': cy} ORDER BY cluster_id) AS c
+  FROM separate JOIN chosen USING (image, target_id, factor) GROUP BY ALL
+)"""
+
+
+@query("cluster_centers", f"""WITH RECURSIVE {S.FIXATIONS}, {_FITTED}
+SELECT image, target_id, cluster_id, {sql_r6('cx')} AS cx, {sql_r6('cy')} AS cy FROM separate JOIN chosen USING (image, target_id, factor)""")
 def cluster_centers(spark, sf):
     centers, _ = clusters.fit_clusters(cut_lineage(V.trials(spark, sf)), KEYS)
     return centers.select(*KEYS, "cluster_id", r6("cx").alias("cx"), r6("cy").alias("cy"))
 
 
-@query("cluster_sequence_score")
+@query("cluster_sequence_score", f"""WITH RECURSIVE {S.CANVAS}, {_FITTED}{_HUMAN_SYMBOLS}{_STRINGS}, timed AS (
+  SELECT *, {S.repeated('a', 'pt', 'floor')} AS ta, {S.repeated('b', 't', 'floor')} AS tb FROM scored)
+SELECT img_usr_tgt, gen_no, {sql_r6(S.common('a', 'b') + ' / greatest(len(a), len(b))')} AS ss,
+       {sql_r6(S.common('ta', 'tb') + ' / greatest(len(ta), len(tb))')} AS ss_time FROM timed""")
 def cluster_sequence_score(spark, sf):
     centers, strings = clusters.fit_clusters(cut_lineage(V.trials(spark, sf)), KEYS)
-    scored = sequences.sequence_score(V.canvas_pairs(spark, sf), centers, strings, KEYS)
+    df = V.canvas_pairs(spark, sf).withColumn("pt", F.transform("px", lambda _, i: 60.0 + 50.0 * ((i + 1) % 3)))
+    scored = sequences.sequence_score(df, centers, strings, KEYS)
     return scored.select(*ID, r6("ss").alias("ss"), r6("ss_time").alias("ss_time"))
 
 

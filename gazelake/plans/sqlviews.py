@@ -95,7 +95,7 @@ def common(a, b):
 
 def grid_alignment(a, b):
     other = f"{b}[j[1]::int]"
-    return alignment(a, b, f"3.5 - sqrt(pow(cur[1] % 16 - {other} % 16, 2) + pow(floor(cur[1] / 16) - floor({other} / 16), 2))")
+    return alignment(a, b, f"(3.5 - sqrt(pow(cur[1] % 16 - {other} % 16, 2) + pow(floor(cur[1] / 16) - floor({other} / 16), 2)))")
 
 
 COMPLETIONS = PAIRS + """, completions AS (

@@ -203,12 +203,27 @@ def counted_samples(spark, sf):
     return packing.lengths(V.samples(spark, sf)).select("conv_id", "num_tokens")
 
 
-@query("packs")
+#: Best fit, a sample a step: the fullest pack with room, the earlier one on ties, else a new one.
+_PACKED = f"""WITH RECURSIVE {S.SAMPLES.strip()}, counted AS (
+  SELECT conv_id, ({_WORDS} + 21)::bigint AS t, (row_number() OVER (ORDER BY conv_id) - 1) // {packing.BATCH_ROWS} AS batch FROM samples
+), batches AS (SELECT batch, list({{'id': conv_id, 't': t}} ORDER BY t DESC, conv_id) AS items FROM counted GROUP BY batch
+), filled AS (
+  SELECT batch, 0 AS k, []::bigint[] AS load, NULL::bigint AS b, NULL::bigint AS t, NULL::bigint AS id FROM batches
+  UNION ALL
+  SELECT batch, k + 1, CASE WHEN b > len(load) THEN list_append(load, t)
+           ELSE list_transform(range(1, len(load) + 1), lambda j: load[j] + CASE WHEN j = b THEN t ELSE 0 END) END, b, t, id
+  FROM (SELECT batch, k, load, t, id, coalesce(list_sort(list_transform(list_filter(range(1, len(load) + 1), lambda j: load[j] + t <= {packing.PACK_TOKENS}),
+                 lambda j: {{'u': -load[j], 'j': j}}))[1].j, len(load) + 1) AS b
+        FROM (SELECT f.batch, k, load, items[k + 1].t AS t, items[k + 1].id AS id FROM filled f JOIN batches USING (batch) WHERE k < len(items)))
+)"""
+
+
+@query("packs", f"{_PACKED} SELECT batch, (b - 1)::int AS pack, id AS conv_id, t::int AS num_tokens FROM filled WHERE k > 0")
 def packs(spark, sf):
     return packing.pack(counted_samples(spark, sf), "conv_id").select("batch", "pack", "conv_id", "num_tokens")
 
 
-@query("pack_totals")
+@query("pack_totals", f"{_PACKED} SELECT batch, (b - 1)::int AS pack, count(*) AS samples, sum(t)::bigint AS tokens FROM filled WHERE k > 0 GROUP BY ALL")
 def pack_totals(spark, sf):
     packed = packing.pack_offsets(packing.pack(counted_samples(spark, sf), "conv_id"), "conv_id")
     return packed.groupBy("batch", "pack").agg(F.count("*").alias("samples"), F.max("end").alias("tokens"))

@@ -1,12 +1,13 @@
 import json
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import Window, functions as F
 
-from gazelake.functions import comparisons as C
+from gazelake.functions import comparisons as C, geometry as G
 from gazelake.operators import clusters, packing, prepare, rewards as R, saliency as L, scanpath, sequences, text_scores as T, validation
 from gazelake import schemas
 from gazelake.plans import evaluation, testviews as V
@@ -249,6 +250,27 @@ def test_clusters_match_a_plain_mean_shift_and_ignore_chunks(spark, monkeypatch)
             assert np.allclose(mine, naive_mean_shift(pts, bandwidth * f), atol=1e-6)
 
 
+@pytest.mark.parametrize("n, side", [(500, 40), (9000, 150)])
+def test_sums_along_lines_are_sums_over_points(n, side, monkeypatch):
+    """Any place and reach, also on points, and distances to the k-th neighbour, against all points."""
+    raw = np.unique(np.random.default_rng(n).normal(side / 2, side / 5, (n, 2)).clip(0, side - 1).astype(int), axis=0)
+    cx, cy = raw[:, 0] / side * 512, raw[:, 1] / side * 384
+    order = np.lexsort((cx, cy))
+    cx, cy, w = cx[order], cy[order], rng.integers(1, 4, len(raw)).astype(float)
+    field = clusters.Field(cx, cy, w)
+    places = [(rng.uniform(-20, 540, 200), rng.uniform(-20, 400, 200)), (cx[:200], cy[:200])]
+    monkeypatch.setattr(clusters, "FEW", 0)
+    monkeypatch.setattr(clusters, "CELLS", 5000)
+    for x, y in places:
+        for reach in (0.0, 512 / side, 3 * 384 / side, 77.7, 1000.0):
+            near = (x[:, None] - cx) ** 2 + (y[:, None] - cy) ** 2 <= reach ** 2
+            assert np.allclose(field.within(x, y, reach), (near @ np.column_stack([w, w * cx, w * cy])).T)
+    k = int(w.sum() * 0.3)
+    lines = field.kth_distances(slice(0, 100), k)
+    monkeypatch.setattr(clusters, "FEW", 10 ** 9)
+    assert np.allclose(lines, field.kth_distances(slice(0, 100), k), atol=1e-8)
+
+
 def test_fitted_strings_follow_the_centres(spark):
     rows, trials = cluster_trials(spark)
     centers, strings = clusters.fit_clusters(trials)
@@ -307,6 +329,28 @@ def test_suite_and_pairing(spark, captions):
     assert T.tokenized(captions).filter("image_id = 4").collect()[0]["hyp"] == "# # #"
 
 
+def test_consensus_does_not_depend_on_blocks(spark):
+    """A word in every caption, a caption far longer than a block, ids that repeat, empty and null captions."""
+    rows = [(k % 7, f"the {k % 5} cat {'sat ' * (k % 3)}", [f"the cat {k % 4} sat", f"the {k}", ""][:1 + k % 3]) for k in range(60)]
+    rows += [(90, "the " * 3000, ["the long " * 2000]), (91, None, ["the cat"]), (92, "the cat", [])]
+    df = spark.createDataFrame(rows, "image_id int, hyp string, refs array<string>").repartition(3, "image_id")
+    found = []
+    for words in (400_000, 40):
+        found.append(sorted((r["image_id"], r["hyp_bigrams"], r["hyp_empty"], r["bigrams"], [round(c, 9) for c in r["cosines"]])
+                            for r in T.consensus(df, block_words=words).collect()))
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+    # by hand: one image's 1-grams
+    images = len(rows)
+    grams = lambda text: Counter((text or "").split())
+    df_of = Counter(g for _, _, refs in rows for g in set().union(*map(grams, refs)))
+    value = lambda bag: {g: n * (math.log(images) - math.log(max(1, df_of[g]))) for g, n in bag.items()}
+    h, r = value(grams(rows[4][1])), value(grams(rows[4][2][0]))
+    norm = math.sqrt(sum(v * v for v in h.values())) * math.sqrt(sum(v * v for v in r.values()))
+    want = sum(min(h.get(g, 0), v) * v for g, v in r.items()) / norm
+    one = T.consensus(df, 1).filter("image_id = 4 and hyp_bigrams = 3").collect()
+    assert any(c == pytest.approx(want) for row in one for c in row["cosines"])
+
+
 # --- rewards -----------------------------------------------------------------
 
 def test_advantages_of_groups(spark):
@@ -462,3 +506,25 @@ def test_report_averages_all_trials(spark):
     known = evaluation.evaluate(trials, history=trials.filter("image = 'a'")).collect()[0]
     assert known["sed_score"] == whole["sed_score"] and known["sm_score_wo_d"] == whole["sm_score_wo_d"]
     assert known["ss_score"] is not None
+
+
+def test_keys_of_five_datasets(spark):
+    row = {"split": "s", "question_id": 7, "image_id": "im.jpg", "name": "pic.png", "condition": "c", "task": "t", "image_name": "n.png", "target_id": "x"}
+    names = ["AiR-D", "OSIE", "COCO-TP", "COCO-TA", "VISGUI"]
+    df = spark.createDataFrame([{"dataset": d, **row} for d in names])
+    got = {r["dataset"]: r["key"] for r in df.select("dataset", sequences.dataset_key().alias("key")).collect()}
+    assert got == {"AiR-D": "s-7-im", "OSIE": "s-pic", "COCO-TP": "s-c-t-pic", "COCO-TA": "s-c-t-pic", "VISGUI": "n.png-x"}
+    for other in ("MIT", None):
+        with pytest.raises(Exception, match="no key pattern"):
+            spark.createDataFrame([{"dataset": "OSIE", **row}, {**row, "dataset": other}]).select(sequences.dataset_key().alias("key")).collect()
+
+
+def test_odd_coordinates_and_durations_do_not_end_the_job(spark):
+    odd = [1e12, -1e12, float("nan"), float("inf"), -float("inf"), 1e300]
+    df = spark.createDataFrame([("k", float(v), float(u)) for v in odd for u in odd], "key string, x double, y double")
+    for human in (True, False):
+        rows = L.heatmap(df, ["key"], human=human).collect()
+        assert sum(r["n"] for r in rows) == 36 and all(0 <= r["x"] < 512 and 0 <= r["y"] < 384 for r in rows)
+    path = spark.createDataFrame([([1, 2, 3, 4, 5], [100.0, float("nan"), float("inf"), -50.0, 60.0])], "s array<int>, t array<double>")
+    for rounding, want in (("floor", [1, 1, 5]), ("half_even", [1, 1, 5])):
+        assert path.select(G.repeat_by_duration("s", "t", rounding=rounding).alias("r")).first()["r"] == want
