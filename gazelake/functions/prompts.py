@@ -26,6 +26,7 @@ SYSTEM_PROMPT = ("A conversation between User and Assistant. The user asks a que
                  "the answer. The reasoning process and answer are enclosed within <think> </think> and <answer> "
                  "</answer> tags, respectively, i.e., <think> reasoning process here </think><answer> answer here "
                  "</answer>")
+BLOCK = "<|im_start|>%s\n%s<|im_end|>\n"
 CHAT_SYSTEM = "You are a helpful assistant."
 ROLES = {"human": "user", "gpt": "assistant"}
 VISION_START, VISION_END = "<|vision_start|>", "<|vision_end|>"
@@ -98,7 +99,7 @@ def role_of(name) -> Column:
 
 
 def _block(role, content) -> Column:
-    return F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), content, F.lit("<|im_end|>\n"))
+    return F.format_string(BLOCK, role, content)
 
 
 def rendered_chat(conversation, system=CHAT_SYSTEM) -> Column:

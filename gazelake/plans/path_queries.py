@@ -12,7 +12,7 @@ from ..operators import clusters, prepare, saliency, scanpath, sequences
 from ..session import cut_lineage
 from ..sources import writers
 from . import evaluation, sqlviews as S, testviews as V
-from .registry import fixed, ints, query, r6, sql_fixed, sql_r6
+from .registry import fixed, ints, query, r6, sql_fixed, sql_r6, sql_text
 
 ID = ("img_usr_tgt", "gen_no")
 KEYS = ["image", "target_id"]
@@ -67,9 +67,8 @@ def long_predictions(spark, sf):
 
 
 _TARGET = "CASE target_id " + " ".join(f"WHEN 'txt_{k}' THEN '{v}'" for k, v in V.TARGETS.items()) + " END"
-_QUESTION_SQL = (f"concat('Given the image with width ', width::int, ' and height ', height::int, ', what is the scanpath for the visual "
-                 f"search task on this GUI? The text on the target element is \"', {_TARGET}, '\".', chr(10))")
-_RULES_SQL = "'" + P.THINK_RULES.replace("\n", "' || chr(10) || '") + "'"
+_QUESTION_SQL = sql_text(P.QUESTION, "width::int", "height::int", _TARGET)
+_RULES_SQL = sql_text(P.THINK_RULES)
 
 
 def _with_text(spark, sf):
@@ -99,15 +98,19 @@ _SOLUTION_SQL = ("concat('<answer>[', array_to_string(list_transform(range(1, le
 
 
 @query("rl_records", S.with_(S.FIXATIONS + S.TRIALS, f"""
-SELECT img_usr_tgt, concat('Find the target object that is "', {_TARGET}, '" in the image') AS problem_start,
-       {_SOLUTION_SQL} AS solution, {sql_fixed('x', 0)} AS xs, 1::bigint AS turns FROM trials"""))
+SELECT img_usr_tgt, {sql_text(P.RL_PROBLEM, _TARGET, "width::int", "height::int", _TARGET)} AS problem,
+       {_SOLUTION_SQL} AS solution, {sql_fixed('x', 0)} AS xs, 'user:image+text|system:,user:text' AS messages FROM trials"""))
 def rl_records(spark, sf):
     df = _with_text(spark, sf).withColumns({"problem": P.rl_problem(), "solution": P.rl_solution()})
     inner = F.regexp_extract("solution", A.ANSWER, 1)
+    with_image, plain = P.rl_messages("problem"), P.rl_messages("problem", with_image=False)
+    parts = F.transform(with_image[0]["content"], lambda p: F.when((p["type"] == "text") & (p["text"] != F.col("problem")), "wrong").otherwise(p["type"]))
+    text = F.transform(plain, lambda m: F.concat(m["role"], F.lit(":"), F.when(m["content"] == F.col("problem"), "text").when(
+        m["content"] == P.SYSTEM_PROMPT, "").otherwise("wrong")))
     return df.select(
-        "img_usr_tgt", F.regexp_extract("problem", "^(.*? in the image),", 1).alias("problem_start"), "solution",
+        "img_usr_tgt", "problem", "solution",
         fixed(F.transform(A.structured_points(inner), lambda p: p["x"]), 0).alias("xs"),
-        F.size(P.rl_messages("problem")).cast("bigint").alias("turns"))
+        F.concat(with_image[0]["role"], F.lit(":"), F.array_join(parts, "+"), F.lit("|"), F.array_join(text, ",")).alias("messages"))
 
 
 @query("leakage", S.with_(S.FIXATIONS + S.TRIALS, """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 QUERIES: dict = {}
@@ -38,3 +40,11 @@ def sql_fixed(values, digits=4) -> str:
 
 def sql_r6(e) -> str:
     return f"round({e}, 6) + 0e0"
+
+
+def sql_text(template: str, *values: str) -> str:
+    """A printf template as a SQL expression; each ``%d`` or ``%s`` takes the next SQL value."""
+    pieces = re.split("%[ds]", template)
+    literals = ["'" + piece.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for piece in pieces]
+    filled = [x for piece, value in zip(literals, [*[f"({v})" for v in values], None]) for x in (piece, value) if x]
+    return " || ".join(filled)

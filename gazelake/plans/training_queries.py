@@ -9,7 +9,7 @@ from ..operators import packing, prepare, rewards as R, validation
 from ..session import cut_lineage
 from ..sources import readers
 from . import sqlviews as S, testviews as V
-from .registry import fixed, query, r6, sql_r6
+from .registry import fixed, ints, query, r6, sql_r6, sql_text
 
 NAMES = ("accuracy_scanpath", "format")
 ANSWER_ID = ("prompt_id", "gen_no")
@@ -121,10 +121,13 @@ def lengths(spark, sf):
     return packing.lengths(V.samples(spark, sf)).select("conv_id", "length", "modality_length", "num_tokens")
 
 
+_ROLE = "CASE s[i] " + " ".join(f"WHEN '{old}' THEN '{new}'" for old, new in P.ROLES.items()) + " ELSE s[i] END"
+_CHAT_SYSTEM, _CHAT_TURN = sql_text(P.BLOCK, "'system'", sql_text(P.CHAT_SYSTEM)), sql_text(P.BLOCK, _ROLE, "v[i]")
+
+
 @query("chat_text", S.with_(S.SAMPLES + """, kept AS (
-  SELECT conv_id, CASE WHEN senders[1] <> 'human' THEN senders[2:] ELSE senders END AS s, CASE WHEN senders[1] <> 'human' THEN vals[2:] ELSE vals END AS v FROM samples)""", """
-SELECT conv_id, concat('<|im_start|>system', chr(10), 'You are a helpful assistant.<|im_end|>', chr(10), array_to_string(list_transform(range(1, len(s) + 1), lambda i:
-  concat('<|im_start|>', CASE s[i] WHEN 'human' THEN 'user' ELSE 'assistant' END, chr(10), v[i], '<|im_end|>', chr(10))), '')) AS chat FROM kept"""))
+  SELECT conv_id, CASE WHEN senders[1] <> 'human' THEN senders[2:] ELSE senders END AS s, CASE WHEN senders[1] <> 'human' THEN vals[2:] ELSE vals END AS v FROM samples)""", f"""
+SELECT conv_id, {_CHAT_SYSTEM} || array_to_string(list_transform(range(1, len(s) + 1), lambda i: {_CHAT_TURN}), '') AS chat FROM kept"""))
 def chat_text(spark, sf):
     return V.samples(spark, sf).select("conv_id", P.rendered_chat("conversations").alias("chat"))
 
@@ -191,12 +194,10 @@ def first_missing(spark, sf):
 
 
 @query("batches", S.with_(S.FIXATIONS, """
-SELECT event_batch AS batch, count(*) AS samples, min(pos)::int AS lowest FROM (
-  SELECT pos, (row_number() OVER (ORDER BY img_usr_tgt, pos) - 1) // 256 AS event_batch FROM fixations) GROUP BY 1"""))
+SELECT img_usr_tgt, pos::int AS pos, (row_number() OVER (ORDER BY img_usr_tgt, pos) - 1) // 256 AS batch FROM fixations"""))
 def batches(spark, sf):
     fx = V.fixations(spark, sf).select("img_usr_tgt", "pos")
-    return prepare.in_batches(fx, "img_usr_tgt", "pos").groupBy("batch").agg(
-        F.count("*").alias("samples"), F.min("pos").cast("int").alias("lowest"))
+    return prepare.in_batches(fx, "img_usr_tgt", "pos").select("img_usr_tgt", "pos", "batch")
 
 
 def counted_samples(spark, sf):
@@ -239,14 +240,13 @@ def sample_offsets(spark, sf):
 
 @query("label_mask", S.with_(S.SAMPLES + """, tok AS (
   SELECT conv_id, unnest(range(1, len(vals) + 1)) AS i, senders, vals FROM samples
-), per_turn AS (SELECT conv_id, i, senders[i] AS s, len(regexp_extract_all(vals[i], '\\S+')) AS n FROM tok)""", """
-SELECT conv_id, sum(n)::bigint AS tokens, sum(CASE WHEN s = 'gpt' THEN greatest(n - 3, 0) ELSE 0 END)::bigint AS trained FROM per_turn GROUP BY 1"""))
+), per_turn AS (SELECT conv_id, i, senders[i] AS s, list_transform(regexp_extract_all(vals[i], '\\S+'), lambda w: length(w)) AS ids FROM tok)""", """
+SELECT conv_id, array_to_string(flatten(list(list_transform(range(1, len(ids) + 1), lambda k: CASE WHEN s = 'gpt' AND k > 3 THEN ids[k] ELSE -100 END) ORDER BY i)), ',') AS labels
+FROM per_turn GROUP BY 1"""))
 def label_mask(spark, sf):
     turns = F.transform("conversations", lambda m: F.struct(
         P.role_of(m["from"]).alias("role"), F.transform(F.split(F.trim(m["value"]), r"\s+"), lambda w: F.length(w)).alias("ids")))
-    df = V.samples(spark, sf).withColumn("labels", packing.label_mask(turns))
-    return df.select("conv_id", F.size("labels").cast("bigint").alias("tokens"),
-                     F.size(F.filter("labels", lambda v: v != packing.IGNORE)).cast("bigint").alias("trained"))
+    return V.samples(spark, sf).select("conv_id", ints(packing.label_mask(turns)).alias("labels"))
 
 
 _FRAMES = "greatest(least(round_even(n_chars / (10 + doc_id % 20) / 4.0, 0), 8), 4)"
