@@ -18,14 +18,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id, then text; one without an id only if none has one.
+    """One document of each group stays: the one with the smallest id, then hash of the row; one without an id only if none has one.
 
     Rows are told apart by their number in that order, so rows with one id and different texts all stay.
     """
     numbered = docs.select([F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
     name = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    order = [F.col(name["doc_id"]).asc_nulls_last(), F.col(name["text"]).asc_nulls_first()]
-    numbered = stage(row_numbers(numbered, *order, name="no"))
+    # a sample of what rows are ordered by goes to the driver: no texts
+    numbered = numbered.withColumn("hash", F.xxhash64(*numbered.columns))
+    numbered = stage(row_numbers(numbered, F.col(name["doc_id"]).asc_nulls_last(), "hash", name="no").drop("hash"))
     rows = numbered.select(F.col("no").alias("doc_id"), F.col(name["text"]).alias("text"))
     kept = near_copies.near_copies(rows, NEAR).filter("kept").select(F.col("doc_id").alias("no"))
     return numbered.join(kept, "no", "left_semi").drop("no").toDF(*docs.columns)
