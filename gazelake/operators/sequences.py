@@ -111,7 +111,8 @@ def categories(df: DataFrame, segmentation: DataFrame, id_cols, x="x", y="y", na
     placed = placed.withColumns({
         "_x": F.when(F.col("_x") < 0, F.col("_x") + to_width).otherwise(F.col("_x")),
         "y": F.when(F.col("y") < 0, F.col("y") + to_height).otherwise(F.col("y"))})
-    hit = placed.join(segmentation, ["image", "y"], "left").select(
+    # a raster grows with the images, and the size Spark takes its array lines for is far too small: it is never sent whole
+    hit = placed.join(segmentation.hint("merge"), ["image", "y"], "left").select(
         *id_cols, "pos", F.get("categories", F.col("_x")).alias("category"))
     rows = F.array_sort(F.collect_list(F.struct("pos", "category")))
     return hit.groupBy(*id_cols).agg(F.transform(rows, lambda s: s["category"]).alias(name))
