@@ -1,8 +1,10 @@
 """Steps that once grew faster than their input: what they cost, and that they give what the plain form gives."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from gazelake.operators import sequences
+from gazelake.functions import comparisons as C, geometry as G, kernels
+from gazelake.operators import saliency, sequences
 
 
 def test_raster_is_not_sent_whole(spark):
@@ -13,3 +15,28 @@ def test_raster_is_not_sent_whole(spark):
     assert scored.select("sss").first()[0] == 1.0
     # whatever size Spark takes it for
     assert "rightHint=(strategy=merge)" in scored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_saliency_shares_a_subset_among_tasks(spark):
+    rows = spark.range(400).select(F.lit("all").alias("subset"), (F.col("id") % 100).alias("key"), (F.col("id") * 37 % 512).cast("double").alias("x"),
+                                   (F.col("id") * 11 % 384).cast("double").alias("y"))
+    found = saliency.saliency_scores(rows, rows.withColumnsRenamed({"x": "px", "y": "py"}), ["subset", "key"], ["subset"])
+    tasks = [r[0] for r in found.select(F.spark_partition_id()).distinct().collect()]
+    assert found.count() == 100
+    assert len(tasks) > int(spark.conf.get("spark.sql.shuffle.partitions")) // 2
+
+
+def test_saliency_scorer_is_the_plain_scores():
+    rng, scorer = np.random.default_rng(3), saliency.Scorer()
+    shuffle = rng.random(saliency.WIDTH * saliency.HEIGHT) < 0.05
+    packed = np.packbits(shuffle, bitorder="little").tobytes()
+    bits = lambda: {i + 1: packed[i * 4096:(i + 1) * 4096] for i in range(6)}
+    for size in (1, 2, 40, 300, 3000):
+        pixel = np.unique(np.concatenate([rng.integers(0, len(shuffle), size), rng.integers(0, 20_000, size)]))
+        human, said = rng.integers(0, 3, len(pixel)), rng.integers(0, 3, len(pixel))
+        if size == 1:
+            said[:] = 0
+        at, weight = pixel[human > 0], human[human > 0]
+        maps = [saliency.blurred(pixel[n > 0], n[n > 0], scorer.rows, scorer.columns) for n in (said, human)]
+        plain = saliency.Scorer.plain(*maps, at, weight, bits, True)
+        np.testing.assert_allclose(scorer.scores(pixel, human, said, ("all",), bits, True), plain, rtol=1e-9, atol=1e-9)
