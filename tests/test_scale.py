@@ -40,3 +40,12 @@ def test_saliency_scorer_is_the_plain_scores():
         maps = [saliency.blurred(pixel[n > 0], n[n > 0], scorer.rows, scorer.columns) for n in (said, human)]
         plain = saliency.Scorer.plain(*maps, at, weight, bits, True)
         np.testing.assert_allclose(scorer.scores(pixel, human, said, ("all",), bits, True), plain, rtol=1e-9, atol=1e-9)
+
+
+def test_letters_do_not_look_up_their_cells_again(spark):
+    df = spark.sql("SELECT array(1D, 200D, 500D) AS x, array(1D, 2D, 300D) AS y, array(500D, 1D) AS px, array(300D, 1D) AS py")
+    a, b = G.common_letters(G.open_cells("x", "y"), G.open_cells("px", "py"))
+    letters = df.select(a.alias("a"), b.alias("b"))
+    assert tuple(letters.first()) == ("abc", "ca")
+    # the list of known cells is a value inside the lambda, not an expression
+    assert "array_position(array_distinct" not in letters._jdf.queryExecution().optimizedPlan().toString()
