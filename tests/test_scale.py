@@ -42,6 +42,18 @@ def test_saliency_scorer_is_the_plain_scores():
         np.testing.assert_allclose(scorer.scores(pixel, human, said, ("all",), bits, True), plain, rtol=1e-9, atol=1e-9)
 
 
+def test_simplified_paths_are_the_plain_ones():
+    rng, paths = np.random.default_rng(5), []
+    for _ in range(300):
+        n = rng.integers(3, 14)
+        v = kernels.saccade_vectors(rng.integers(0, 8, n) * 40.0, rng.integers(0, 8, n) * 40.0, rng.integers(1, 6, n) * 100.0)
+        paths.append(tuple(v[c] for c in ("x", "y", "dx", "dy", "t")))
+    for limits in ((80.0, 45.0, 300.0), (200.0, 90.0, 400.0), (1e9, 0.0, 1e9), (0.0, 0.0, 0.0)):
+        for path, found in zip(paths, kernels.simplified_paths(paths, *limits)):
+            plain = kernels.simplify(kernels.SaccadeList(*path), *limits)
+            assert [c.tolist() for c in found] == [plain.x, plain.y, plain.dx, plain.dy, plain.t]
+
+
 def test_letters_do_not_look_up_their_cells_again(spark):
     df = spark.sql("SELECT array(1D, 200D, 500D) AS x, array(1D, 2D, 300D) AS y, array(500D, 1D) AS px, array(300D, 1D) AS py")
     a, b = G.common_letters(G.open_cells("x", "y"), G.open_cells("px", "py"))
@@ -49,3 +61,28 @@ def test_letters_do_not_look_up_their_cells_again(spark):
     assert tuple(letters.first()) == ("abc", "ca")
     # the list of known cells is a value inside the lambda, not an expression
     assert "array_position(array_distinct" not in letters._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_edit_distances_are_the_plain_ones():
+    rng = np.random.default_rng(7)
+    for cost in (1, 2, 3):
+        a, b = ([rng.integers(0, 4, rng.integers(0, 9)) for _ in range(200)] for _ in range(2))
+        plain = [kernels.edit_distance(p, q, cost) for p, q in zip(a, b)]
+        assert kernels.edit_distances(a, b, cost).tolist() == plain
+        texts = [["".join(map("abc\u00e9".__getitem__, p)) for p in side] for side in (a, b)]
+        assert kernels.edit_distances(*texts, cost).tolist() == plain
+
+
+def test_edit_distance_of_cells_and_strings(spark):
+    df = spark.sql("SELECT 'abc' AS a, 'axc' AS b, array(1, 2, 3) AS p, array(1, 9, 3) AS q, cast(null AS string) AS n")
+    assert tuple(df.select(C.edit_distance("a", "b", 2), C.edit_distance("p", "q", 2), C.edit_distance("a", "n", 2)).first()) == (2, 2, None)
+
+
+def test_alignment_steps_are_the_plain_ones():
+    rng, table = np.random.default_rng(9), kernels.grid_similarity(16, 12, 3.5)
+    for gap in (0.0, -0.7, 0.3):
+        a, b = ([rng.integers(0, 5, rng.integers(0, 9)) for _ in range(200)] for _ in range(2))
+        sizes, first, second = kernels.alignment_steps(a, b, table, gap)
+        ends = np.cumsum(sizes)
+        for p, q, start, stop in zip(a, b, ends - sizes, ends):
+            assert list(zip(first[start:stop].tolist(), second[start:stop].tolist())) == kernels.alignment_pairs(p, q, table, gap)
