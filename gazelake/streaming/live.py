@@ -40,35 +40,58 @@ def windowed_means(stream: DataFrame, width="10 minutes", delay="5 minutes", nam
             .select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "answers", *means))
 
 
+# log points that one state holds at most
+BLOCK = 256
+_OPEN = "log_nos array<long>, ends array<long>, metrics array<array<string>>, totals array<array<double>>, counts array<array<long>>"
+
+
 class _Averages(StatefulProcessor):
-    """Sums of each metric of a run for its open log points; a log point that is written is forgotten."""
+    """Sums of each metric for the open log points of a block of a run; a log point that is written is forgotten.
+
+    The open log points of a block are one value, read and written once a batch, with one timer for the earliest end.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "log_no long", "at long, metrics array<string>, totals array<double>, counts array<long>")
+        self.open = handle.getValueState("open", _OPEN)
+
+    def _held(self) -> dict:
+        held = self.open.get()
+        return {no: (end, {m: (t, n) for m, t, n in zip(*sums)}) for no, end, *sums in zip(*held)} if held else {}
+
+    def _keep(self, held: dict, before: int | None) -> None:
+        """Write what is open, with a timer if the earliest end is not ``before``."""
+        if not held:
+            self.open.clear()
+            return
+        first = min(end for end, _ in held.values())
+        if first != before:
+            # a timer that was set for another end finds nothing due
+            self.handle.registerTimer(first)
+        sums = [s for _, s in held.values()]
+        self.open.update(([int(no) for no in held], [end for end, _ in held.values()], [list(s) for s in sums],
+                          [[t for t, _ in s.values()] for s in sums], [[n for _, n in s.values()] for s in sums]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self._held()
+        before = min((end for end, _ in held.values()), default=None)
         for batch in rows:
-            for log_no, part in batch.groupby("log_no"):
-                at, last = (int(log_no),), int(part["at"].max())
-                end, metrics, totals, counts = self.open.getValue(at) or (None, [], [], [])
-                sums = {m: (t, n) for m, t, n in zip(metrics, totals, counts)}
-                for metric, total, n in part.groupby("metric")["value"].agg(["sum", "count"]).itertuples():
-                    before = sums.get(metric, (0.0, 0))
-                    sums[metric] = (before[0] + float(total), before[1] + int(n))
-                if end is None or last > end:
-                    # a timer that was set for an earlier end finds nothing due
-                    end = last
-                    self.handle.registerTimer(last)
-                self.open.updateValue(at, (end, list(sums), [t for t, _ in sums.values()], [n for _, n in sums.values()]))
+            for log_no, metric, at, value in zip(batch["log_no"].tolist(), batch["metric"].tolist(), batch["at"].tolist(), batch["value"].tolist()):
+                if pd.isna(log_no) or pd.isna(metric):
+                    continue
+                end, sums = held.get(log_no, (None, {}))
+                total, n = sums.get(metric, (0.0, 0))
+                sums[metric] = (total, n) if pd.isna(value) else (total + value, n + 1)
+                held[log_no] = (end if pd.isna(at) else int(at) if end is None else max(end, int(at)), sums)
+        self._keep(held, before)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        due = [(log_no, value) for (log_no,), value in self.open.iterator() if value[0] <= now]
-        rows = [(*key, log_no, m, t / n if n else None, n) for log_no, (_, *sums) in sorted(due) for m, t, n in zip(*sums)]
-        for log_no, _ in due:
-            self.open.removeKey((log_no,))
+        now, held = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()), self._held()
+        due = sorted(no for no, (end, _) in held.items() if end <= now)
+        rows = [(key[0], no, m, t / n if n else None, n) for no in due for m, (t, n) in held[no][1].items()]
+        if due:
+            self._keep({no: v for no, v in held.items() if v[0] > now}, None)
         yield pd.DataFrame(rows, columns=["run", "log_no", "metric", "value", "n"])
 
 
@@ -89,13 +112,14 @@ def averages(stream: DataFrame, every: int, delay="5 minutes") -> DataFrame:
 
     ``stream`` has ``run, step, metric, value, logged_at``; a log point comes every ``every`` steps, and what it has averaged is
     forgotten. It is written once no row of its steps can come any more, that is when the watermark has passed the
-    last of them; later rows are dropped. A state holds the open log points of a run. Start it inside ``keyed_state``.
+    last of them; later rows are dropped. A state holds open log points of a run, at most ``BLOCK`` next to each other.
+    Start it inside ``keyed_state``.
     """
     rows = stream.withWatermark("logged_at", delay).select(
         "run", F.floor(F.col("step") / F.lit(every)).alias("log_no"), "metric", "value", "logged_at",
         F.unix_millis("logged_at").alias("at"))
     run = rows.schema["run"].dataType.simpleString()
-    return rows.groupBy("run").transformWithStateInPandas(
+    return rows.withColumn("block", F.floor(F.col("log_no") / F.lit(BLOCK))).groupBy("run", "block").transformWithStateInPandas(
         _Averages(), f"run {run}, log_no long, metric string, value double, n long", "append", "EventTime")
 
 

@@ -1,10 +1,12 @@
 """Steps that once grew faster than their input: what they cost, and that they give what the plain form gives."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from gazelake.functions import comparisons as C, geometry as G, kernels
 from gazelake.operators import saliency, sequences
+from gazelake.streaming import live
 
 
 def test_raster_is_not_sent_whole(spark):
@@ -86,3 +88,47 @@ def test_alignment_steps_are_the_plain_ones():
         ends = np.cumsum(sizes)
         for p, q, start, stop in zip(a, b, ends - sizes, ends):
             assert list(zip(first[start:stop].tolist(), second[start:stop].tolist())) == kernels.alignment_pairs(p, q, table, gap)
+
+
+def test_averages_write_one_state_a_batch():
+    rows = pd.DataFrame({"log_no": [0, 1, 1, 2], "metric": ["a", "a", "b", "a"], "at": [5, 7, 9, 20], "value": [1.0, 2.0, None, 4.0]})
+    calls, state = [], {}
+
+    class Value:
+        def get(self):
+            return state.get("open")
+
+        def update(self, value):
+            calls.append("update")
+            state["open"] = value
+
+        def clear(self):
+            calls.append("clear")
+            state.pop("open", None)
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+        def registerTimer(self, at):
+            calls.append(at)
+
+    class Times:
+        def __init__(self, now):
+            self.now = now
+
+        def getExpiryTimeInMs(self):
+            return self.now
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    averages = live._Averages()
+    averages.init(Handle())
+    list(averages.handleInputRows((1, 0), iter([rows]), Times(0)))
+    assert calls == [5, "update"]
+    out = next(averages.handleExpiredTimer((1, 0), Times(10), Times(10)))
+    assert [tuple(r)[1:3] + tuple(r)[4:] for r in out.itertuples(index=False)] == [(0, "a", 1), (1, "a", 1), (1, "b", 0)]
+    assert calls == [5, "update", 20, "update"]
+    list(averages.handleExpiredTimer((1, 0), Times(20), Times(20)))
+    assert calls[-1] == "clear" and not state
