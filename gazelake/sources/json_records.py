@@ -35,58 +35,104 @@ def _flags(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return quote, (data == 123).astype(np.int64) - (data == 125)
 
 
-def _by_range(batches: Iterator[pa.RecordBatch], finish) -> Iterator:
-    """Call ``finish(range, texts)`` for the texts of each range; rows of a range follow each other."""
-    current, held = None, []
+# bytes that are looked at together, about
+PIECE = 1 << 20
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bytes]]:
+    """``(range, text)``: the text of each range in pieces, every one with its closing brace; those of a range follow each other."""
     for batch in batches:
-        rows = list(zip(*(batch.column(c).to_pylist() for c in batch.schema.names if c != "value")))
-        for key, text in zip(rows, batch.column("value").to_pylist()):
-            if key != current and held:
-                yield from finish(current, held)
-                held = []
+        current, held, size = None, [], 0
+        rows = zip(*(batch.column(c).to_pylist() for c in batch.schema.names if c != "value"))
+        for key, text in zip(rows, batch.column("value")):
+            if held and (key != current or size >= PIECE):
+                yield current, ("}".join(held) + "}").encode()
+                held, size = [], 0
             current = key
-            held.append(text)
-    if held:
-        yield from finish(current, held)
+            held.append(text.as_py())
+            size += len(held[-1]) + 1
+        if held:
+            yield current, ("}".join(held) + "}").encode()
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def finish(key, texts):
-        quote, brace = _flags(("}".join(texts) + "}").encode())
-        string = np.cumsum(quote) % 2
-        yield pa.RecordBatch.from_pydict({
-            "_file": [key[0]], "_start": [key[1]], "quotes": pa.array([int(quote.sum())], pa.int64()),
-            "outside": pa.array([int(brace[string == 0].sum())], pa.int64()), "inside": pa.array([int(brace[string == 1].sum())], pa.int64())})
+    def row(key, quotes, braces):
+        return pa.RecordBatch.from_pydict({
+            "_file": [key[0]], "_start": [key[1]], "quotes": pa.array([quotes], pa.int64()),
+            "outside": pa.array([braces[0]], pa.int64()), "inside": pa.array([braces[1]], pa.int64())})
+
+    current, quotes, braces = None, 0, [0, 0]
+    for key, data in _pieces(batches):
+        if key != current and current is not None:
+            yield row(current, quotes, braces)
+            quotes, braces = 0, [0, 0]
+        current = key
+        quote, brace = _flags(data)
+        string = (np.cumsum(quote) + quotes) % 2
+        quotes += int(quote.sum())
+        braces = [braces[k] + int(brace[string == k].sum()) for k in (0, 1)]
+    if current is not None:
+        yield row(current, quotes, braces)
+
+
+class _Cutter:
+    """Whole records of one range, and the parts of those that reach beyond it, from its pieces."""
+
+    def __init__(self, key) -> None:
+        self.file, self.start, self.string, self.depth = key
+        self.from_before = self.depth > 0
+        # what is there of the open record
+        self.number, self.open = 0, [] if self.from_before else None
+
+    def _row(self, data: bytes, goes_on: bool) -> tuple:
+        return self.file, self.start, self.number, self.number == 0 and self.from_before, goes_on, data.decode()
+
+    def cut(self, data: bytes) -> Iterator[tuple]:
+        quote, brace = _flags(data)
+        string = (np.cumsum(quote) + self.string) % 2
+        brace[string == 1] = 0
+        level = self.depth + np.cumsum(brace)
+        self.string, self.depth = int(string[-1]), int(level[-1])
+        opening, at = np.flatnonzero((level == 1) & (brace == 1)), 0
+
+        def begin(before):
+            k = int(np.searchsorted(opening, at))
+            return int(opening[k]) if k < len(opening) and opening[k] < before else before
+
+        for end in (np.flatnonzero((level == 0) & (brace == -1)) + 1).tolist():
+            # a record begins at its brace, unless it began before
+            record = data[begin(end):end] if self.open is None else b"".join([*self.open, data[at:end]])
+            if record:
+                yield self._row(record, False)
+            self.number, self.open, at = self.number + 1, None, end
+        if self.open is not None:
+            self.open.append(data[at:])
+        elif begin(len(data)) < len(data):
+            self.open = [data[begin(len(data)):]]
 
-    return _by_range(batches, finish)
+    def rest(self) -> Iterator[tuple]:
+        if self.open:
+            yield self._row(b"".join(self.open), True)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole records of each range, and the parts of those that reach beyond it."""
-    def finish(key, texts):
-        file, start, string, depth = key
-        quote, brace = _flags(("}".join(texts) + "}").encode())
-        inside = (np.cumsum(quote) + string) % 2 == 1
-        brace[inside] = 0
-        level = depth + np.cumsum(brace)
-        data, at = ("}".join(texts) + "}").encode(), 0
-        closing = np.flatnonzero((level == 0) & (brace == -1)) + 1
-        opening = np.flatnonzero((level == 1) & (brace == 1))
-        out = []
-        for number, end in enumerate([*closing.tolist(), len(data)]):
-            # a record begins at its brace, unless it began before
-            begin = at if number == 0 and depth > 0 else None
-            if begin is None:
-                k = int(np.searchsorted(opening, at))
-                begin = int(opening[k]) if k < len(opening) and opening[k] < end else end
-            if begin < end:
-                out.append((file, start, number, number == 0 and depth > 0, number == len(closing), data[begin:end].decode()))
-            at = end
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string()))],
+    def made(rows):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string()))],
             names=["_file", "_start", "_no", "from_before", "goes_on", "value"])
 
-    return _by_range(batches, finish)
+    current, cutter = None, None
+    for key, data in _pieces(batches):
+        out = []
+        if key != current:
+            out += cutter.rest() if cutter else ()
+            current, cutter = key, _Cutter(key)
+        out += cutter.cut(data)
+        if out:
+            yield made(out)
+    if cutter and (out := list(cutter.rest())):
+        yield made(out)
 
 
 def json_records(spark: SparkSession, path: str) -> DataFrame:

@@ -1,11 +1,15 @@
 """Steps that once grew faster than their input: what they cost, and that they give what the plain form gives."""
 
+import json
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gazelake.functions import comparisons as C, geometry as G, kernels
 from gazelake.operators import saliency, sequences
+from gazelake.sources import json_records
 from gazelake.streaming import live
 
 
@@ -132,3 +136,24 @@ def test_averages_write_one_state_a_batch():
     assert calls == [5, "update", 20, "update"]
     list(averages.handleExpiredTimer((1, 0), Times(20), Times(20)))
     assert calls[-1] == "clear" and not state
+
+
+def test_json_ranges_are_read_in_pieces(monkeypatch):
+    texts = ['{"a": "' + '}{\\"' * (k % 4) + '", "b": {"c": ' + str(k) for k in range(50)]
+    data = "".join(t + "}},\n" for t in texts) + '{"open": {"x": '
+    values = data.split("}")
+
+    def run(step, depth=0, string=0, values=values):
+        batches = [pa.RecordBatch.from_pydict({"_file": ["f"] * len(values[k:k + step]), "_start": [0] * len(values[k:k + step]),
+                                               **({} if depth is None else {"string": [string] * len(values[k:k + step]), "depth": [depth] * len(values[k:k + step])}),
+                                               "value": values[k:k + step]}) for k in range(0, len(values), step)]
+        rows = (json_records._counted if depth is None else json_records._cut)(iter(batches))
+        return [tuple(r.values()) for b in rows for r in b.to_pylist()]
+
+    monkeypatch.setattr(json_records, "PIECE", 64)
+    pieces = [run(7), run(7, depth=1), run(7, depth=None)]
+    assert max(len(d) for _, d in json_records._pieces(iter([pa.RecordBatch.from_pydict({"f": ["f"] * len(values), "value": values})]))) < 200
+    monkeypatch.setattr(json_records, "PIECE", 1 << 20)
+    assert pieces == [run(1000), run(1000, depth=1), run(1000, depth=None)]
+    assert [json.loads(r[5])["b"]["c"] for r in pieces[0] if not r[4]] == list(range(50))
+    assert pieces[0][-1][4:] == (True, '{"open": {"x": }')
