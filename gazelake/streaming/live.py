@@ -89,7 +89,7 @@ class _Averages(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, held = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()), self._held()
         due = sorted(no for no, (end, _) in held.items() if end <= now)
-        rows = [(key[0], no, m, t / n if n else None, n) for no in due for m, (t, n) in held[no][1].items()]
+        rows = [(key[0] if key[1] else None, no, m, t / n if n else None, n) for no in due for m, (t, n) in held[no][1].items()]
         if due:
             self._keep({no: v for no, v in held.items() if v[0] > now}, None)
         yield pd.DataFrame(rows, columns=["run", "log_no", "metric", "value", "n"])
@@ -119,7 +119,11 @@ def averages(stream: DataFrame, every: int, delay="5 minutes") -> DataFrame:
         "run", F.floor(F.col("step") / F.lit(every)).alias("log_no"), "metric", "value", "logged_at",
         F.unix_millis("logged_at").alias("at"))
     run = rows.schema["run"].dataType.simpleString()
-    return rows.withColumn("block", F.floor(F.col("log_no") / F.lit(BLOCK))).groupBy("run", "block").transformWithStateInPandas(
+    # no part of a key is null: pandas would take numbers next to a null for others
+    keyed = rows.withColumns({
+        "block": F.coalesce(F.floor(F.col("log_no") / F.lit(BLOCK)), F.lit(-1).cast("bigint")),
+        "known": F.col("run").isNotNull(), "run": F.coalesce("run", F.lit("0").cast(run))})
+    return keyed.groupBy("run", "known", "block").transformWithStateInPandas(
         _Averages(), f"run {run}, log_no long, metric string, value double, n long", "append", "EventTime")
 
 

@@ -129,12 +129,12 @@ def test_averages_write_one_state_a_batch():
 
     averages = live._Averages()
     averages.init(Handle())
-    list(averages.handleInputRows((1, 0), iter([rows]), Times(0)))
+    list(averages.handleInputRows((1, True, 0), iter([rows]), Times(0)))
     assert calls == [5, "update"]
-    out = next(averages.handleExpiredTimer((1, 0), Times(10), Times(10)))
+    out = next(averages.handleExpiredTimer((1, True, 0), Times(10), Times(10)))
     assert [tuple(r)[1:3] + tuple(r)[4:] for r in out.itertuples(index=False)] == [(0, "a", 1), (1, "a", 1), (1, "b", 0)]
     assert calls == [5, "update", 20, "update"]
-    list(averages.handleExpiredTimer((1, 0), Times(20), Times(20)))
+    list(averages.handleExpiredTimer((1, True, 0), Times(20), Times(20)))
     assert calls[-1] == "clear" and not state
 
 
