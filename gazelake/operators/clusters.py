@@ -12,8 +12,8 @@ work, at most ``UNITS`` a key, and each unit fits all bandwidth factors.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import comparisons as C
 from ..functions import geometry as G
@@ -31,6 +31,8 @@ UNITS = 64
 # points up to which all of them are compared, and cells (starting point x line or point) in memory at once
 FEW = 4096
 CELLS = 1 << 20
+# ends of one Arrow batch
+FLUSH_ENDS = 100_000
 # distances are found to this part of the canvas
 RESOLUTION = 1e-12
 # digits that tell two ends of a search apart
@@ -73,6 +75,7 @@ class Field:
         self.place = line * self.span + (cx - self.left)
         self.ends = np.append(self.first, len(cx))
         self.mass, self.moment = (np.concatenate([[0.0], np.cumsum(v)]) for v in (weight, weight * cx))
+        self.sums = np.column_stack([weight, weight * cx, weight * cy])
 
     def _runs(self, x, y, line, reach):
         """First point and the one behind the last within reach, for each (place, line)."""
@@ -118,12 +121,14 @@ class Field:
 
     def _compared(self, x, y, reach):
         out = np.zeros((3, len(x)))
-        sums = np.column_stack([self.weight, self.weight * self.cx, self.weight * self.cy])
         step = max(1, CELLS // len(self.cx))
         for a in range(0, len(x), step):
             part = slice(a, a + step)
-            near = (x[part, None] - self.cx) ** 2 + (y[part, None] - self.cy) ** 2 <= reach[part, None] ** 2
-            out[:, part] = (near.astype(float) @ sums).T
+            far, above = x[part, None] - self.cx, y[part, None] - self.cy
+            far *= far
+            above *= above
+            far += above
+            out[:, part] = ((far <= reach[part, None] ** 2).astype(float) @ self.sums).T
         return out
 
     def kth_distances(self, seeds, k):
@@ -214,41 +219,63 @@ def mean_shift(points: DataFrame, bandwidth: DataFrame, keys, factors=FACTORS, s
     """
     keys = list(keys)
     units = spread(_packed(points, keys).join(bandwidth, keys), *keys, "chunk")
-    schema = units.select(*keys).schema.add("factor", "double").add("bandwidth", "double")
-    for name in ("cx", "cy", "within"):
-        schema = schema.add(name, "double")
+    named = units.select(*keys).schema.add("factor", "double")
+    ends = T.StructType([*named.fields]).add("bandwidth", "double")
+    for name in _END:
+        ends = ends.add(name, T.ArrayType(T.DoubleType()))
 
     def shift(batches):
         for batch in batches:
-            for i in range(len(batch)):
-                row = batch.iloc[i]
-                x, y, w = (np.asarray(row[c], dtype=np.float64) for c in ("cx", "cy", "weight"))
-                field, seeds = Field(x, y, w), slice(row["chunk"], None, row["units"])
+            rows, reached = [], []
+            for i, (bandwidth, units, chunk) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bandwidth", "units", "chunk")))):
+                x, y, w = (np.asarray(batch.column(c)[i].values, dtype=np.float64) for c in ("cx", "cy", "weight"))
+                field, seeds = Field(x, y, w), slice(chunk, None, units)
                 for factor in factors:
-                    reach = row["bandwidth"] * factor
+                    reach = bandwidth * factor
                     mx, my, within = shift_means(field, seeds, reach, stop_share, most) if reach > 0 else (x[seeds], y[seeds], w[seeds])
-                    ends = pd.DataFrame({"cx": mx, "cy": my, "within": within})
-                    ends = ends[ends["within"] > 0].drop_duplicates(["cx", "cy"])
-                    head = {c: row[c] for c in keys} | {"factor": float(factor), "bandwidth": row["bandwidth"]}
-                    yield ends.assign(**head)[[*keys, "factor", "bandwidth", "cx", "cy", "within"]]
+                    some = np.flatnonzero(within > 0)
+                    _, first = np.unique(mx[some] + 1j * my[some], return_index=True)
+                    some = some[first]
+                    rows.append((i, float(factor), bandwidth))
+                    reached.append((mx[some], my[some], within[some]))
+                if i + 1 == batch.num_rows or sum(len(x) for x, _, _ in reached) >= FLUSH_ENDS:
+                    at, factor, width = zip(*rows)
+                    offsets = pa.array(np.cumsum([0, *(len(x) for x, _, _ in reached)]).astype(np.int32))
+                    yield _with_keys(batch, keys, at, ends, [
+                        pa.array(factor), pa.array(width), *(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(v))) for v in zip(*reached))])
+                    rows, reached = [], []
+
+    # no more ends than distinct pixels of the key; an end that several units reached counts once, with the most within reach
+    grouped = units.mapInArrow(shift, ends).groupBy(*keys, "factor").agg(
+        F.first("bandwidth").alias("bandwidth"), F.collect_list(F.struct(*_END)).alias("_e")).select(
+        *keys, "factor", "bandwidth", *[F.flatten(f"_e.{c}").alias(c) for c in _END])
+    result = T.StructType([*named.fields]).add("cluster_id", "integer")
+    for name in _END:
+        result = result.add(name, "double")
+
+    def separate(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            chosen = []
+            for i, (factor, bandwidth) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("factor", "bandwidth")))):
+                found = [np.asarray(batch.column(c)[i].values, dtype=np.float64) for c in _END]
+                kept = separate_centers(*found, float(bandwidth * factor))
+                chosen.append((np.full(len(kept), i), np.arange(len(kept), dtype=np.int32), *(v[kept] for v in found)))
+            at, *columns = map(np.concatenate, zip(*chosen))
+            yield _with_keys(batch, [*keys, "factor"], at, result, [pa.array(v) for v in columns])
 
-    ends = units.mapInPandas(shift, schema).groupBy(*keys, "factor", "bandwidth", "cx", "cy").agg(
-        F.max("within").alias("within"))
+    return grouped.mapInArrow(separate, result)
 
-    out = schema.fieldNames()
-    result = units.select(*keys).schema.add("factor", "double").add("cluster_id", "integer")
-    for name in ("cx", "cy", "within"):
-        result = result.add(name, "double")
 
-    def separate(group: pd.DataFrame) -> pd.DataFrame:
-        group = group[out]
-        reach = float(group["bandwidth"].iloc[0] * group["factor"].iloc[0])
-        kept = separate_centers(*(group[c].to_numpy() for c in ("cx", "cy", "within")), reach)
-        chosen = group.iloc[kept].assign(cluster_id=np.arange(len(kept), dtype=np.int32))
-        return chosen[result.fieldNames()]
+#: An end: its place and the fixations within reach.
+_END = ("cx", "cy", "within")
+
 
-    # at most one end per distinct pixel of the key
-    return ends.groupBy(*keys, "factor").applyInPandas(separate, result)
+def _with_keys(batch, keys, at, schema, columns) -> pa.RecordBatch:
+    """``columns`` behind the keys of the rows ``at``."""
+    at = pa.array(np.asarray(at, dtype=np.int64))
+    return pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), *columns], names=schema.fieldNames())
 
 
 def fit_clusters(trials: DataFrame, keys=("image", "target_id"), factors=FACTORS, order="trial",
