@@ -12,17 +12,20 @@ from __future__ import annotations
 
 import json
 import re
+import string
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
-from .common import held, slices, stage_path, table
+from .common import held, joined, slices, stage_path, table
 
 BLOCK = 1024
 #: Ids per word and bits per id, by selector; selector 0 is an escape.
@@ -31,44 +34,57 @@ PACKS = [(1, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (
 COUNTS = np.array([n for n, _ in PACKS], np.int64)
 #: Cached words of a worker, at most.
 CACHE = 800_000
-#: A single mark between a letter and white space: the pre-tokenizer parts it from the word anyway. ASCII letters only:
-#: the normalizer turns some others into a letter and a mark that goes with the punctuation.
-SENTENCE_MARK = re.compile(r"(?<=[A-Za-z])([.,])(?=[ \n]|$)")
+#: What a byte is to the pre-tokenizer: white space between pieces, a letter, an ASCII mark, the apostrophe, or any other.
+SPACE, LETTER, MARK, APOSTROPHE = 1, 2, 3, 4
+KINDS = bytes(SPACE if c in " \n" else APOSTROPHE if c == "'" else MARK if c in string.punctuation else 0 for c in map(chr, range(256)))
 END = 1
 VOCABULARY = "word_bpe_49k.json"
 FILE_SCHEMA = ("part int, seq int, first long, doc_ids array<bigint>, doc_tokens array<bigint>, n_ids long, "
                "word_offsets binary, words binary, escapes binary")
 
 
+def _selectors(ids: np.ndarray) -> np.ndarray:
+    """For each place, the selector that takes most ids from there on; fewer than a word holds are enough at a block's end."""
+    n, top, widths = len(ids), int(ids.max()), PACKS[1:]
+    blocks = -(-n // BLOCK)
+    # how many of the widths are too narrow for the widest of the next ids; nothing follows a block
+    narrow = np.zeros(blocks * BLOCK, np.uint8)
+    for _, bits in widths:
+        if top >> bits:
+            narrow[:n] += ids >= ids.dtype.type(1 << bits)
+    widest = np.zeros((blocks, BLOCK + widths[0][0] - 1), np.uint8)
+    widest[:, :BLOCK] = narrow.reshape(blocks, BLOCK)
+    fitting, seen = np.zeros((blocks, BLOCK), np.uint8), 1
+    for selector in range(len(widths), 0, -1):
+        more = PACKS[selector][0] - seen
+        if more:
+            widest, seen = np.maximum(widest[:, :-more], widest[:, more:]), seen + more
+        fitting += widest[:, :BLOCK] < selector
+    # who takes more ids has narrower ones: the selectors that fit are the last ones
+    return ((len(PACKS) - fitting) % len(PACKS)).ravel()[:n]
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, first word of each block, and escaped ids, for unsigned 64-bit ``ids``.
 
     At each place the selector that takes most ids is known at once for all
     places; the blocks are then walked side by side, a word a step.
     """
-    ids = np.asarray(ids, np.uint64)
+    ids = np.asarray(ids)
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint64)
-    place = np.arange(n)
-    stop = np.minimum((place // BLOCK + 1) * BLOCK, n)
-    choice, escapes = np.zeros(n, np.uint8), np.flatnonzero(ids >> np.uint64(60))
-    for selector in range(len(PACKS) - 1, 0, -1):
-        count, bits = PACKS[selector]
-        wide = np.where(ids >> np.uint64(bits), place, n)
-        reach = np.minimum.accumulate(wide[::-1])[::-1]
-        # fewer ids than the word holds are enough at the end of a block
-        choice[reach >= np.minimum(place + count, stop)] = selector
-    step = np.minimum(COUNTS[choice], stop - place)
-    at, rounds = np.arange(0, n, BLOCK), []
+    choice = _selectors(ids)
+    at, begins = np.arange(0, n, BLOCK), np.zeros(n, bool)
     ends = np.minimum(at + BLOCK, n)
     while len(at):
-        rounds.append(at)
-        at = at + step[at]
+        begins[at] = True
+        at = at + COUNTS[choice[at]]
         live = at < ends
         at, ends = at[live], ends[live]
-    starts = np.sort(np.concatenate(rounds))
+    starts, ids, escapes = np.flatnonzero(begins), ids.astype(np.uint64), np.flatnonzero(choice == 0)
     chosen, words = choice[starts], np.zeros(len(starts), np.uint64)
+    stops = np.minimum(starts + COUNTS[chosen], np.minimum((starts // BLOCK + 1) * BLOCK, n))
     for selector, (count, bits) in enumerate(PACKS):
         mine = np.flatnonzero(chosen == selector)
         if not len(mine):
@@ -76,7 +92,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if selector == 0:
             words[mine] = np.searchsorted(escapes, starts[mine]).astype(np.uint64)
             continue
-        first, last = starts[mine], starts[mine] + step[starts[mine]]
+        first, last = starts[mine], stops[mine]
         word = np.full(len(mine), np.uint64(selector << 60))
         for k in range(count):
             inside = first + k < last
@@ -109,37 +125,114 @@ def unpack(words: np.ndarray, word_offsets: np.ndarray, n_ids: int, escapes: np.
     return out
 
 
-class WordIds(dict):
-    """The library's ids of a space-free piece as little-endian bytes, kept per worker.
+class WordIds:
+    """The library's ids of the pieces of texts, kept per worker.
 
-    White space never survives the pre-tokenizer, so pieces between spaces and
-    line feeds are encoded independently of each other.
+    Pieces are what the pre-tokenizer parts anyway, so they are encoded
+    independently of each other: white space never survives it, and no match of
+    its pattern goes from a letter to a mark or from a mark (but the apostrophe)
+    to a letter. That holds for ``letters``, which the normalizer turns into one
+    letter each whatever is beside them. A piece of nothing else is one word of
+    the model, which is asked for it without normalizing it again.
     """
 
     def __init__(self, path: str) -> None:
-        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t["content"] for t in json.load(open(path, encoding="utf-8"))["added_tokens"]]
+        # a word is asked for once
+        self.model = self.tokenizer.model
+        self.model._resize_cache(0)
+        self.letters = self._letters()
+        self.plain = re.compile(f"[{''.join(self.letters)}]+")
+        self.word = str.maketrans({c: self._parts(x)[0] for c, x in self.letters.items()})
+        self.kinds, self.fold, self.pairs = bytearray(KINDS), bytearray(range(256)), np.zeros((256, 256), bool)
+        for c, x in self.letters.items():
+            code = c.encode()
+            if len(code) == 1:
+                self.kinds[code[0]], self.fold[code[0]] = LETTER, ord(x)
+            else:
+                self.pairs[tuple(code)] = True
+        self._forget()
+
+    def _parts(self, text: str) -> list[str]:
+        return [part for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+    def _letters(self) -> dict[str, str]:
+        """Letters of one or two bytes with their normal forms; none of them is ever joined with the letter before it."""
+        forms = {}
+        for c in filter(str.isalpha, map(chr, range(0x530))):
+            x = self.tokenizer.normalizer.normalize_str(c)
+            if unicodedata.category(c) in ("Lu", "Ll") and unicodedata.category(x[0]) == "Ll" and len(x) == len(self._parts(f"a{x}a")) == 1:
+                forms[c] = x
+        return forms
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.stop = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _learn(self, pieces: list[str]) -> None:
-        for piece, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            self[piece] = np.array(e.ids, "<u4").tobytes()
+        rest = [p for p in pieces if not self.plain.fullmatch(p)]
+        found = dict(zip(rest, [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]))
+        ids, stop = [], []
+        for piece in pieces:
+            self.place[piece] = len(self.place)
+            ids += found[piece] if piece in found else [t.id for t in self.model.tokenize(piece.translate(self.word))]
+            stop.append(len(ids))
+        self.stop = np.append(self.stop, len(self.ids) + np.array(stop, np.int64))
+        self.ids = np.append(self.ids, np.array(ids, np.uint32))
+
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all texts, and the number of them before each text and in all."""
+        data, at = joined(pc.binary_join_element_wise(texts, "", "\n"))
+        # capitals of ASCII, unless a mark may go with them
+        data = np.where(np.append(data[1:], np.uint8(0)) < 128, _mapped(data, self.fold), data)
+        kind, high = _mapped(data, self.kinds), np.flatnonzero(data >= 128)
+        gap, mark, letter_ends = kind == SPACE, kind >= MARK, kind == LETTER
+        letter_begins = letter_ends.copy()
+        letter_ends[high], letter_begins[high] = self.pairs[data[high - 1], data[high]], self.pairs[data[high], data[high + 1]]
+        begins = np.ones(len(data), bool)
+        begins[1:] = gap[:-1] | letter_ends[:-1] & mark[1:] | (kind[:-1] == MARK) & letter_begins[1:]
+        begins &= ~gap
+        kept = data[~gap]
+        bounds = np.append(np.flatnonzero(begins[~gap]), len(kept))
+        pieces = pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(kept)])
+        return pieces, np.searchsorted(np.flatnonzero(begins), at)
+
+    def rows(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of whole texts (null: empty); pieces that are not known yet are encoded once."""
+        if not len(texts):
+            return []
+        if len(self.place) > CACHE:
+            # before the pieces of these texts are looked up
+            self._forget()
+        texts = pc.fill_null(texts, "")
+        whole = np.zeros(len(texts), bool)
+        for s in self.special:
+            whole |= pc.match_substring(texts, s, ignore_case=True).to_numpy(zero_copy_only=False)
+        pieces, before = self._cut(pc.if_else(pa.array(~whole), texts, ""))
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self._learn([p for p in distinct if p not in self.place])
+        place = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        first, n = self.stop[place], self.stop[place + 1] - self.stop[place]
+        stop = np.append(0, np.cumsum(n))
+        ids = self.ids[np.repeat(first - stop[:-1], n) + np.arange(stop[-1])]
+        rows = np.split(ids, stop[before[1:-1]])
+        for k in np.flatnonzero(whole):
+            rows[k] = np.array(self.tokenizer.encode(texts[int(k)].as_py(), add_special_tokens=False).ids, np.uint32)
+        return rows
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts; pieces that are not known yet are encoded together, once."""
-        if len(self) > CACHE:
-            # before the pieces of these texts are looked up
-            self.clear()
-            self[""] = b""
-        cut = [None if any(s in t for s in self.special) else SENTENCE_MARK.sub(r" \1", t).replace("\n", " ").split(" ") for t in texts]
-        self._learn(list(set().union(*[c for c in cut if c]) - self.keys()))
-        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        return [whole(t) if c is None else b"".join(map(self.__getitem__, c)) for t, c in zip(texts, cut)]
+        return [ids.astype("<u4").tobytes() for ids in self.rows(pa.array(texts, pa.string()))]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
 
+def _mapped(data: np.ndarray, table: bytes) -> np.ndarray:
+    return np.frombuffer(data.tobytes().translate(table), np.uint8)
+
+
 def word_ids(path: str) -> WordIds:
     return held(WordIds, path)
 
@@ -147,12 +240,12 @@ def word_ids(path: str) -> WordIds:
 def _segments(path: str, end: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of, part, seq, first = word_ids(path), TaskContext.get().partitionId(), 0, 0
-        last = np.array([end], "<u4").tobytes()
+        last = np.array([end], np.uint32)
         for batch in batches:
             for part_batch in slices(batch, "text"):
-                rows = [ids + last for ids in words_of.encode_all([t or "" for t in part_batch.column("text").to_pylist()])]
-                counts = [len(r) // 4 for r in rows]
-                ids = np.frombuffer(b"".join(rows), "<u4")
+                rows = words_of.rows(part_batch.column("text"))
+                counts = [len(ids) + 1 for ids in rows]
+                ids = np.concatenate([x for ids in rows for x in (ids, last)])
                 words, at, escapes = pack(ids)
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "first": pa.array([first]),

@@ -111,6 +111,46 @@ def test_marks_behind_every_letter():
     assert [np.frombuffer(x, "<u4").tolist() for x in token_files.word_ids(path).encode_all(texts)] == want
 
 
+def test_letters_beside_marks_and_capitals():
+    path = public_tokenizers.path(token_files.VOCABULARY)
+    letters = [c for c in map(chr, range(0x530)) if c.isalpha()]
+    texts = [f"{c}{m}{c}{c.upper()} x{m}{c}'s{m}A{c}" for c in letters for m in "-'=<"]
+    texts += [f"A{c}{m}B{m}.{m}{c}" for c in letters for m in "\u0301\u0307\u0331\u0338"]
+    texts += ["x<|ENDOFTEXT|>y", "x<|endoftext|>Y", "", None, "\n"]
+    want = [e.ids for e in library(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in token_files.word_ids(path).encode_all(texts)] == want
+
+
+def test_plain_words_are_not_normalized_one_by_one():
+    class Seen:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.pieces = tokenizer, []
+
+        def encode_batch_fast(self, pieces, **options):
+            self.pieces += pieces
+            return self.tokenizer.encode_batch_fast(pieces, **options)
+
+    path = public_tokenizers.path(token_files.VOCABULARY)
+    words = token_files.WordIds(path)
+    words.tokenizer = Seen(words.tokenizer)
+    text = "The cat*** and THE Été. (the well-known été)! über ÜBER, cat."
+    assert np.frombuffer(words.encode(text), "<u4").tolist() == library(path).encode(text, add_special_tokens=False).ids
+    assert sorted(words.tokenizer.pieces) == ["(", ")!", "***", ",", "-", "."]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2 ** 64 - 1) | st.integers(0, 70_000) | st.integers(0, 3) | st.just(0), max_size=1500))
+def test_each_word_takes_as_many_ids_as_it_can(ids):
+    want, at = [], 0
+    while at < len(ids):
+        end = min((at // token_files.BLOCK + 1) * token_files.BLOCK, len(ids))
+        fitting = [k for k, (n, bits) in enumerate(token_files.PACKS) if k and all(i >> bits == 0 for i in ids[at:min(at + n, end)])]
+        want.append(min(fitting, default=0))
+        at = min(at + token_files.PACKS[want[-1]][0], end)
+    for kind in (np.uint64, np.uint32) if max(ids, default=0) < 2 ** 32 else (np.uint64,):
+        assert (token_files.pack(np.array(ids, kind))[0] >> np.uint64(60)).tolist() == want
+
+
 def library(path, cache={}):
     return cache.setdefault(path, Tokenizer.from_file(path))
 
